@@ -63,10 +63,11 @@ def _license_sql() -> str:
         agree = " + ".join(f"coalesce((CASE WHEN p - {t.key_at} + {j} >= 0 THEN w[p - {t.key_at} + {j} + 1] END = '{w}')::INT, 0)" for j, w in enumerate(t.words))
         places.append(
             f"SELECT doc_id, '{kind}' AS kind, '{t.label}' AS label, (p - {t.key_at})::BIGINT AS start_at, round(({agree}) / {float(len(t.words))}, 6) AS agree, {t.share} AS share "
-            f"FROM (SELECT doc_id, w, unnest(list_filter(range(len(w)), lambda i: w[i + 1] = '{key[0]}' AND w[i + 1 : i + {n}] = {quoted})) AS p FROM words)"
+            f"FROM (SELECT doc_id, w, pos AS p FROM each JOIN words USING (doc_id) WHERE word = '{key[0]}' AND w[pos + 1 : pos + {n}] = {quoted})"
         )
     return f"""
         WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{license_scan.WORD}') AS w FROM documents),
+        each AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM words),
         places AS (SELECT * FROM ({" UNION ALL ".join(places)}) WHERE agree >= share),
         sums AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'base') AS n_base, min(start_at) FILTER (WHERE kind = 'base') AS first_word, max(start_at) FILTER (WHERE kind = 'base') AS last_word,
             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE kind = 'base') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(agree) AS score FROM places GROUP BY doc_id)
