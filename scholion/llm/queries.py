@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import bpe, chat, exact_dedup, langid, license_scan, mips, mixing
+from scholion.llm import bpe, chat, exact_dedup, jaccard_join, langid, license_scan, mips, mixing
 from scholion.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +28,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -49,7 +53,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan)
+    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
