@@ -19,13 +19,17 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholion.llm.common import slices
+
 LEAF = 24
-CACHE = 100_000
+CACHE = 200_000
+NONE = 1 << 60
 BLOCK = 1 << 16
 
 
@@ -38,6 +42,26 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Merge the neighbouring pair of the lowest rank, leftmost first, until none is left."""
+        if len(piece) > 4 * LEAF:
+            return self.merge_long(piece)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        rank = self.ranks.get
+        ranks = [rank(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+        while ranks:
+            least = min(ranks)
+            if least == NONE:
+                break
+            i = ranks.index(least)
+            both = parts[i] = parts[i] + parts[i + 1]
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(both + parts[i + 1], NONE)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + both, NONE)
+        return parts
+
+    def merge_long(self, piece: bytes) -> list[bytes]:
+        """The same with a queue, for windows that had to grow."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         rank = self.ranks.get
@@ -96,15 +120,18 @@ class Bpe:
 
 
 class _Cached(dict):
-    """Ids by stretch of text, for stretches met before; it forgets all when it is full."""
+    """Ids by stretch of text, for stretches met before. When it is full, its entries become the old
+    ones, of which those that are met again come back and the rest is forgotten at the next turn."""
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, stretch: str) -> tuple[int, ...]:
-        ids = self.bpe.encode(stretch.encode())
+        ids = self.old.pop(stretch, None) or self.bpe.encode(stretch.encode())
         if len(stretch) <= 64:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
@@ -136,21 +163,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, find = _Cached(Bpe(parse_ranks(content.value))), regex.compile(pattern)
         for batch in batches:
-            for part in _small(batch, 1):
-                lists = [pa.array(encode_text(t, find, ids), pa.int32()) for t in ("" if t is None else t for t in part.column(1).to_pylist())]
+            for part in slices(batch, 1):
+                lists = [pa.array(np.fromiter(encode_text(t, find, ids), np.int32)) for t in ("" if t is None else t for t in part.column(1).to_pylist())]
                 yield pa.record_batch([part.column(0), _lists(lists, pa.int32())], ["_id", "ids"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
-def _small(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes each (a row at least), so that memory stays bounded."""
-    rows = max(1, int(batch.num_rows * most // max(1, batch.column(column).nbytes)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _lists(values: list[pa.Array], kind: pa.DataType) -> pa.ListArray:
     ends = [0]
     for v in values:
@@ -177,7 +197,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {r: t for t, r in parse_ranks(content.value).items()}
         for batch in batches:
-            for part in _small(batch, at):
+            for part in slices(batch, at):
                 out = []
                 for ids in part.column(at):
                     if not ids.is_valid:
