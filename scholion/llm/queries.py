@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import bpe, chat, exact_dedup, html_extract, jaccard_join, langid, license_scan, mips, mixing
+from scholion.llm import bpe, chat, exact_dedup, html_extract, jaccard_join, langid, license_scan, mips, mixing, suffix_dedup
 from scholion.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,12 +52,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan, op10_html_extract)
+    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan, op9_suffix_dedup, op10_html_extract)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
