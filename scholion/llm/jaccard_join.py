@@ -36,6 +36,8 @@ WORDS = 5
 FREQUENT = 1 << 17
 #: The lists in which a set meets the leading set, and the members of a block.
 LEADERS, MEMBERS = 4, 64
+#: Up to so many ids (16 MB) are broadcast to fetch their texts.
+BROADCAST_IDS = 2_000_000
 _STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240601)
@@ -110,20 +112,15 @@ def _key(shingles: np.ndarray) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], ["_id", "_n", "_key"])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that occur in two sets of a batch or more, and in how many."""
+    """Size and key of every set; with the first row of a slice, the shingles that occur in two
+    different sets of the slice or more, and in how many."""
     for batch in (part for batch in batches for part in slices(batch, 1, 16 << 20)):
-        seen: dict[int, np.ndarray] = {}
-        for t in batch.column(1).to_pylist():
-            s = shingle_set(t)
-            seen.setdefault(_key(s), s)
-        h, n = np.unique(np.concatenate(list(seen.values())) if seen else np.zeros(0, np.int64), return_counts=True)
-        yield pa.record_batch({"_h": h[n > 1], "_c": n[n > 1].astype(np.int64)})
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        keys = [_key(s) for s in sets]
+        h, n = np.unique(np.concatenate(list(dict(zip(keys, sets, strict=True)).values())), return_counts=True)
+        often = pa.StructArray.from_arrays([h[n > 1], n[n > 1].astype(np.int64)], ["h", "c"])
+        ends = pa.array([0] + [len(often)] * len(sets), pa.int32())
+        yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, often)], ["_id", "_n", "_key", "_often"])
 
 
 def in_order(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -242,6 +239,14 @@ def _enough(shared, a: str, b: str):
     return shared + after >= F.ceil((F.col(a) + F.col(b)) * 3 / F.lit(7.0))
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents, all texts of an id together. Up to a checked number of ids they are sent to
+    the scan; beyond, documents are dealt by id."""
+    ids = written(ids, "ids")
+    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
+    return written(some.groupBy("_id").agg(F.collect_set("_text").alias("_texts")), "texts")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_equal) for each row of ``df``.
 
@@ -253,10 +258,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are one document with several texts, linked by any of them. Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signs = written(docs.mapInArrow(_signatures, "_id long, _n long, _key long"), "signatures")
+    read = written(docs.mapInArrow(_signatures, "_id long, _n long, _key long, _often array<struct<h:long,c:long>>"), "signatures")
+    signs = read.drop("_often")
     sets = written(signs.filter("_n > 0").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_equal")), "sets")
 
-    often = docs.mapInArrow(_repeated, "_h long, _c long").groupBy("_h").agg(F.sum("_c").alias("_c")).filter("_c >= 16")
+    often = read.select(F.explode("_often").alias("o")).groupBy(F.col("o.h").alias("_h")).agg(F.sum("o.c").alias("_c")).filter("_c >= 16")
     top = often.orderBy(F.desc("_c"), "_h").limit(FREQUENT).toPandas()
     by_hash = np.argsort(top["_h"].to_numpy(np.int64))
     frequent, rank = top["_h"].to_numpy(np.int64)[by_hash], (len(top) - by_hash).astype(np.int64)
@@ -265,9 +271,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = entries.repartition("_h").sortWithinPartitions("_h", "_key", "_n").mapInArrow(_shared, "_h long, _key long, _n int, _pos int")
     lists = written(shared.join(sets.filter("_rep is not null").withColumnRenamed("_n", "_m"), (F.col("_m") == F.col("_n")) & (sets["_key"] == shared["_key"])).select("_h", F.col("_rep").alias("_s"), "_n", "_pos"), "lists")
 
-    # The texts of the sets that the lists still hold, and what of each is indexed there.
+    # What of each set the lists still hold.
     indexed = written(lists.groupBy("_s", "_n").agg(F.collect_list("_h").alias("_hs")), "indexed")
-    texts = written(docs.join(indexed.select(F.col("_s").alias("_id")), "_id", "left_semi").groupBy("_id").agg(F.collect_set("_text").alias("_texts")), "texts")
 
     first = F.row_number().over(Window.partitionBy("_s").orderBy("_pos"))
     leading = lists.groupBy("_h").agg(F.min(F.struct(F.xxhash64("_s").alias("r"), F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_pos").alias("pos"))).alias("l"))
@@ -277,6 +282,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     side = lambda x: indexed.select(F.col("_s").alias(f"{x}_s"), F.col("_n").alias(f"{x}_n"), F.col("_hs").alias(f"{x}_hs"))
     pairs = pairs.join(side("a"), F.col("u") == F.col("a_s")).join(side("b"), F.col("v") == F.col("b_s"))
     pairs = pairs.filter(_enough(F.size(F.array_intersect("a_hs", "b_hs")), "a_n", "b_n")).select("u", "v")
+    pairs = written(pairs, "pairs")
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
     one = lambda x: texts.select(F.col("_id").alias(f"{x}_id"), F.col("_texts").alias(f"{x}_texts"))
     edges = written(pairs.join(one("a"), F.col("u") == F.col("a_id")).join(one("b"), F.col("v") == F.col("b_id")).select("u", "v", "a_texts", "b_texts").mapInArrow(_verify, "u long, v long"), "links")
 
@@ -300,6 +307,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     # k is what two single sets share in their indexed parts.
     met = met.filter("reach").filter(~F.col("both") | _enough(F.col("k"), "xn", "yn")).select("u", "ub", "v", "vb")
+    met = written(met, "meetings")
+    blocks = met.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("ub").alias("b")), F.struct(F.col("v").alias("c"), F.col("vb").alias("b")))).alias("k")).select("k.c", "k.b").distinct()
+    texts = _texts_of(docs, placed.join(blocks, ["c", "b"], "left_semi").select(F.col("_s").alias("_id")))
     group = texts.join(placed, F.col("_id") == F.col("_s")).groupBy("c", "b").agg(F.flatten(F.collect_list("_texts")).alias("texts"))
     of = lambda x: group.select(F.col("c").alias(f"{x}c"), F.col("b").alias(f"{x}b"), F.col("texts").alias(f"{x}t"))
     more = met.join(of("x"), (F.col("u") == F.col("xc")) & (F.col("ub") == F.col("xb"))).join(of("y"), (F.col("v") == F.col("yc")) & (F.col("vb") == F.col("yb"))).select("u", "v", "xt", "yt").mapInArrow(_verify, "u long, v long")
