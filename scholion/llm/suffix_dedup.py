@@ -290,7 +290,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     known = docs.filter("_id is not null")
-    sorted_rows = known.mapInArrow(_records, _ROW).repartition("_f").sortWithinPartitions("_f", "_g", "_id", "_s")
+    # Rows that are settled already pass through, and are dealt by themselves.
+    deal = F.when(F.col("_kind") == REPEATED, F.xxhash64("_id", "_s")).otherwise(F.col("_f"))
+    sorted_rows = known.mapInArrow(_records, _ROW).repartition(deal).sortWithinPartitions("_f", "_g", "_id", "_s")
     decided = written(sorted_rows.mapInArrow(_decide, _ROW), "decided")
     whole = decided.filter(F.col("_kind") == REPEATED).select("_id", F.col("_s").alias("_from"), (F.col("_s") + F.col("_e") + LENGTH).alias("_to"))
 
