@@ -7,7 +7,8 @@ each document's component of links. The join is exact:
 2. Shingles have one global order, frequent ones last, and each set is indexed under its first
    quarter: sets that link share one of those. An index list's entries carry size and position, from
    which follows how much the two sets can share at all; pairs that cannot reach it are skipped.
-3. *Index level.* Every set is first compared only with the leading set of its first few lists. Of the
+3. *Index level.* Every set is first compared only with the leading set of its first few lists, another
+   set from list to list. Of the
    pairs, those are skipped that share too few of their indexed shingles. What links is one component.
 4. *Answer level.* Sets of one component have their answer already and are never paired again. A component
    is cut into blocks, each a pivot set and its members' differences from it. Lists now hold blocks,
@@ -35,7 +36,7 @@ WORDS = 5
 #: How many frequent shingles have a place of their own in the order; the others come before, by hash.
 FREQUENT = 1 << 17
 #: The lists in which a set meets the leading set, and the members of a block.
-LEADERS, MEMBERS = 4, 64
+LEADERS, MEMBERS = 8, 64
 #: Up to so many ids (16 MB) are broadcast to fetch their texts.
 BROADCAST_IDS = 2_000_000
 _STEP = 1 << 18
@@ -275,7 +276,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     indexed = written(lists.groupBy("_s", "_n").agg(F.collect_list("_h").alias("_hs")), "indexed")
 
     first = F.row_number().over(Window.partitionBy("_s").orderBy("_pos"))
-    leading = lists.groupBy("_h").agg(F.min(F.struct(F.xxhash64("_s").alias("r"), F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_pos").alias("pos"))).alias("l"))
+    leading = lists.groupBy("_h").agg(F.min(F.struct(F.xxhash64("_s", "_h").alias("r"), F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_pos").alias("pos"))).alias("l"))
     leading = leading.select(F.col("_h").alias("_lh"), F.col("l.s").alias("l_s"), F.col("l.n").alias("l_n"), F.col("l.pos").alias("l_pos"))
     near = lists.withColumn("_f", first).filter(F.col("_f") <= LEADERS).join(leading, F.col("_h") == F.col("_lh")).filter("_s <> l_s").filter(_can_share("_", "l_"))
     pairs = near.select(F.least("_s", "l_s").alias("u"), F.greatest("_s", "l_s").alias("v")).distinct()
