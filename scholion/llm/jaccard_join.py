@@ -244,7 +244,10 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some documents, all texts of an id together. Up to a checked number of ids they are sent to
     the scan; beyond, documents are dealt by id."""
     ids = written(ids, "ids")
-    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
+    count = ids.count()
+    some = written(docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "_id", "left_semi"), "texts")
+    if some.count() == count:  # no id is repeated: no need to bring texts together
+        return some.select("_id", F.array("_text").alias("_texts"))
     return written(some.groupBy("_id").agg(F.collect_set("_text").alias("_texts")), "texts")
 
 
