@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word with an optional apostrophe part, or one CJK character.
-TOKEN = r"[a-z0-9]+(?:'[a-z]+)?|[一-鿿]"
+TOKEN = r"[a-z0-9]+(?:'[a-z]+)?|[぀-ヿ㐀-䶿一-鿿]"
 SPACE = r"[ \t\n\r\f]"
 #: Words that carry no meaning of their own.
 STOP_WORDS = """
@@ -28,7 +28,7 @@ def tokens(text: Column, keep_stop_words: bool = False) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     if keep_stop_words:
         return found
-    return F.filter(found, lambda t: ~t.isin(STOP_WORDS) & ((F.length(t) > 1) | (t >= "一")))
+    return F.filter(found, lambda t: ~t.isin(STOP_WORDS) & ((F.length(t) > 1) | (t >= "぀")))
 
 
 def bigrams(words: Column) -> Column:

@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
 _PATTERN = X.TOKEN.replace("'", "''")
-_TOK = f"list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '{_PATTERN}'), lambda t: t NOT IN ({_STOP}) AND (length(t) > 1 OR t >= '一'))"
+_TOK = f"list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '{_PATTERN}'), lambda t: t NOT IN ({_STOP}) AND (length(t) > 1 OR t >= '぀'))"
 
 
 def tok(column: str) -> str:
