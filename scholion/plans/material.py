@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scholion.functions import words as W
 from scholion.functions.text import tokens as plain_tokens
 from scholion.operators import chunks as C
-from scholion.operators import gates, terms
+from scholion.operators import gates, index, search, terms
+from scholion.plans import registry
 from scholion.plans.registry import query, tok
 from scholion.sources.readers import table
 
@@ -106,3 +107,45 @@ def definitions(spark, sf):
     s AS (SELECT source, term, round(tf * ln(1 + n / df), 6) AS score FROM t JOIN n USING (source)) SELECT source, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank, term, score FROM s QUALIFY rank <= 40""".replace("STOP", ", ".join("'" + w.replace("'", "''") + "'" for w in terms.STOP_WORDS)))
 def key_terms(spark, sf):
     return terms.key_terms(table(spark, sf, "documents"), "source", 40)
+
+
+_ANSWERS = rf"""WITH {registry._bm25_sql('len', 'avg_len', 5)},
+    m AS (SELECT query_id, rank, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM ranked JOIN documents USING (doc_id)),
+    b AS (SELECT query_id, rank, list_filter(list_transform(flatten(list_transform(p, lambda x: string_split(regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), chr(10)))), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[ \t\n\r\f]*([-•*▪●◦]|\d+[.)])[ \t\n\r\f]+', ''), '(?i)^speaker notes:[ \t\n\r\f]*', ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS b FROM m),
+    l AS (SELECT query_id, rank, unnest(range(len(b))) AS pos, unnest(b) AS line FROM b),
+    c AS MATERIALIZED (SELECT * FROM l WHERE length(line) >= 25 AND len(regexp_extract_all(line, '[^ \t\n\r\f]+')) >= 6 AND lower(regexp_extract(line, '^[^ \t\n\r\f]+')) NOT IN ({_list(terms.BAD_START)})),
+    lt AS MATERIALIZED (SELECT DISTINCT query_id, rank, pos, line, {_STEM} AS term FROM (SELECT *, unnest({tok('line')}) AS w FROM c)),
+    qt AS (SELECT DISTINCT query_id, {_STEM} AS term FROM (SELECT query_id, unnest({tok('query')}) AS w FROM queries)),
+    z AS (SELECT query_id, rank, pos, count(*) AS size FROM lt GROUP BY ALL), nn AS (SELECT query_id, count(*) AS n FROM c GROUP BY query_id),
+    sh AS (SELECT * FROM lt SEMI JOIN qt USING (query_id, term)), dd AS (SELECT query_id, term, count(*) AS df FROM sh GROUP BY ALL),
+    sc AS (SELECT query_id, rank, pos, line, round(sum(ln(1 + n / (1 + df))) / sqrt(any_value(size) + 1) + 0.4::DOUBLE / rank + CASE WHEN regexp_matches(line, '{terms.DEFINED}') THEN 0.3::DOUBLE ELSE 0 END, 6) AS score
+        FROM sh JOIN dd USING (query_id, term) JOIN nn USING (query_id) JOIN z USING (query_id, rank, pos) GROUP BY query_id, rank, pos, line),
+    o AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, lower(substr(line, 1, 80)) ORDER BY score DESC, rank, pos) = 1)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) AS position, rank AS source_rank, line, score FROM o QUALIFY position <= 4"""
+
+
+@query(_ANSWERS)
+def extractive_answers(spark, sf):
+    docs, asked = table(spark, sf, "documents"), registry._benchmark(spark, sf)
+    return terms.answers(search.bm25(docs, asked), docs, asked)
+
+
+@query("""SELECT source, count(*) FILTER (WHERE length(text) >= 20) AS ready, count(*) FILTER (WHERE length(text) >= 20 AND lang IS DISTINCT FROM 'en') AS stale,
+    CASE WHEN ready = 0 THEN 'no_materials' WHEN stale > 0 THEN 'stale_index' END AS error FROM documents GROUP BY source""")
+def scope_readiness(spark, sf):
+    docs = table(spark, sf, "documents").select("source", "lang", (F.length("text") >= 20).cast("int").alias("_c"))
+    return index.scope_readiness(docs, "source", F.col("lang"), F.lit("en"), F.col("_c"))
+
+
+_TURN = "ceil(i * least(ceil(12 / d), c) / c)"
+
+
+@query(f"""WITH k AS (SELECT l_orderkey % 40 AS scope, l_orderkey AS doc_id, l_linenumber AS chunk_index, (l_quantity * 10)::BIGINT AS char_count FROM lineitem),
+    u AS (SELECT *, max((char_count >= 200)::INT) OVER (PARTITION BY scope, doc_id) AS a FROM k), f AS (SELECT * FROM u WHERE char_count >= 200 OR a = 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY scope, doc_id ORDER BY chunk_index) - 1 AS i, count(*) OVER (PARTITION BY scope, doc_id) AS c FROM f), d AS (SELECT scope, count(DISTINCT doc_id) AS d FROM k GROUP BY scope),
+    t AS (SELECT *, {_TURN} AS t, least(ceil(12 / d), c) AS q FROM n JOIN d USING (scope)), p AS (SELECT * FROM t WHERE t < q AND floor(t * c / q) = i)
+    SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY t, doc_id) AS position, doc_id, chunk_index FROM p QUALIFY position <= 12""")
+def study_sample(spark, sf):
+    # Order lines stand for chunks: an order is a document, its lines are numbered.
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("scope"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"), (F.col("l_quantity") * 10).cast("long").alias("char_count"))
+    return index.study_sample(rows, "scope", 12)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import words as W
-from scholion.operators import chunks, gates, terms
+from scholion.operators import chunks, gates, index, terms
 from scholion.plans import material
 
 
@@ -92,3 +92,20 @@ def test_definitions_and_sentences(spark):
 
 def test_chunks_query_reads_its_table(spark):
     assert material.chunks(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_study_sample_takes_turns(spark):
+    rows = [("s", d, c, 300) for d in (1, 2, 3) for c in range(d * 4)] + [("t", 9, 0, 5)]
+    out = index.study_sample(spark.createDataFrame(rows, "scope string, doc_id long, chunk_index long, char_count long"), "scope", 6).collect()
+    mine = sorted((r["position"], r["doc_id"], r["chunk_index"]) for r in out if r["scope"] == "s")
+    assert [d for _, d, _ in mine] == [1, 2, 3, 1, 2, 3]
+    assert [c for _, d, c in mine if d == 3] == [0, 6]
+    assert [r["doc_id"] for r in out if r["scope"] == "t"] == [9]
+
+
+def test_answers_quote_what_shares_rare_words(spark):
+    docs = spark.createDataFrame([(1, "Gradients vanish in very deep networks of this kind. Bananas are yellow when they are quite ripe."), (2, "It prevents gradients from vanishing in all deep networks.")], "doc_id long, text string")
+    hits = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (8, 1, 2)], "query_id long, rank long, doc_id long")
+    asked = spark.createDataFrame([(7, "why do gradients vanish"), (8, "bananas")], "query_id long, query string")
+    out = terms.answers(hits, docs, asked).collect()
+    assert [(r["query_id"], r["source_rank"], r["line"]) for r in out] == [(7, 1, "Gradients vanish in very deep networks of this kind.")]
