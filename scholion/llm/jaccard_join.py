@@ -12,7 +12,7 @@ each document's component of links. The join is exact:
    pairs, those are skipped that share too few of their indexed shingles. What links is one component.
 4. *Answer level.* Sets of one component have their answer already and are never paired again. A component
    is cut into blocks, each a pivot set and its members' differences from it. Lists now hold blocks,
-   and only blocks of different components meet; a block's answers to a set are derived from the
+   and only blocks of different components meet, in lists where their positions can reach; a block's answers to a set are derived from the
    pivot's: |X and Y| = |P and Y| - |(P - X) and Y| + |(X - P) and Y|, over the differences alone.
 
 So a group of thousands of near copies costs its size, not its square. Sets are 64-bit hashes of
@@ -37,6 +37,8 @@ WORDS = 5
 FREQUENT = 1 << 17
 #: The lists in which a set meets the leading set, and the members of a block.
 LEADERS, MEMBERS = 8, 64
+#: Of blocks met before, a task keeps so many shingles (16 MB of hashes, and their texts).
+CACHED = 2_000_000
 #: Up to so many ids (16 MB) are broadcast to fetch their texts.
 BROADCAST_IDS = 2_000_000
 _STEP = 1 << 18
@@ -204,27 +206,51 @@ def _meet(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def blocks_link(left: list[str], right: list[str]) -> bool:
-    """Whether any text of one block links to any of another, with the pivot's answers for its members."""
-    if len(left) < len(right):
+def _block(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """A block's sets, what of the first one (the pivot) each lacks, and what each has beyond it."""
+    sets = [shingle_set(t) for t in texts]
+    less = [np.setdiff1d(sets[0], s, assume_unique=True) for s in sets]
+    return sets, less, [np.setdiff1d(s, sets[0], assume_unique=True) for s in sets]
+
+
+def _met(left: tuple, right: tuple) -> bool:
+    if len(left[0]) < len(right[0]):
         left, right = right, left
-    sets = [shingle_set(t) for t in left]
-    pivot = sets[0]
-    less = [np.setdiff1d(pivot, s, assume_unique=True) for s in sets]
-    more = [np.setdiff1d(s, pivot, assume_unique=True) for s in sets]
-    for y in (shingle_set(t) for t in right):
-        base = _meet(pivot, y)
+    sets, less, more = left
+    for y in right[0]:
+        base = _meet(sets[0], y)
         for s, lo, hi in zip(sets, less, more, strict=True):
             if 4 * min(len(s), len(y)) >= 3 * max(len(s), len(y)) and _linked(s, y, base - _meet(lo, y) + _meet(hi, y)):
                 return True
     return False
 
 
+def blocks_link(left: list[str], right: list[str]) -> bool:
+    """Whether any text of one block links to any of another, with the pivot's answers for its members."""
+    return _met(_block(left), _block(right))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (u, v, texts, texts) those whose texts link."""
+    """Of rows (u, v, texts, texts) those whose texts link. Blocks met before are kept, up to CACHED shingles."""
+    seen: dict[tuple[str, ...], tuple] = {}
+    held = 0
+
+    def block(texts: list[str]) -> tuple:
+        nonlocal held
+        key = tuple(texts)
+        if key not in seen:
+            made = _block(texts)
+            if held > CACHED:
+                seen.clear()
+                held = 0
+            seen[key] = made
+            held += sum(map(len, made[0]))
+        return seen[key]
+
     for batch in batches:
-        keep = [blocks_link(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for part in slices(batch, 2, 8 << 20):
+            keep = [_met(block(a), block(b)) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _can_share(a: str, b: str):
@@ -240,6 +266,12 @@ def _enough(shared, a: str, b: str):
     return shared + after >= F.ceil((F.col(a) + F.col(b)) * 3 / F.lit(7.0))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Written ids; up to a checked number of them, they are sent to the scan that they filter."""
+    ids = written(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some documents, all texts of an id together. Up to a checked number of ids they are sent to
     the scan; beyond, documents are dealt by id."""
@@ -306,11 +338,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     x, y = held.alias("x"), held.alias("y")
     may = (F.col("x.c") < F.col("y.c")) & (F.col("x.most") * 4 >= F.col("y.least") * 3) & (F.col("y.most") * 4 >= F.col("x.least") * 3)
     reach = F.least("x.left", "y.left") * 7 >= (F.col("x.least") + F.col("y.least")) * 3  # holds in the first list that a linking pair shares
-    met = x.join(y, (F.col("x._h") == F.col("y._h")) & may).groupBy(F.col("x.c").alias("u"), F.col("x.b").alias("ub"), F.col("y.c").alias("v"), F.col("y.b").alias("vb")).agg(
-        F.count(F.lit(1)).alias("k"), F.bool_or(reach).alias("reach"), F.bool_and(F.col("x.alone") & F.col("y.alone")).alias("both"), F.max("x.least").alias("xn"), F.max("y.least").alias("yn")
+    met = x.join(y, (F.col("x._h") == F.col("y._h")) & may & reach).groupBy(F.col("x.c").alias("u"), F.col("x.b").alias("ub"), F.col("y.c").alias("v"), F.col("y.b").alias("vb")).agg(
+        F.bool_and(F.col("x.alone") & F.col("y.alone")).alias("both")
     )
-    # k is what two single sets share in their indexed parts.
-    met = met.filter("reach").filter(~F.col("both") | _enough(F.col("k"), "xn", "yn")).select("u", "ub", "v", "vb")
+    met = written(met, "reaching")
+    single = met.filter("both").select("u", "ub", "v", "vb")
+    ids = single.select(F.explode(F.array("u", "v")).alias("_s")).distinct()
+    indexed = written(indexed.join(_sent(ids), "_s", "left_semi"), "indexed")
+    single = single.join(side("a"), F.col("u") == F.col("a_s")).join(side("b"), F.col("v") == F.col("b_s"))
+    single = single.filter(_enough(F.size(F.array_intersect("a_hs", "b_hs")), "a_n", "b_n")).select("u", "ub", "v", "vb")
+    met = met.filter("not both").select("u", "ub", "v", "vb").unionByName(single)
     met = written(met, "meetings")
     blocks = met.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("ub").alias("b")), F.struct(F.col("v").alias("c"), F.col("vb").alias("b")))).alias("k")).select("k.c", "k.b").distinct()
     texts = _texts_of(docs, placed.join(blocks, ["c", "b"], "left_semi").select(F.col("_s").alias("_id")))
