@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
@@ -50,3 +51,15 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
     rows = max(1, int(batch.num_rows * most // max(1, batch.column(column).nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most ``most`` rows for what is planned inside, for rows that hold many texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

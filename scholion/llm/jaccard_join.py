@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.llm.common import slices, written
+from scholion.llm.common import arrow_rows, slices, written
 from scholion.llm.components import components
 
 WORDS = 5
@@ -39,6 +39,8 @@ FREQUENT = 1 << 17
 LEADERS, MEMBERS = 8, 64
 #: Of blocks met before, a task keeps so many shingles (16 MB of hashes, and their texts).
 CACHED = 2_000_000
+#: Rows of an Arrow batch whose rows hold the texts of two blocks.
+BATCH = 128
 #: Up to so many ids (16 MB) are broadcast to fetch their texts.
 BROADCAST_IDS = 2_000_000
 _STEP = 1 << 18
@@ -248,9 +250,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return seen[key]
 
     for batch in batches:
-        for part in slices(batch, 2, 8 << 20):
-            keep = [_met(block(a), block(b)) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        keep = [_met(block(a.as_py()), block(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _can_share(a: str, b: str):
@@ -321,7 +322,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = written(pairs, "pairs")
     texts = _texts_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
     one = lambda x: texts.select(F.col("_id").alias(f"{x}_id"), F.col("_texts").alias(f"{x}_texts"))
-    edges = written(pairs.join(one("a"), F.col("u") == F.col("a_id")).join(one("b"), F.col("v") == F.col("b_id")).select("u", "v", "a_texts", "b_texts").mapInArrow(_verify, "u long, v long"), "links")
+    with arrow_rows(docs.sparkSession, BATCH):
+        edges = written(pairs.join(one("a"), F.col("u") == F.col("a_id")).join(one("b"), F.col("v") == F.col("b_id")).select("u", "v", "a_texts", "b_texts").mapInArrow(_verify, "u long, v long"), "links")
 
     # Components so far, in blocks; then only blocks of different components meet.
     part = written(components(edges), "components")
@@ -353,7 +355,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = _texts_of(docs, placed.join(blocks, ["c", "b"], "left_semi").select(F.col("_s").alias("_id")))
     group = texts.join(placed, F.col("_id") == F.col("_s")).groupBy("c", "b").agg(F.flatten(F.collect_list("_texts")).alias("texts"))
     of = lambda x: group.select(F.col("c").alias(f"{x}c"), F.col("b").alias(f"{x}b"), F.col("texts").alias(f"{x}t"))
-    more = met.join(of("x"), (F.col("u") == F.col("xc")) & (F.col("ub") == F.col("xb"))).join(of("y"), (F.col("v") == F.col("yc")) & (F.col("vb") == F.col("yb"))).select("u", "v", "xt", "yt").mapInArrow(_verify, "u long, v long")
+    with arrow_rows(docs.sparkSession, BATCH):
+        more = written(met.join(of("x"), (F.col("u") == F.col("xc")) & (F.col("ub") == F.col("xb"))).join(of("y"), (F.col("v") == F.col("yc")) & (F.col("vb") == F.col("yb"))).select("u", "v", "xt", "yt").mapInArrow(_verify, "u long, v long"), "links")
     final = written(components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
     named = sets.join(final, F.col("_rep") == F.col("node"), "left").select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), F.coalesce("component", "_rep").alias("component_id"), F.col("_equal").alias("n_equal"))
