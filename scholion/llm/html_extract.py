@@ -2,10 +2,10 @@
 
 A page becomes the sequence of its blocks: the text between two block-level tags, with the path of
 open containers above it. Each block is a vector of its hashed tag path (names, classes, ids, roles),
-its hashed words and a few measures, and a bidirectional LSTM in numpy reads the whole sequence, so that
+all its hashed words, how far they are those of notices, adverts, forms and comments, and a few measures, and a bidirectional LSTM in numpy reads the whole sequence, so that
 every block is classified with all of the page before and after it. The network is trained here, on pages that
 a generator makes up with known labels, by a fixed seed: it costs a few seconds, is the same on every
-run, and its weights, some 100 KB, travel to the workers with the task.
+run, and its weights, some 400 KB with those of words, travel to the workers with the task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH, WORDS, EXTRA, HIDDEN = 96, 24, 8, 20
+PATH, WORDS, EXTRA, HIDDEN = 96, 24, 10, 20
+#: Places of the table of word weights.
+TABLE = 1 << 16
 #: The bounds of training.
 PAGES, EPOCHS, BATCH = 480, 8, 24
 
@@ -34,6 +36,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w+")
 #: Elements that do not break a line of text.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -96,6 +99,15 @@ def _hash(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
+@lru_cache(50_000)
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _words(text: str) -> np.ndarray:
+    return np.array([_word_hash(w) for w in _WORD.findall(text.lower())], np.int64)
+
+
 _path_cache: dict[tuple[str, ...], np.ndarray] = {}
 
 
@@ -112,15 +124,18 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return known
 
 
-def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def features(blocks: list[tuple[str, tuple[str, ...], int]], weights: np.ndarray | None = None) -> np.ndarray:
+    """A row for each block; ``weights`` are those of ``word_weights`` if not given. All words of a block count."""
+    weights = word_weights() if weights is None else weights
     x = np.zeros((len(blocks), PATH + WORDS + EXTRA), np.float32)
     for n, (text, path, linked) in enumerate(blocks):
         x[n, :PATH] = _path_vector(path)
-        words = text.lower().split()
-        for w in words[:40]:
-            x[n, PATH + _hash(w, WORDS)] += 1 / min(40, len(words))
+        words, known, told = text.split(), _words(text), np.zeros(0, np.float32)
+        if len(known):
+            x[n, PATH : PATH + WORDS] = np.bincount(known % WORDS, minlength=WORDS) / len(known)
+            told = weights[known % TABLE]
         ends = path[-1].split()[0] if path else ""
-        x[n, -EXTRA:] = (np.log1p(len(words)) / 5, min(1.0, linked / len(text)), ends[:1] == "h" and ends[1:].isdigit(), ends == "li", ends == "p", len(path) / 10, text[-1] in ".!?", 1)
+        x[n, -EXTRA:] = (np.log1p(len(words)) / 5, min(1.0, linked / len(text)), ends[:1] == "h" and ends[1:].isdigit(), ends == "li", ends == "p", len(path) / 10, text[-1] in ".!?", told.sum() / (len(told) + 3), (told > 1).sum() / (len(told) + 3), 1)
     return x
 
 
@@ -229,12 +244,54 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: The words of notices, adverts, forms and comments of the pages made up for training, in four languages.
+VOCABULARY = {
+    "note": [
+        "cookie cookies accept consent privacy policy settings website browser tracking preferences analytics improve experience",
+        "cookies akzeptieren zustimmung datenschutz einstellungen webseite verwenden browser ablehnen verbessern",
+        "cookies accepter consentement confidentialité paramètres utilisons navigateur refuser préférences",
+        "cookies aceptar consentimiento privacidad configuración utilizamos navegador rechazar preferencias",
+    ],
+    "ad": [
+        "advertisement sponsored buy sale offer discount deal shop save free shipping order price exclusive",
+        "anzeige werbung gesponsert kaufen angebot rabatt sparen versandkostenfrei bestellen gutschein",
+        "publicité sponsorisé achetez offre promotion remise soldes livraison gratuite commandez",
+        "publicidad anuncio patrocinado compra oferta descuento rebajas envío gratis ahorra",
+    ],
+    "form": [
+        "subscribe newsletter sign email address enter inbox weekly updates login password register search latest",
+        "newsletter abonnieren anmelden adresse eingeben posteingang passwort registrieren suche absenden",
+        "newsletter abonnez inscrivez courriel mail entrez recevez passe connexion recherche actualités",
+        "boletín suscríbete regístrate correo electrónico introduce contraseña sesión buscar noticias",
+    ],
+    "talk": [
+        "comment comments reply posted says thanks great post agree share like report article guest",
+        "kommentar kommentare antworten gast danke toller beitrag zustimmen teilen melden",
+        "commentaire commentaires répondre publié invité merci accord partager aime signaler",
+        "comentario comentarios responder publicado invitado gracias acuerdo compartir gusta denunciar",
+    ],
+}
+#: Words that stand in main text and chrome alike.
+COMMON = [
+    "the of and to in a is that for it with on as are this by or be from at we our your you all not was have an which will can has more their its they but if one",
+    "der die das und in zu den von mit ist auf für nicht im ein eine dem sich wir ihre sie oder auch als an es werden aus er hat dass nach bei um am",
+    "le la les de et des en un une du que est pour dans par sur qui au nous votre vous à ce pas il plus avec ne se sont ou son tout elle aux",
+    "el la los de y en que un una del se por con para las es al lo su nuestro a no más como o este sus le ha me si sin sobre",
+]
+
+
 def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
-    """A page and the labels of its blocks. Words are made of random syllables, so that they tell nothing;
-    containers are semantic elements or named ``div``s; paragraphs may be left open."""
+    """A page and the labels of its blocks. Words are made of random syllables or common to all text, but most
+    notices, adverts, forms and comments draw from their own vocabulary. Containers are semantic elements or
+    named ``div``s; some of those with an own vocabulary have no telling tag or name. Paragraphs may be left open."""
+    tongue = rng.randrange(4)
+    common = COMMON[tongue].split()
     syllables = ["".join(rng.choice("bcdfghlmnprstvéüß") + rng.choice("aeiouö")) for _ in range(30)]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    line = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + rng.choice([".", ".", ".", "", "!"])
+    mixed = lambda share: rng.choice(common) if rng.random() < share else word()
+    ended = lambda words: " ".join(words).capitalize() + rng.choice([".", ".", ".", "", "!"])
+    told = [w for kind in VOCABULARY.values() for w in kind[tongue].split()]
+    line = lambda a, b, share=0.4: ended([rng.choice(told) if rng.random() < 0.03 else mixed(share) for _ in range(rng.randint(a, b))])
     parts: list[str] = []
     labels: list[int] = []
 
@@ -248,25 +305,33 @@ def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
             put("li", f'<a href="/{word()}">{line(1, 3)}</a>', 0)
         parts.append("</ul>")
 
-    def chrome(kind: str) -> None:
+    def chrome(kind: str, inside: bool = False) -> None:
         names = {
             "menu": ["nav", 'div class="menu"', 'div id="navigation"', 'div class="navbar"'], "head": ["header", 'div class="header"', 'div id="masthead"', 'div class="banner"'],
             "foot": ["footer", 'div class="footer"', 'div id="footer"', 'div class="site-footer"'], "side": ["aside", 'div class="sidebar"', 'div class="related"', 'div id="side"'],
             "note": ['div class="notice"', 'div class="cookie"', 'div role="alert"', 'div class="popup"'], "ad": ['div class="ad"', 'div class="ads"', 'div class="promo"', 'div class="sponsored"', 'div class="advert"'],
             "form": ["form", 'div class="newsletter"', 'form class="search"'], "talk": ['section class="comments"', 'div class="comment"', 'div id="comments"', 'div class="discussion"'],
         }
-        tag = rng.choice(names[kind])
+        own = VOCABULARY[kind][tongue].split() if kind in VOCABULARY and rng.random() < 0.75 else []
+        telling = rng.uniform(0.35, 0.85)
+        said = lambda a, b: ended([rng.choice(own) if rng.random() < telling else mixed(0.6) for _ in range(rng.randint(a, b))]) if own else line(a, b)
+        bare = bool(own) and rng.random() < 0.6
+        if bare and rng.random() < (0.8 if inside else 0.5):  # no container at all
+            for _ in range(rng.randint(1, 2)):
+                put(rng.choice(["p", "p", "div"]), said(4, 30), 0)
+            return
+        tag = "div" if bare else rng.choice(names[kind])
         parts.append(f"<{tag}>")
         if kind in ("menu", "side") and rng.random() < 0.8:
             links(rng.randint(2, 8))
         elif kind == "form":
-            put("label" if rng.random() < 0 else "p", line(1, 4), 0)
+            put("label" if rng.random() < 0 else "p", said(4, 14) if bare else said(1, 4), 0)
         elif rng.random() < 0.5:
-            parts.append(line(3, 14))
+            parts.append(said(4, 14))
             labels.append(0)
         else:
             for _ in range(rng.randint(1, 4)):
-                put("p", line(2, 30), 0)
+                put("p", said(4, 30) if bare else said(2, 30), 0)
         parts.append(f"</{tag.split()[0]}>")
 
     for kind in ("note", "head", "menu", "ad", "side", "form"):
@@ -287,10 +352,10 @@ def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
             parts.append("</ul>")
         elif roll < 0.2:
             put("blockquote", line(4, 20), 1)
-        elif roll < 0.26 and n:
-            chrome(rng.choice(["ad", "side", "form", "note"]))
+        elif roll < 0.4 and n:
+            chrome(rng.choice(["ad", "side", "form", "note", "ad", "form", "note", "talk"]), True)
         else:
-            text = line(1, 60)
+            text = line(1, rng.choice([8, 60, 60]), rng.uniform(0, 0.9))
             put("p", f"<b>{text}<br>" if rng.random() < 0.25 else text, 1, rng.random() < 0.85)
     parts.append(f"</{tag.split()[0]}>")
     for kind in ("talk", "side", "form", "ad", "foot"):
@@ -300,14 +365,31 @@ def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
 
 
 @lru_cache(1)
-def trained() -> Labeller:
-    rng = random.Random(12)
-    pages = []
+def _made_up() -> list[tuple[list[tuple[str, tuple[str, ...], int]], list[int]]]:
+    rng, pages = random.Random(12), []
     for _ in range(PAGES):
         page, labels = made_up_page(rng)
         blocks = blocks_of(page)
         if len(blocks) == len(labels):  # a line that came out empty shifts the labels
-            pages.append((features(blocks), np.array(labels, np.float32)))
+            pages.append((blocks, labels))
+    return pages
+
+
+@lru_cache(1)
+def word_weights() -> np.ndarray:
+    """By hashed word, how much likelier it stands in a dropped than in a kept block: the logarithm of the ratio,
+    over the blocks of the pages made up for training. Words seen in fewer than five blocks tell nothing."""
+    seen = np.zeros((2, TABLE), np.float32)
+    for blocks, labels in _made_up():
+        for (text, _, _), label in zip(blocks, labels, strict=True):
+            seen[label, np.unique(_words(text) % TABLE)] += 1
+    share = np.log((seen + 1) / (seen.sum(1, keepdims=True) + 1))
+    return np.where(seen.sum(0) >= 5, np.clip(share[0] - share[1], -3, 3), 0).astype(np.float32)
+
+
+@lru_cache(1)
+def trained() -> Labeller:
+    pages = [(features(blocks), np.array(labels, np.float32)) for blocks, labels in _made_up()]
     model = Labeller()
     model.train(pages)
     return model
@@ -320,7 +402,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
     without main text, has the empty text. Repeated rows get the same text; a null in ``keep`` is carried.
     Nothing is cut: pages of any length are read whole, in slices of a few MB a worker.
     """
-    model = trained()
+    model, weights = trained(), word_weights()
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +410,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 pages = [blocks_of(p or "") for p in part.column(len(keep)).to_pylist()]
-                texts = ["\n\n".join(b[0] for b, p in zip(blocks, chance, strict=True) if p >= 0.5) for blocks, chance in zip(pages, model.probabilities([features(b) for b in pages]), strict=True)]
+                texts = ["\n\n".join(b[0] for b, p in zip(blocks, chance, strict=True) if p >= 0.5) for blocks, chance in zip(pages, model.probabilities([features(b, weights) for b in pages]), strict=True)]
                 yield pa.record_batch([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, pages), pa.int64())], [*keep, "text", "n_chars", "n_blocks"])
 
     return df.select(*keep, html_col).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string", "n_chars long", "n_blocks long"]))
