@@ -29,7 +29,7 @@ TABLE = 1 << 16
 PAGES, EPOCHS, BATCH = 480, 8, 24
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|title|iframe|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|title|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -44,7 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters inside links) of each block with text, in page order. Comments, scripts,
-    styles, the head and other raw elements are markup. A block-level tag ends a block; ``br`` is white
+    styles and other raw elements are markup. The head has none but such and void elements, so its tags are
+    passed over: its end tag may be missing, and text or any other tag is the body's. A block-level tag ends a block; ``br`` is white
     space. A closing tag closes what is open inside it; one that was never opened is ignored."""
     out: list[tuple[str, tuple[str, ...], int]] = []
     stack: list[tuple[str, str]] = []
@@ -77,6 +78,8 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 in_link = 0 if m["end"] else 1
             continue
         flush()
+        if tag == "head":
+            continue
         if m["end"]:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
