@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from scholion.functions.text import bigrams, tokens
 
 #: Up to so many rows a query table is sent to every task; beyond, it is dealt by term.
 BROADCAST_ROWS = 100_000
+#: Rows of a block of dense vectors.
+BLOCK_ROWS = 2_000
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -73,6 +77,48 @@ def sparse_cosine(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     return top_k(scored, k)
 
 
+def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k nearest of ``vectors`` to each of ``queries`` by cosine, exactly. A vector
+    is not its own neighbour (by id). Blocks of rows meet in pairs, and k rows a query leave a pair. Vectors are
+    compared where their dimensions are equal; null, zero or not finite ones, and null ids, are left out."""
+
+    def usable(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+        bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return rows.filter(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+
+    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
+        return df.withColumn(names[0], mine).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    def nearest(asked: pa.Table, given: pa.Table) -> pa.Table:
+        if not (asked.num_rows and given.num_rows):
+            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids = [t["id"].to_numpy() for t in (asked, given)]
+        units = []
+        for t in (asked, given):
+            m = t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            m = m / np.abs(m).max(1, keepdims=True)
+            units.append(m / np.sqrt((m * m).sum(1, keepdims=True)))
+        out: list[list] = [[], [], []]
+        for n, scores in enumerate(np.round(units[0] @ units[1].T, 6)):
+            other = np.flatnonzero(ids[1] != ids[0][n])
+            if len(other) > k:
+                at = np.partition(scores[other], len(other) - k)[len(other) - k]
+                other = other[scores[other] >= at]
+            best = other[np.lexsort((ids[1][other], -scores[other]))][:k]
+            out[0].append(np.full(len(best), ids[0][n]))
+            out[1].append(ids[1][best])
+            out[2].append(scores[best] + 0.0)
+        return pa.table({name: np.concatenate(c) for name, c in zip(("query_id", "doc_id", "score"), out, strict=True)})
+
+    left, right = usable(queries), usable(vectors)
+    a, b = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    keys = ["dim", "qb", "vb"]
+    pairs = dealt(left, a, b, ("qb", "vb")).groupBy(*keys).cogroup(dealt(right, b, a, ("vb", "qb")).groupBy(*keys))
+    return top_k(pairs.applyInArrow(nearest, "query_id long, doc_id long, score double"), k)
+
+
 def fuse(rankings: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, source, doc_id, rank); ties by vector rank, keyword rank, id."""
     by = rankings.groupBy("query_id", "doc_id").agg(

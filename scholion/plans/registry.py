@@ -146,6 +146,16 @@ def sparse_cosine_topk(spark, sf):
     return _vectors(spark, sf, 5)
 
 
+@query("""WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT q.id AS query_id, c.id AS doc_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= 5""")
+def dense_cosine_topk(spark, sf):
+    # Every vector is a query.
+    vectors = table(spark, sf, "embeddings")
+    return search.dense_cosine(vectors, vectors)
+
+
 def _rankings(spark, sf, k=30):
     return _vectors(spark, sf, k).withColumn("source", F.lit("vector")).unionByName(search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), k).withColumn("source", F.lit("keyword")))
 
