@@ -7,11 +7,11 @@ next stage's documents. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.llm import bpe, exact_dedup, jaccard_join, langid, mixing
-from scholion.llm.common import table, written
+from scholion.llm.common import ascii_lower, table, written
 
 #: Up to so many ids (16 MB) are sent to the scan that filters by them; beyond, documents are dealt by id.
 BROADCAST_IDS = 2_000_000
@@ -23,21 +23,70 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
 
 
+def _repeated(docs: DataFrame) -> DataFrame | None:
+    """The ids (column _keep) that several rows of ``docs`` have; None if there are none."""
+    ids = written(docs.groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_keep"), "repeated")
+    return None if ids.isEmpty() else ids
+
+
+def _by_row(docs: DataFrame, kept: DataFrame, sha: Column, once: bool) -> DataFrame:
+    """``docs`` whose id and text digest ``sha`` are among ``kept`` (columns _keep, _sha). With ``once``, of the rows
+    that have an id and a digest in common the one with the smallest text and other columns stays."""
+    kept = kept.distinct()
+    marked = docs.withColumn("_s", sha)
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep"]) & (marked["_s"] == kept["_sha"]), "left_semi")
+    if once:
+        order = Window.partitionBy("doc_id", "_s").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        found = found.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    return found.select(*docs.columns)
+
+
+def _split(docs: DataFrame, ids: DataFrame, repeated: DataFrame, kept: DataFrame, sha: Column, once: bool) -> DataFrame:
+    """Rows of an id of their own stay by id, those that share one by what was decided on the row itself."""
+    several = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_keep"]), "left_semi")
+    single = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_keep"]), "left_anti")
+    return _only(single, ids).unionByName(_by_row(several, kept, sha, once))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: those without any letter, or without text, go."""
+    """Documents whose language is told: those without any letter, or without text, go. Each row goes by its own text."""
     told = langid.identify(docs)
-    return _only(docs, told.filter("lang_pred <> 'und'").select(F.col("doc_id").alias("_keep")))
+    ids = told.filter("lang_pred <> 'und'").select(F.col("doc_id").alias("_keep"))
+    repeated = _repeated(docs)
+    if repeated is None:
+        return _only(docs, ids)
+    several = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_keep"]), "left_semi")
+    model = langid.fit(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(True))))
+    texts = several.select("doc_id", "text", _digest(F.col("text")).alias("_sha"))
+    own = langid.predict(texts, model, "_sha", "text").filter("lang_pred <> 'und'").select("_sha")
+    return _split(docs, ids, repeated, texts.join(own.distinct(), "_sha", "left_semi").select(F.col("doc_id").alias("_keep"), "_sha"), _digest(F.col("text")), False)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep")))
+    """Of equal texts, the document with the largest id; once, if it is repeated."""
+    found = exact_dedup.exact_dedup(docs).filter("kept")
+    ids = found.select(F.col("doc_id").alias("_keep"))
+    repeated = _repeated(docs)
+    if repeated is None:
+        return _only(docs, ids)
+    return _split(docs, ids, repeated, found.select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")), F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256), True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id."""
+    """Of each component of near copies, the document with the smallest id. A repeated id is one document of several
+    texts, each of which stays once."""
     linked = jaccard_join.near_duplicates(docs)
-    return _only(docs, linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")))
+    ids = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
+    repeated = _repeated(docs)
+    if repeated is None:
+        return _only(docs, ids)
+    ids = written(ids.distinct(), "kept")
+    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi").select(F.col("doc_id").alias("_keep"), _digest(F.col("text")).alias("_sha"))
+    return _split(docs, ids, repeated, kept, _digest(F.col("text")), True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
