@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from scholion.llm.common import slices
 
 LEAF = 24
-CACHE = 200_000
+CACHE = 100_000
 NONE = 1 << 60
 BLOCK = 1 << 16
 
@@ -148,6 +148,34 @@ def encode_text(text: str, find: regex.Pattern, ids: _Cached) -> Iterator[int]:
     return chain.from_iterable(ids[m.group()] for m in find.finditer(text))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
+    """(_id, ids) of batches (id, text)."""
+    ids, find = _Cached(Bpe(ranks)), regex.compile(pattern)
+    for part in (part for batch in batches for part in slices(batch, 1)):
+        lists = [pa.array(np.fromiter(encode_text(t.as_py() or "", find, ids), np.int32)) for t in part.column(1)]
+        yield pa.record_batch([part.column(0), _lists(lists, pa.int32())], ["_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the bytes of the ids in column ``at``."""
+    token = {r: t for t, r in ranks.items()}
+    for part in (part for batch in batches for part in slices(batch, at, 1 << 20)):
+        out = []
+        for ids in part.column(at):
+            if not ids.is_valid:
+                out.append(None)
+                continue
+            each = map(token.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())
+            out.append(concat_tree([b"".join(block) for block in iter(lambda each=each: tuple(islice(each, 4096)), ())]))
+        yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
+
+
+def _vocabulary(df: DataFrame, ranks_path: str):
+    """A broadcast vocabulary file."""
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for each row of ``df``: the token ids of the whole text.
 
@@ -156,21 +184,37 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     once by the driver and sent to the workers (a vocabulary, so of fixed size); ``pattern`` splits a
     text into stretches that are encoded separately.
     """
-    spark = df.sparkSession
-    with open(ranks_path, "rb") as f:
-        content = spark.sparkContext.broadcast(f.read())
+    content, kind = _vocabulary(df, ranks_path), dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, find = _Cached(Bpe(parse_ranks(content.value))), regex.compile(pattern)
-        for batch in batches:
-            for part in slices(batch, 1):
-                lists = [pa.array(np.fromiter(encode_text(t, find, ids), np.int32)) for t in ("" if t is None else t for t in part.column(1).to_pylist())]
-                yield pa.record_batch([part.column(0), _lists(lists, pa.int32())], ["_id", "ids"])
+        return _encoded(batches, parse_ranks(content.value), pattern)
 
-    kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
+    """``df`` with a column ``decoded`` (binary): the bytes of the ids, concatenated. Null ids give
+    null bytes; an id that the vocabulary lacks is an error."""
+    content, at = _vocabulary(df, ranks_path), df.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(batches, parse_ranks(content.value), at)
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "decoded binary"]))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, (id, ids, decoded), in one pass: a task has one Python worker and one vocabulary, and
+    ids do not go back and forth between them."""
+    content, kind = _vocabulary(df, ranks_path), dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = parse_ranks(content.value)
+        return _decoded(_encoded(batches, ranks, pattern), ranks, 1)
+
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, ids array<int>, decoded binary").withColumnRenamed("_id", id_col)
+
+
 def _lists(values: list[pa.Array], kind: pa.DataType) -> pa.ListArray:
     ends = [0]
     for v in values:
@@ -183,28 +227,3 @@ def concat_tree(parts: list[bytes]) -> bytes:
     while len(parts) > 1:
         parts = [b"".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
     return parts[0] if parts else b""
-
-
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """``df`` with a column ``decoded`` (binary): the bytes of the ids, concatenated. Null ids give
-    null bytes; an id that the vocabulary lacks is an error."""
-    spark = df.sparkSession
-    with open(ranks_path, "rb") as f:
-        content = spark.sparkContext.broadcast(f.read())
-    names = df.columns
-    at = names.index(ids_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {r: t for t, r in parse_ranks(content.value).items()}
-        for batch in batches:
-            for part in slices(batch, at):
-                out = []
-                for ids in part.column(at):
-                    if not ids.is_valid:
-                        out.append(None)
-                        continue
-                    each = map(token.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())
-                    out.append(concat_tree([b"".join(block) for block in iter(lambda each=each: tuple(islice(each, 4096)), ())]))
-                yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*names, "decoded"])
-
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "decoded binary"]))

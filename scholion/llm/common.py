@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,11 @@ def ascii_lower(text: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's checkpoint directory, or, where the
-    session names none (a test on one machine), a fresh temporary one."""
+    session names none and runs on one machine (a test), a fresh temporary one. A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="scholion-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -46,11 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of a column each (a row at least), so that memory stays bounded."""
-    rows = max(1, int(batch.num_rows * most // max(1, batch.column(column).nbytes)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, in order, with at most ``most`` bytes (or list entries) of a column and ``rows`` rows each (a
+    row at least), so that memory stays bounded however uneven the texts are."""
+    values = batch.column(column)
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 @contextmanager

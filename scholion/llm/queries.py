@@ -19,7 +19,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN), RANKS)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import public_tokenizers as P
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scholion.llm import bpe, chat, exact_dedup, langid, license_scan, mips, mixing
+from scholion.llm import bpe, chat, exact_dedup, langid, license_scan, mips, mixing, queries
 
 LONG = "".join(random.Random(5).choice("abc. \nXYZé") for _ in range(60_000))
 TEXTS = ["", None, "Abc. def", "aBC. DEF", "aBC. DEF ", "É", "é", LONG, LONG.swapcase(), LONG + "x", "x" + LONG, "a" * 5000, "A" * 5000]
@@ -70,6 +71,21 @@ def test_bpe_round_trip(spark):
     for r in bpe.decode(bpe.encode(df, path, P.PATTERN), path).collect():
         assert bytes(r["decoded"]).decode() == (TEXTS[r["doc_id"]] or "")
     assert bpe.decode(bpe.encode(df.limit(0), path, P.PATTERN), path).count() == 0
+    both = bpe.decode(bpe.encode(df, path, P.PATTERN), path)
+    assert sorted(map(str, bpe.round_trip(df, path, P.PATTERN).collect())) == sorted(map(str, both.collect()))
+
+
+def test_bpe_query_against_tiktoken(spark, reference):
+    """The query's digests, with null and repeated ids."""
+    rows = [*enumerate(TEXTS), (None, "null id"), (3, "again"), (3, "again")]
+    folder = tempfile.mkdtemp(prefix="scholion-test-")
+    spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    want = []
+    for i, t in rows:
+        ids = reference.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = queries.op2_bpe(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
 def products(rows, k=5):
@@ -125,6 +141,70 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def grams_of(text):
+    b = text.encode().lower()
+    return {b[i : i + n] for n in range(1, 5) for i in range(len(b) - n + 1)}
+
+
+def test_language_id_against_plain_kernel_ridge(spark):
+    """The same sample, vocabulary, kernel and ridge regression over Python sets."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = df.withColumn("h", F.xxhash64("doc_id")).withColumn("held", langid.held_out(F.col("doc_id"))).collect()
+    sample = {}
+    for r in sorted(rows, key=lambda r: r["h"]):
+        if not r["held"] and r["lang"] and r["text"] is not None:
+            sample.setdefault(r["lang"], []).append(grams_of(r["text"]))
+    langs = sorted(sample)
+    sample = {lang: sets[: langid.SAMPLE] for lang, sets in sample.items()}
+    share = {lang: {} for lang in langs}
+    for lang in langs:
+        for s in sample[lang]:
+            for g in s:
+                share[lang][g] = share[lang].get(g, 0) + 1 / len(sample[lang])
+    spread = {g: max(share[x].get(g, 0) for x in langs) - min(share[x].get(g, 0) for x in langs) for g in set().union(*share.values())}
+    vocabulary = set(sorted(spread, key=lambda g: (-round(spread[g], 12), len(g), g))[: langid.GRAMS])
+    cut = {lang: [s & vocabulary for s in sets] for lang, sets in sample.items()}
+    kernel = lambda a, b: len(a & b) / max(1, len(a)) ** 0.5 / max(1, len(b)) ** 0.5
+    every = [(lang, s) for lang in langs for s in cut[lang]]
+    marks = [s for lang in langs for s in cut[lang][: langid.LANDMARKS]]
+    k = np.array([[kernel(s, m) for m in marks] for _, s in every])
+    kk = np.array([[kernel(s, m) for m in marks] for s in marks])
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in every])
+    weights = np.linalg.solve(k.T @ k + langid.RIDGE * len(every) * kk + 1e-8 * np.eye(len(marks)), k.T @ y)
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        told = r["text"] is not None and any(c.isalpha() for c in r["text"])
+        scores = np.array([kernel(grams_of(r["text"]) & vocabulary, m) for m in marks]) @ weights if told else None
+        assert got[r["doc_id"]]["held_out"] == r["held"]
+        assert got[r["doc_id"]]["lang_pred"] == (langs[int(scores.argmax())] if told else "und")
+        assert abs(got[r["doc_id"]]["score"] - (min(1, max(0, (scores.max() + 1) / 2)) if told else 0)) < 1e-3
+
+
+def test_language_id_odd_tables(spark):
+    """Long texts, repeated and null ids, many labels, extra columns, and rows that are carried."""
+    rows = [(1, "der hund " * 60_000, "de", "x"), (1, "the dog and the cat", "en", "y"), (1, "the dog and the cat", "en", "y"), (None, "the cat", "en", None), (2, "é" * 5, None, "z"), (3, "", "en", "")]
+    rows += [(100 + i, f"word{i} other{i % 7}", f"l{i}", "") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred_ string")
+    got = langid.identify(df, keep=df.columns).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["lang"], r["lang_pred_"]) for r in got))) == sorted(map(str, rows))
+    assert all((r["lang_pred"] == "und") == (r["text"] == "") for r in got)
+    sample = langid.sample_of(df).collect()
+    assert {r["_lang"] for r in sample} == {r[2] for r in rows if r[2]} and sum(r["_lang"] == "en" for r in sample) == 3
+    with pytest.raises(ValueError):
+        langid.identify(df.withColumnRenamed("lang_pred_", "score"), keep=["doc_id", "score"])
+
+
+def test_grams_find_what_occurs():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdé") for _ in range(3 * langid.BLOCK)).encode()
+    keys = sorted({(n << 32) | int(langid.codes(text)[n - 1][rng.randrange(1000)]) for n in range(1, 5) for _ in range(900)} | {(4 << 32) | 7, (3 << 32) | 9})
+    grams, row = langid.Grams(keys), np.zeros(len(keys), np.uint8)
+    grams.mark(text, row)
+    held = {(n + 1) << 32 | int(c) for n, code in enumerate(langid.codes(text)) for c in np.unique(code)}
+    assert row.sum() == len(held & set(keys)) == len(keys) - 2
+
+
 def test_licence_scan(spark):
     texts = ["Under the MIT License; under-the mit LICENSE", "cc by nc", "a cc-by-nc 4", None, "", "the Apache license, version 2.0", "Licensed under CC BY-NC 4.0.", "this program is free software you can redistribute it and or alter it under the terms of the GNU General Public License", "license mit nc", "ünder the mit license"]
     out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
