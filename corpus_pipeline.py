@@ -53,17 +53,9 @@ def _digest(text: Column) -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: those without any letter, or without text, go. Each row goes by its own text."""
-    told = langid.identify(docs)
-    ids = told.filter("lang_pred <> 'und'").select(F.col("doc_id").alias("_keep"))
-    repeated = _repeated(docs)
-    if repeated is None:
-        return _only(docs, ids)
-    several = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_keep"]), "left_semi")
-    model = langid.fit(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(True))))
-    texts = several.select("doc_id", "text", _digest(F.col("text")).alias("_sha"))
-    own = langid.predict(texts, model, "_sha", "text").filter("lang_pred <> 'und'").select("_sha")
-    return _split(docs, ids, repeated, texts.join(own.distinct(), "_sha", "left_semi").select(F.col("doc_id").alias("_keep"), "_sha"), _digest(F.col("text")), False)
+    """Documents whose language is told: those without any letter, or without text, go. Each row goes by its own text,
+    where it is read: nothing is joined."""
+    return langid.identify(docs, keep=docs.columns).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,7 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, n_bytes) of each document; the ids' bytes are decoded again and counted."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.octet_length("decoded").cast("long").alias("n_bytes"))
 
 
