@@ -50,6 +50,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way; ``clear`` deletes those written so far, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/scholion-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, in order, with at most ``most`` bytes (or list entries) of a column and ``rows`` rows each (a
     row at least), so that memory stays bounded however uneven the texts are."""

@@ -11,29 +11,38 @@ document or earlier in the same one. To find these strings over any number of ma
    only the first is sent, so that a passage in a third of all documents meets itself once a slice.
 3. *Suffixes.* Records that share an anchor but not all bytes are gathered, as bytes, in collections of bounded size.
    A collection is cut into shards; every shard is sorted by suffix and gives its Burrows-Wheeler transform.
-   The transforms are merged by refining their interleave: stably sorting the interleave by the merged
-   transform's symbols orders it by one more leading symbol, and where neighbours of a bucket come from
-   different blocks, a block begins, which is where their common prefix ends. No suffix is compared or
-   sorted again. After ``length`` rounds, blocks are the intervals of equal windows, and all but the earliest
-   window of a block repeat.
-4. Anchors with more than ``HOT`` different records are settled window by window with a plain
-   aggregate, so that no collection grows with the data.
+   The transforms are merged by refining their interleave: stably sorting it by the merged transform's
+   symbols (two at a time) orders it by as many more leading symbols, and where neighbours of a bucket come from
+   different blocks, a block begins. A block that holds rotations of one shard only is settled: their order and
+   which of them are equal is known from that shard, so the refinement goes on with the blocks in which shards
+   still meet. No suffix is compared or sorted again. After ``length`` symbols, blocks are the intervals of equal
+   windows, and all but the earliest window of a block repeat.
+4. Records of an anchor that has more than ``HOT`` different ones are cut by further context first: windows whose
+   anchor stands at one of ``PLACES`` neighbouring places share all but a few bytes, and are dealt by a hash of those.
+   What is still hot then is cut into single windows, whose class is one interval of equal windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.llm.common import slices, written
+from scholion.llm.common import Scratch, slices, written
 
 LENGTH, GRAM = 100, 40
-#: Records of one anchor, bytes of a collection and of a shard, rows sent to every task.
-HOT, COLLECTION, SHARD, BROADCAST_ROWS = 2000, 2 << 20, 256 << 10, 500_000
+#: Different records of an anchor, neighbouring places of an anchor, bytes of a collection and of a shard.
+HOT, PLACES, COLLECTION, SHARD = 2000, 8, 1 << 20, 256 << 10
+#: Tasks that merge collections: one for so many bytes, but no more than that.
+TASK_BYTES, TASKS = 4 << 20, 20_000
+#: Spans of documents that are sent to every task, as counted entries (16 bytes each).
+BROADCAST_SPANS = 2_000_000
+#: A byte that UTF-8 never has.
+SEPARATOR = 0xFF
 _STEP = 1 << 17
 _LOW = np.uint64((1 << 18) - 1)
 _BASE = 0xD1B54A32D192ED03
@@ -79,33 +88,34 @@ def records(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield h[at[first]].view(np.int64), digest.view(np.int64), first + start, place, more
 
 
-_ROW = "_f long, _g long, _id long, _s int, _a int, _e int, _kind int"
-_NAMES = ["_f", "_g", "_id", "_s", "_a", "_e", "_kind"]
+_ROW = "_f long, _g long, _id long, _n int, _s int, _e int, _kind int"
+_NAMES = ["_f", "_g", "_id", "_n", "_s", "_e", "_kind"]
 #: Kinds of rows: a record, a repeated one, one to compare.
 RECORD, REPEATED, COMPARE = 0, 1, 2
 
 
-def _batch(f, g, i, s, a, e, kind) -> pa.RecordBatch:
-    return pa.record_batch([f, g, i, s.astype(np.int32), a.astype(np.int32), e.astype(np.int32), kind.astype(np.int32)], _NAMES)
+def _batch(f, g, i, n, s, e, kind) -> pa.RecordBatch:
+    return pa.record_batch([f, g, i, *(c.astype(np.int32) for c in (n, s, e, kind))], _NAMES)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for batch in batches for part in slices(batch, 1, 6 << 20)):
+    """The records of rows (_id, _n, _text)."""
+    for batch in (part for batch in batches for part in slices(batch, 2, 6 << 20)):
         cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for f, g, s, a, e in records((t or "").encode()):
-                for c, v in zip(cols, (f, g, np.full(len(f), i), s, a, e), strict=True):
+        for i, n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for f, g, s, _, e in records((t.as_py() or "").encode()):
+                for c, v in zip(cols, (f, g, np.full(len(f), i), np.full(len(f), n), s, e), strict=True):
                     c.append(v)
         if not cols[0]:
             continue
-        f, g, i, s, a, e = map(np.concatenate, cols)
-        order = np.lexsort((s, i, g, f))
-        f, g, i, s, a, e = (c[order] for c in (f, g, i, s, a, e))
+        f, g, i, n, s, e = map(np.concatenate, cols)
+        order = np.lexsort((s, n, i, g, f))
+        f, g, i, n, s, e = (c[order] for c in (f, g, i, n, s, e))
         fresh = np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1])])
         head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        repeated = (i != i[head]) | (s != s[head])
+        repeated = (i != i[head]) | (n != n[head]) | (s != s[head])
         keep = fresh | repeated  # what is left out is a row of the same id and text
-        yield _batch(*(c[keep] for c in (f, g, i, s, a, e, repeated)))
+        yield _batch(*(c[keep] for c in (f, g, i, n, s, e, repeated)))
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +133,12 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held is not None:
             rows = np.concatenate([held[:, None], rows], 1)
-        f, g, i, s = rows[:4]
+        f, g, i, n, s = rows[:5]
         new_f = np.concatenate([[True], f[1:] != f[:-1]])
         new_g = new_f | np.concatenate([[True], g[1:] != g[:-1]])
         heads = np.flatnonzero(new_g)
         head = heads[np.cumsum(new_g) - 1]
-        repeated = (i != i[head]) | (s != s[head])
+        repeated = (i != i[head]) | (n != n[head]) | (s != s[head])
         group = np.cumsum(new_f) - 1
         count = np.bincount(group[heads])
         if held is not None and several:
@@ -145,132 +155,191 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = several or was_given
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``text`` (uint16) in the order of their first ``depth`` symbols or more, by doubling."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations of ``text`` (bytes) in the order of their first ``depth`` (8 or more) symbols, and which of them differ
+    in these from the one before. Eight symbols are one number; from there a rotation is ordered by its own rank and the
+    rank of what follows, for as long as it shares its rank."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    done = 1
-    while True:
-        key = rank.astype(np.int64) * (int(rank.max()) + 1) + np.roll(rank, -(done % n))
-        done *= 2
-        if done >= depth:
-            return np.argsort(key, kind="stable")
-        _, rank = np.unique(key, return_inverse=True)
-
-
-def merged_blocks(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, position, block) of all rotations in the order of their first ``depth`` symbols; a block
-    is an interval of rotations that share all of them. From the shards' transforms, by refining the interleave."""
-    orders = [suffix_order(t, depth) for t in shards]
-    bwts = [t[o - 1] for t, o in zip(shards, orders, strict=True)]
+    first = np.zeros(n, np.uint64)
+    for k in range(8):
+        first = (first << np.uint64(8)) | np.roll(text, -k)
+    order = np.argsort(first)
+    first = first[order]
+    edge = np.concatenate([[True], first[1:] != first[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+    done = 8
+    while done < depth:
+        alone = edge & np.concatenate([edge[1:], [True]])
+        shared = np.flatnonzero(~alone)
+        if not len(shared):
+            break
+        step = min(done, depth - done)
+        at = order[shared]
+        key = rank[at] * n + rank[(at + step) % n]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[shared] = at
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        edge[shared] = fresh
+        rank[at] = shared[fresh][np.cumsum(fresh) - 1]
+        done += step
+    return order, edge
+
+
+def merged_classes(shards: list[np.ndarray], depth: int) -> np.ndarray:
+    """For every rotation of every shard, in the order of the concatenated texts, a number that rotations with the
+    same first ``depth`` (even) symbols share, from the shards' transforms, by refining their interleave."""
     starts = np.cumsum([0, *map(len, shards)])
-    flat = np.concatenate(bwts)
-    where = np.repeat(np.arange(len(shards)), [len(t) for t in shards]).astype(np.int16)
-    block = np.zeros(len(flat), np.int32)
-    many = len(shards) > 1
-
-    def own_rank(z: np.ndarray) -> np.ndarray:
-        """For each entry of an interleave, its index in the concatenated shards."""
-        out = np.empty(len(z), np.int64)
-        out[np.argsort(z, kind="stable")] = np.arange(len(z))
-        return out
-
-    for _ in range(depth):
-        symbol = flat[own_rank(where)] if many else flat
+    where = np.repeat(np.arange(len(shards), dtype=np.int16), [len(t) for t in shards])
+    place = np.empty(starts[-1], np.int64)  # of every row of a shard's order, its place in the concatenated texts
+    label = np.empty(starts[-1], np.int64)  # of every row, the first row that its shard knows to be equal
+    transform, back = np.empty(starts[-1], np.uint16), np.empty(starts[-1], np.int64)  # the two symbols before a row, and the row that starts with them
+    for text, start in zip(shards, starts, strict=False):
+        order, edge = suffix_order(text, depth)
+        own = slice(start, start + len(text))
+        place[own] = start + order
+        label[own] = start + np.flatnonzero(edge)[np.cumsum(edge) - 1]
+        row = np.empty(len(text), np.int64)
+        row[order] = np.arange(start, start + len(text))
+        pairs = (np.roll(text, 2).astype(np.uint16) << np.uint16(8)) | np.roll(text, 1)
+        transform[own], back[own] = pairs[order], row[order - 2]
+    rows, block = np.arange(starts[-1]), np.zeros(starts[-1], np.int64)
+    for _ in range(depth // 2 if len(shards) > 1 else 0):
+        symbol = transform[rows]
         by = np.argsort(symbol, kind="stable")
-        before = block[by]
-        symbol = symbol[by]
-        edge = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        block = np.concatenate([[0], np.cumsum(edge, dtype=np.int32)]).astype(np.int32)
-        where = where[by]
-    at = np.concatenate(orders)[own_rank(where)]
-    return where, at, block
-
-
-def repeated_windows(items: list[tuple[int, int, int, bytes]], length: int = LENGTH, shard: int = SHARD) -> list[tuple[int, int]]:
-    """(document, start) of the windows that also start earlier, of items (document, start, windows after the first, bytes)."""
-    texts, tables = [], []
-    size = shard + 1
-    for i, s, e, b in items:
+        rows, before, symbol = back[rows[by]], block[by], symbol[by]
+        first = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])]))
+        sizes, shard = np.diff(np.append(first, len(rows))), where[rows]
+        meet = np.minimum.reduceat(shard, first) != np.maximum.reduceat(shard, first)
+        rows, block = rows[np.repeat(meet, sizes)], np.repeat(np.arange(np.count_nonzero(meet)), sizes[meet])
+        if not len(rows):
+            break
+    if len(shards) > 1 and len(rows):  # intervals in which shards meet: one number for the numbers of the shards
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        label[rows] = np.minimum.reduceat(label[rows], first)[block]
+    out = np.empty(len(place), np.int64)
+    out[place] = label
+    return out
+
+
+def repeated_windows(items: list[tuple[tuple[int, int], int, int, bytes]], length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
+    """Rows (document, ordinal, start) of the windows that also start earlier, of items ((document, ordinal), start,
+    windows after the first, bytes)."""
+    shards, at, size = [[]], [], 0
+    for key, s, e, b in items:
         if size > shard:
-            texts.append([])
-            tables.append([])
+            shards.append([])
             size = 0
-        own = np.frombuffer(b, np.uint8).astype(np.uint16) + 1
-        texts[-1].append(np.append(own, np.uint16(0)))
-        table = np.full((2, len(own) + 1), -1, np.int64)
-        table[0, : e + 1], table[1, : e + 1] = i, np.arange(s, s + e + 1)
-        tables[-1].append(table)
-        size += len(own) + 1
-    joined = [np.concatenate(t) for t in texts]
-    tabled = np.concatenate([np.concatenate(t, 1) for t in tables], 1)
-    where, at, block = merged_blocks(joined, length)
-    starts = np.cumsum([0, *map(len, joined)])
-    doc, pos = tabled[:, starts[where] + at]
-    valid = pos >= 0
-    doc, pos, block = doc[valid], pos[valid], block[valid]
-    order = np.lexsort((pos, doc, block))
-    doc, pos, block = doc[order], pos[order], block[order]
-    fresh = np.concatenate([[True], block[1:] != block[:-1]])
+        shards[-1].append(b)
+        size += len(b) + 1
+        at.append((*key, s, e, len(b) + 1))
+    joined = [np.frombuffer(bytes([SEPARATOR]).join([*parts, b""]), np.uint8) for parts in shards]
+    label = merged_classes(joined, length)
+    doc, ordinal, s, e, sizes = np.array(at, np.int64).T
+    starts = np.cumsum(sizes) - sizes
+    item = np.repeat(np.arange(len(at)), e + 1)
+    offset = np.arange(len(item)) - np.repeat(np.cumsum(e + 1) - e - 1, e + 1)
+    rows = np.stack([label[starts[item] + offset], doc[item], ordinal[item], s[item] + offset])
+    rows = rows[:, np.lexsort(rows[::-1])]
+    fresh = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
     head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    again = (doc != doc[head]) | (pos != pos[head])
-    return list(zip(doc[again].tolist(), pos[again].tolist(), strict=True))
+    return rows[1:, (rows[1:] != rows[1:, head]).any(0)]
 
 
-def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from rows (_f, _id, _s, _e, _bytes) sorted by anchor: whole anchors up to a collection's size together."""
+_MARK = "_id long, _n int, _from int, _to int"
 
-    def marks(items: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        found = repeated_windows(items)
-        starts = np.array([s for _, s in found], np.int32)
-        return pa.record_batch({"_id": np.array([i for i, _ in found], np.int64), "_from": starts, "_to": starts + np.int32(LENGTH)})
 
-    items: list[tuple[int, int, int, bytes]] = []
+def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks from rows (_f, _id, _n, _s, _e, _bytes) sorted by anchor: whole anchors up to a collection's size together.
+    Windows that follow each other are one mark."""
+
+    def marks(items: list[tuple[tuple[int, int], int, int, bytes]]) -> pa.RecordBatch:
+        rows = repeated_windows(items)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        doc, ordinal, s = rows
+        fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (ordinal[1:] != ordinal[:-1]) | (s[1:] > s[:-1] + 1)])[: len(doc)])
+        last = np.append(fresh[1:], len(doc))[: len(fresh)] - 1
+        return pa.record_batch({"_id": doc[fresh], "_n": ordinal[fresh].astype(np.int32), "_from": s[fresh].astype(np.int32), "_to": (s[last] + LENGTH).astype(np.int32)})
+
+    items: list[tuple[tuple[int, int], int, int, bytes]] = []
     size, last = 0, None
     for batch in batches:
-        for f, i, s, e, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for f, i, n, s, e, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if f != last and size >= COLLECTION:
                 yield marks(items)
                 items, size = [], 0
-            items.append((i, s, e, b))
+            items.append(((i, n), s, e, b))
             size, last = size + len(b), f
     if items:
         yield marks(items)
 
 
+_PIECE = "_f long, _id long, _n int, _s int, _e int, _bytes binary"
+_PIECES = ["_f", "_id", "_n", "_s", "_e", "_bytes"]
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * 6
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _PIECES)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of records: rows (_f, _id, _s, _e, _bytes) from (_id, _text, _want)."""
-    for batch in (part for batch in batches for part in slices(batch, 1)):
+    """The bytes of records, from (_id, _n, _text, _want). Rows that repeat an id and its text give them once where they
+    meet, which saves work and decides nothing."""
+    last = None
+    for batch in (part for batch in batches for part in slices(batch, 2)):
         out = []
-        for i, t, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            b = (t or "").encode()
-            out += [(w["f"], i, w["s"], w["e"], b[w["s"] : w["s"] + w["e"] + LENGTH]) for w in want]
-        f, i, s, e, b = zip(*out, strict=True) if out else ((),) * 5
-        yield pa.record_batch([pa.array(f, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(b, pa.binary())], ["_f", "_id", "_s", "_e", "_bytes"])
+        for i, n, t, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (i, n) == last:
+                continue
+            last, b = (i, n), (t or "").encode()
+            out += [(w["f"], i, n, w["s"], w["e"], b[w["s"] : w["s"] + w["e"] + LENGTH]) for w in want]
+        yield _piece_batch(out)
+
+
+def pieces(i: int, n: int, s: int, e: int, b: bytes) -> Iterator[tuple]:
+    """A record cut by its anchor's place: ``PLACES`` places together, keyed by the bytes that their windows share."""
+    (_, _, _, place, _) = next(records(b))
+    anchor = int(place[0])
+    for group in range((anchor - e) // PLACES, anchor // PLACES + 1):
+        lo, hi = max(0, anchor - group * PLACES - PLACES + 1), min(e, anchor - group * PLACES)
+        shared = b[anchor - group * PLACES : anchor - group * PLACES - PLACES + 1 + LENGTH]
+        key = hashlib.blake2b(shared, digest_size=8, salt=bytes([group])).digest()
+        yield int.from_bytes(key, "big", signed=True), i, n, s + lo, hi - lo, b[lo : hi + LENGTH]
+
+
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for batch in batches for part in slices(batch, 5, 1 << 20)):
+        yield _piece_batch([p for _, i, n, s, e, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in pieces(i, n, s, e, b)])
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlapping and touching marks of a document as maximal runs."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        out = []
-        for marks in batch.column(1).to_pylist():
-            runs: list[dict[str, int]] = []
-            for m in sorted((m["_from"], m["_to"]) for m in marks):
-                if runs and m[0] <= runs[-1]["end"]:
-                    runs[-1]["end"] = max(runs[-1]["end"], m[1])
-                else:
-                    runs.append({"start": m[0], "end": m[1]})
-            out.append(runs)
-        yield pa.record_batch([batch.column(0), pa.array(out, kind)], ["_mid", "_spans"])
+        starts, ends, sizes = [], [], [0]
+        for marks in batch.column(2):
+            a, b = (marks.values.field(k).to_numpy() for k in range(2))
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            first = np.concatenate([[0], np.flatnonzero(a[1:] > b[:-1]) + 1])
+            starts.append(a[first])
+            ends.append(b[np.append(first[1:], len(b)) - 1])
+            sizes.append(len(first))
+        runs = pa.StructArray.from_arrays([np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in (starts, ends)], ["start", "end"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), runs)], ["_mid", "_mn", "_spans"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for batch in batches for part in slices(batch, 1)):
         sizes, kept = [], []
-        for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            b, at, out = (t or "").encode(), 0, []
-            for s in spans or ():
+        for t, spans in zip(batch.column(1), batch.column(2), strict=True):
+            b, at, out = (t.as_py() or "").encode(), 0, []
+            for s in spans.as_py() or ():
                 out.append(b[at : s["start"]])
                 at = s["end"]
             sizes.append(len(b))
@@ -278,40 +347,90 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), pa.array(kept, pa.binary())], ["_id", "n_bytes", "spans", "kept"])
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows with ``_n``, which tells different texts of one id apart: 0 but for ids with several."""
+    texts = docs.select("_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_x"))
+    several = texts.groupBy("_id").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).filter("_id is not null and _lo <> _hi")
+    several = scratch.written(several.select("_id"), "several")
+    if several.isEmpty():
+        return docs.withColumn("_n", F.lit(0))
+    found = texts.join(several, "_id", "left_semi").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_x")))
+    found = written(found.select(F.col("_id").alias("_i"), F.col("_x").alias("_y"), "_n"), "ordinals")
+    keyed = docs.withColumn("_x", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    return keyed.join(found, (F.col("_id") == F.col("_i")) & (F.col("_x") == F.col("_y")), "left").select("_id", "_text", F.coalesce("_n", F.lit(0)).alias("_n"))
+
+
+def _firsts(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of pieces that are equal the first one, and marks of the others. The two sides of the join are dealt anew, by hash
+    too, so that Spark can split the partition of a piece that a large part of all documents share."""
+    place = F.struct("_id", "_n", "_s")
+    first = rows.groupBy("_f", "_bytes").agg(F.min(place).alias("_first"), F.min("_e").alias("_e"))
+    first = scratch.written(first.select("_f", "_first._id", "_first._n", "_first._s", "_e", "_bytes"), "firsts")
+    known = first.select(F.col("_f").alias("_kf"), F.col("_bytes").alias("_kb"), F.xxhash64("_bytes").alias("_kx"), F.struct("_id", "_n", "_s").alias("_first"))
+    again = rows.join(known, (F.col("_f") == F.col("_kf")) & (F.xxhash64("_bytes") == F.col("_kx")) & (F.col("_bytes") == F.col("_kb"))).filter(place != F.col("_first"))
+    return first, again.select("_id", "_n", F.col("_s").alias("_from"), (F.col("_s") + F.col("_e") + LENGTH).alias("_to"))
+
+
+def _hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.written(rows.groupBy("_f").count().filter(F.col("count") > HOT).select(F.col("_f").alias("_hf")), "hot")
+
+
+def _by_context(cut: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Records that no key has more than ``HOT`` of, for collections, and the marks found on the way there."""
+    of = F.col("_f") == F.col("_hf")
+    hot = _hot(cut, scratch)
+    if hot.isEmpty():
+        return cut, []
+    first, again = _firsts(scratch.written(cut.join(hot, of, "left_semi").mapInArrow(_further, _PIECE), "pieces"), scratch)
+    still = _hot(first, scratch)
+    rest, marks = cut.join(hot, of, "left_anti"), [again]
+    if still.isEmpty():
+        return rest.unionByName(first), marks
+    single = first.join(still, of, "left_semi").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_e"))))
+    single = single.select("_f", "_id", "_n", (F.col("_s") + F.col("_o")).alias("_s"), F.lit(0).alias("_e"), F.expr(f"substring(_bytes, _o + 1, {LENGTH})").alias("_bytes"))
+    marks.append(_firsts(scratch.written(single, "windows"), scratch)[1])
+    return rest.unionByName(first.join(still, of, "left_anti")), marks
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Marks of the records' repeated windows. Work follows the bytes, so tasks are dealt by them."""
+    size = rows.agg(F.sum(F.col("_e") + LENGTH)).first()[0] or 0
+    return rows.repartition(max(1, min(TASKS, -(-size // TASK_BYTES))), "_f").sortWithinPartitions("_f").mapInArrow(_collections, _MARK)
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept) for each row of ``df``: the bytes of the text in UTF-8
     without those covered by a 100-byte string that also starts earlier. ``spans`` are the maximal removed runs
     [start, end), ``kept`` the remaining bytes; a cut may fall inside a character.
 
-    A null text counts as empty. Ids are integers and order the documents; rows that repeat an id are
-    taken to repeat its text: they are one document, and each of them is returned with its removals. A row
-    with a null id takes no part and keeps all its bytes. Texts under 100 bytes lose nothing. Equality rests
-    on bytes inside collections and on 64-bit digests of whole records. Other columns are not read.
+    A null text counts as empty. Ids are integers and order the documents. Rows that repeat an id and its text
+    are one document, and each of them is returned with its removals; different texts of an id are documents of their
+    own, in the order of a hash of the text. A row with a null id takes no part and keeps all its bytes. Texts under 100
+    bytes lose nothing. Equality rests on bytes inside collections and on two 64-bit digests (of the anchor and of the
+    whole record) for records that repeat whole. Other columns are not read.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    known = docs.filter("_id is not null")
+    scratch = Scratch(df.sparkSession)
+    docs = _numbered(df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), scratch)
+    known = docs.filter("_id is not null").select("_id", "_n", "_text")
     # Rows that are settled already pass through, and are dealt by themselves.
     deal = F.when(F.col("_kind") == REPEATED, F.xxhash64("_id", "_s")).otherwise(F.col("_f"))
-    sorted_rows = known.mapInArrow(_records, _ROW).repartition(deal).sortWithinPartitions("_f", "_g", "_id", "_s")
-    decided = written(sorted_rows.mapInArrow(_decide, _ROW), "decided")
-    whole = decided.filter(F.col("_kind") == REPEATED).select("_id", F.col("_s").alias("_from"), (F.col("_s") + F.col("_e") + LENGTH).alias("_to"))
-
-    compare = decided.filter(F.col("_kind") == COMPARE)
-    want = compare.groupBy(F.col("_id").alias("_wid")).agg(F.collect_list(F.struct(F.col("_f").alias("f"), F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("_want"))
-    few = compare.count() <= BROADCAST_ROWS
-    cut = known.dropDuplicates(["_id"]) if not few else known
-    cut = written(cut.join(F.broadcast(want) if few else want, F.col("_id") == F.col("_wid")).select("_id", "_text", "_want").mapInArrow(_cut, "_f long, _id long, _s int, _e int, _bytes binary"), "segments")
-    hot = written(cut.groupBy("_f").count().filter(F.col("count") > HOT).select(F.col("_f").alias("_hf")), "hot")
-    plain = cut.join(hot, F.col("_f") == F.col("_hf"), "left_anti").repartition("_f").sortWithinPartitions("_f").mapInArrow(_collections, "_id long, _from int, _to int")
-    parts = whole.unionByName(plain)
-    if not hot.isEmpty():
-        window = cut.join(hot, F.col("_f") == F.col("_hf")).select("_id", "_s", "_bytes", F.explode(F.sequence(F.lit(0), F.col("_e"))).alias("_o")).select("_id", (F.col("_s") + F.col("_o")).alias("_from"), F.expr(f"substring(_bytes, _o + 1, {LENGTH})").alias("_w"))
-        first = window.groupBy("_w").agg(F.min(F.struct("_id", "_from")).alias("_first")).select(F.col("_w").alias("_v"), F.xxhash64("_w").alias("_x"), "_first")
-        again = window.join(first, (F.col("_w") == F.col("_v")) & (F.xxhash64("_w") == F.col("_x"))).filter(F.struct("_id", "_from") != F.col("_first"))
-        parts = parts.unionByName(again.select("_id", "_from", (F.col("_from") + LENGTH).alias("_to")))
-    spans = written(parts.groupBy(F.col("_id").alias("_mid")).agg(F.collect_list(F.struct("_from", "_to")).alias("_marks")).mapInArrow(_spans, "_mid long, _spans array<struct<start:long,end:long>>"), "spans")
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    out = docs.join(spans, F.col("_id") == F.col("_mid"), "left").select("_id", "_text", "_spans").mapInArrow(_apply, "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    sorted_rows = known.mapInArrow(_records, _ROW).repartition(deal).sortWithinPartitions("_f", "_g", "_id", "_n", "_s")
+    decided = scratch.written(sorted_rows.mapInArrow(_decide, _ROW), "decided")
+    parts = decided.filter(F.col("_kind") == REPEATED).select("_id", "_n", F.col("_s").alias("_from"), (F.col("_s") + F.col("_e") + LENGTH).alias("_to"))
+
+    # Texts and the places of their records to compare are dealt by document, at any size.
+    want = decided.filter(F.col("_kind") == COMPARE).groupBy(F.col("_id").alias("_wid"), F.col("_n").alias("_wn")).agg(F.collect_list(F.struct(F.col("_f").alias("f"), F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("_want"))
+    cut = known.join(want.hint("merge"), (F.col("_id") == F.col("_wid")) & (F.col("_n") == F.col("_wn")))
+    cut = scratch.written(cut.select("_id", "_n", "_text", "_want").mapInArrow(_cut, _PIECE), "segments")
+    plain, more = _by_context(cut, scratch)
+    parts = parts.unionByName(_merged(plain))
+    for marks in more:
+        parts = parts.unionByName(marks)
+    spans = written(parts.groupBy(F.col("_id").alias("_mid"), F.col("_n").alias("_mn")).agg(F.collect_list(F.struct("_from", "_to")).alias("_marks")).mapInArrow(_spans, "_mid long, _mn int, _spans array<struct<start:long,end:long>>"), "spans")
+    scratch.clear()
+    size = spans.agg(F.count(F.lit(1)) + F.sum(F.size("_spans"))).first()[0] or 0
+    spans = F.broadcast(spans) if size <= BROADCAST_SPANS else spans
+    out = docs.join(spans, (F.col("_id") == F.col("_mid")) & (F.col("_n") == F.col("_mn")), "left").select("_id", "_text", "_spans").mapInArrow(_apply, "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     return out.select(
         F.col("_id").alias(id_col),

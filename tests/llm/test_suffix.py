@@ -38,7 +38,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [2000, 5])
+@pytest.mark.parametrize("hot", [2000, 5, 1])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     rows = corpus()
@@ -61,19 +61,60 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_merged_blocks_are_equal_prefixes():
+def test_different_texts_of_an_id(spark):
+    """Each is a document of its own; repeated rows are one."""
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("abcdefg") for _ in range(160)) for _ in range(3))
+    rows = [(1, a), (2, b + c), (2, "x" + a), (2, b + c), (3, c)]
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 160): 0, (2, 320): 0, (2, 161): 160, (3, 160): 160}
+
+
+def test_a_long_text_that_repeats_itself(spark):
+    rng = random.Random(7)
+    block = "".join(rng.choice("abcdefg \n") for _ in range(30_000))
+    rows = [(1, block * 12), (2, block[:20_000] + "!" + block[5_000:])]
+    got = sorted((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 330_000, 1, block.encode()), (2, 45_000, 2, b"!")]
+
+
+@pytest.mark.parametrize("depth", [8, 10, 16, 30, 100])
+def test_suffix_order_and_classes(depth):
     rng = np.random.default_rng(2)
-    shards = [rng.integers(0, 3, n).astype(np.uint16) for n in (50, 7, 120, 33)]
-    where, at, block = S.merged_blocks(shards, 6)
-    words = [tuple(np.roll(shards[w], -a)[np.arange(6) % len(shards[w])]) for w, a in zip(where, at)]
-    assert words == sorted(words)
-    assert [a == b for a, b in zip(words[1:], words)] == [a == b for a, b in zip(block[1:], block)]
+    shards = [rng.integers(0, 3, n).astype(np.uint8) for n in (50, 7, 120, 33, 64)]
+    shards += [np.tile(shards[0], 3), np.concatenate([shards[2], shards[2][:90]])]
+    words = [[tuple(np.roll(t, -k)[np.arange(depth) % len(t)]) for k in range(len(t))] for t in shards]
+    for t, w in zip(shards, words, strict=True):
+        order, edge = S.suffix_order(t, depth)
+        assert [w[k] for k in order] == sorted(w)
+        assert list(edge) == [n == 0 or w[order[n]] != w[order[n - 1]] for n in range(len(t))]
+    for some in (shards, shards[:1], shards[5:]):
+        label = S.merged_classes(some, depth)
+        flat = [x for t, w in zip(shards, words, strict=True) if any(t is u for u in some) for x in w]
+        assert len(set(zip(flat, label.tolist(), strict=True))) == len(set(flat)) == len(set(label.tolist()))
+
+
+def test_windows_of_small_shards():
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abé") for _ in range(90)).encode() for _ in range(6)]
+    items = []
+    for i in range(60):
+        b = b"".join(rng.choice(base) for _ in range(3))
+        items.append(((i // 2, i % 2), 7, len(b) - S.LENGTH, b))
+    seen, want = set(), []
+    for (i, n), s, e, b in items:
+        for k in range(e + 1):
+            if b[k : k + S.LENGTH] in seen:
+                want.append((i, n, s + k))
+            seen.add(b[k : k + S.LENGTH])
+    for shard in (1, 500, 4000, 1 << 20):
+        assert sorted(map(tuple, S.repeated_windows(items, shard=shard).T.tolist())) == want
 
 
 def test_decide_across_batches():
     rng = random.Random(1)
     rows = sorted((rng.randint(0, 6), rng.randint(0, 3), rng.randint(0, 5), rng.randint(0, 3)) for _ in range(60))
-    whole = S._batch(*[np.array([r[c] for r in rows], np.int64) for c in range(4)], *[np.zeros(60, np.int64)] * 3)
+    whole = S._batch(*[np.array([r[c] for r in rows], np.int64) for c in range(3)], np.zeros(60, np.int64), np.array([r[3] for r in rows], np.int64), *[np.zeros(60, np.int64)] * 2)
     want = sorted(map(str, (r for b in S._decide(iter([whole])) for r in b.to_pylist())))
     for size in (1, 2, 3, 7, 20):
         got = sorted(map(str, (r for b in S._decide(whole.slice(i, size) for i in range(0, 60, size)) for r in b.to_pylist())))
