@@ -85,11 +85,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int =
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """Arrow batches of at most ``most`` rows for what is planned inside, for rows that hold many texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes for what is planned and run inside, so that neither side of the pipe to a
+    Python worker holds thousands of whole texts at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    spark.conf.set(key, f"{most}b")
     try:
         yield
     finally:

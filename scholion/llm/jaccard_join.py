@@ -12,11 +12,14 @@ each document's component of links. The join is exact:
    pairs, those are skipped that share too few of their indexed shingles. What links is one component.
 4. *Answer level.* Sets of one component have their answer already and are never paired again. A component
    is cut into blocks, each a pivot set and its members' differences from it. Lists now hold blocks,
-   and only blocks of different components meet, in lists where their positions can reach; a block's answers to a set are derived from the
+   and only blocks of different components meet, in lists where their positions can reach. Of two blocks that meet, the
+   members that share too few indexed shingles with every member of the other are skipped before any text
+   moves; a block's answers to a set are derived from the
    pivot's: |X and Y| = |P and Y| - |(P - X) and Y| + |(X - P) and Y|, over the differences alone.
 
 So a group of thousands of near copies costs its size, not its square. Sets are 64-bit hashes of
-shingles; a block meets a block in one row with the texts of both, at most 64 a side.
+shingles, and sets are equal when their sizes and 64-bit digests are; texts travel row by row, sorted by the group in
+which they meet, so that a task holds one side of one group, at most 64 documents.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.llm.common import arrow_rows, slices, written
+from scholion.llm.common import Scratch, slices, small_batches, written
 from scholion.llm.components import components
 
 WORDS = 5
@@ -37,12 +40,10 @@ WORDS = 5
 FREQUENT = 1 << 17
 #: The lists in which a set meets the leading set, and the members of a block.
 LEADERS, MEMBERS = 8, 64
-#: Of blocks met before, a task keeps so many shingles (16 MB of hashes, and their texts).
-CACHED = 2_000_000
-#: Rows of an Arrow batch whose rows hold the texts of two blocks.
-BATCH = 128
-#: Up to so many ids (16 MB) are broadcast to fetch their texts.
-BROADCAST_IDS = 2_000_000
+#: Of sets met before, a task remembers so many keys.
+KNOWN = 50_000
+#: Up to so many rows (56 bytes each) are broadcast to fetch texts; beyond, documents are dealt by id.
+BROADCAST_ROWS = 500_000
 _STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240601)
@@ -119,13 +120,17 @@ def _key(shingles: np.ndarray) -> int:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of every set; with the first row of a slice, the shingles that occur in two
     different sets of the slice or more, and in how many."""
-    for batch in (part for batch in batches for part in slices(batch, 1, 16 << 20)):
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        keys = [_key(s) for s in sets]
-        h, n = np.unique(np.concatenate(list(dict(zip(keys, sets, strict=True)).values())), return_counts=True)
+    for part in (part for batch in batches for part in slices(batch, 1)):
+        sizes, keys, sets = [], [], {}
+        for text in part.column(1):
+            s = shingle_set(text.as_py())
+            sizes.append(len(s))
+            keys.append(_key(s))
+            sets[keys[-1]] = s
+        h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         often = pa.StructArray.from_arrays([h[n > 1], n[n > 1].astype(np.int64)], ["h", "c"])
-        ends = pa.array([0] + [len(often)] * len(sets), pa.int32())
-        yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, often)], ["_id", "_n", "_key", "_often"])
+        ends = pa.array([0] + [len(often)] * len(keys), pa.int32())
+        yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, often)], ["_id", "_n", "_key", "_often"])
 
 
 def in_order(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -143,19 +148,23 @@ def _prefix(n: int) -> int:
 
 def _index(frequent: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Index entries; of the equal sets of a batch, those of one."""
-        for batch in (part for batch in batches for part in slices(batch, 0, 8 << 20)):
-            seen: dict[tuple[int, int], np.ndarray] = {}
-            for t in batch.column(0).to_pylist():
-                s = shingle_set(t)
-                if len(s) and (k := (_key(s), len(s))) not in seen:
-                    seen[k] = in_order(s, frequent, rank)[: _prefix(len(s))]
-            if seen:
-                each = [len(v) for v in seen.values()]
+        """Index entries; of equal sets that a task meets, those of one, as far as it remembers them."""
+        known: set[tuple[int, int]] = set()
+        for part in (part for batch in batches for part in slices(batch, 0)):
+            if len(known) > KNOWN:
+                known.clear()
+            fresh: dict[tuple[int, int], np.ndarray] = {}
+            for text in part.column(0):
+                s = shingle_set(text.as_py())
+                if len(s) and (k := (_key(s), len(s))) not in known:
+                    known.add(k)
+                    fresh[k] = in_order(s, frequent, rank)[: _prefix(len(s))]
+            if fresh:
+                each = [len(v) for v in fresh.values()]
                 yield pa.record_batch({
-                    "_h": np.concatenate(list(seen.values())),
-                    "_key": np.repeat(np.array([k for k, _ in seen], np.int64), each),
-                    "_n": np.repeat(np.array([n for _, n in seen], np.int32), each),
+                    "_h": np.concatenate(list(fresh.values())),
+                    "_key": np.repeat(np.array([k for k, _ in fresh], np.int64), each),
+                    "_n": np.repeat(np.array([n for _, n in fresh], np.int32), each),
                     "_pos": np.concatenate([np.arange(c, dtype=np.int32) for c in each]),
                 })
 
@@ -215,43 +224,105 @@ def _block(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[n
     return sets, less, [np.setdiff1d(s, sets[0], assume_unique=True) for s in sets]
 
 
-def _met(left: tuple, right: tuple) -> bool:
-    if len(left[0]) < len(right[0]):
-        left, right = right, left
-    sets, less, more = left
-    for y in right[0]:
-        base = _meet(sets[0], y)
-        for s, lo, hi in zip(sets, less, more, strict=True):
-            if 4 * min(len(s), len(y)) >= 3 * max(len(s), len(y)) and _linked(s, y, base - _meet(lo, y) + _meet(hi, y)):
+def _answers(block: tuple, y: np.ndarray) -> bool:
+    """Whether any set of a block links to ``y``, with the pivot's answer for its members."""
+    sets, less, more = block
+    base = None
+    for x, lo, hi in zip(sets, less, more, strict=True):
+        if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)):
+            base = _meet(sets[0], y) if base is None else base
+            if _linked(x, y, base - _meet(lo, y) + _meet(hi, y)):
                 return True
     return False
 
 
-def blocks_link(left: list[str], right: list[str]) -> bool:
-    """Whether any text of one block links to any of another, with the pivot's answers for its members."""
-    return _met(_block(left), _block(right))
+#: Rows of what meets: the group, the side (0 before 1), what a link of side 1 leads to, and the document.
+_GROUP = ["_u", "_ub", "_g", "_gb"]
+_WANTED = "_u long, _ub long, _g long, _gb long, _side int, _v long, _id long"
+_ROW = [*_GROUP, "_side", "_v", "_id"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple, list]]:
+    """(group, (side, v, id), other columns as Arrow scalars) of sorted rows."""
+    for batch in batches:
+        meta = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True))
+        for n, row in enumerate(meta):
+            yield row[:4], row[4:], [c[n] for c in batch.columns[7:]]
+
+
+def _could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (_ROW, size, indexed shingles), sorted by group and side, those that may link to one of the other side:
+    together, what they share of their indexed shingles and all shingles after those reach a link."""
+    out: list[tuple] = []
+    held: tuple | None = None
+    left: list[tuple] = []  # the rows of side 0: row, size, shingles
+    used: set[int] = set()
+    index: tuple | None = None
+    for group, (side, v, i), (size, hs) in _groups(batches):
+        if group != held:
+            out += [left[k][0] for k in sorted(used)]
+            held, left, used, index = group, [], set(), None
+            if len(out) >= 10_000:
+                yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), _ROW).cast(_SCHEMA)
+                out = []
+        hs, n = hs.values.to_numpy(), size.as_py()
+        if side == 0:
+            left.append(((*group, side, v, i), n, hs))
+            continue
+        if not left:
+            continue
+        if index is None:
+            every = np.concatenate([h for _, _, h in left])
+            owner = np.repeat(np.arange(len(left)), [len(h) for _, _, h in left])
+            order = np.argsort(every, kind="stable")
+            index = every[order], owner[order], np.array([n for _, n, _ in left], np.int64)
+        every, owner, sizes = index
+        a, b = np.searchsorted(every, hs, "left"), np.searchsorted(every, hs, "right")
+        at = np.concatenate([np.arange(x, y) for x, y in zip(a[b > a], b[b > a], strict=True)]) if (b > a).any() else np.zeros(0, np.int64)
+        shared = np.bincount(owner[at], minlength=len(left))
+        after = np.maximum((3 * sizes + 3) // 4, (3 * n + 3) // 4) - 1
+        fine = (7 * (shared + after) >= 3 * (sizes + n)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)) & (shared > 0)
+        if fine.any():
+            used |= set(np.flatnonzero(fine).tolist())
+            out.append((*group, side, v, i))
+    out += [left[k][0] for k in sorted(used)]
+    if out:
+        yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), _ROW).cast(_SCHEMA)
+
+
+_SCHEMA = pa.schema([(c, pa.int32() if c == "_side" else pa.int64()) for c in _ROW])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (u, v, texts, texts) those whose texts link. Blocks met before are kept, up to CACHED shingles."""
-    seen: dict[tuple[str, ...], tuple] = {}
-    held = 0
-
-    def block(texts: list[str]) -> tuple:
-        nonlocal held
-        key = tuple(texts)
-        if key not in seen:
-            made = _block(texts)
-            if held > CACHED:
-                seen.clear()
-                held = 0
-            seen[key] = made
-            held += sum(map(len, made[0]))
-        return seen[key]
+    """Links (u, v) from rows (_ROW, text) sorted by group and side. One block is held, and its texts, so that the next
+    group with the same block does not read them again."""
+    found: dict[tuple[int, int], None] = {}
+    held: tuple | None = None
+    texts: list[str] = []
+    block: tuple | None = None
+    known: tuple[list[str], tuple] | None = None
+    for group, (side, v, _), (text,) in _groups(batches):
+        if group != held:
+            held, texts, block = group, [], None
+            if len(found) >= 10_000:
+                yield _links(found)
+                found = {}
+        if side == 0:
+            texts.append(text.as_py())
+            continue
+        if not texts or (group[0], v) in found:
+            continue
+        if block is None:
+            if known is None or known[0] != texts:
+                known = texts, _block(texts)
+            block = known[1]
+        if _answers(block, shingle_set(text.as_py())):
+            found[group[0], v] = None
+    yield _links(found)
 
-    for batch in batches:
-        keep = [_met(block(a.as_py()), block(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+def _links(found: dict[tuple[int, int], None]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
 
 def _can_share(a: str, b: str):
@@ -261,27 +332,17 @@ def _can_share(a: str, b: str):
     return (left >= need) & (F.least(f"{a}n", f"{b}n") * 4 >= F.greatest(f"{a}n", f"{b}n") * 3)
 
 
-def _enough(shared, a: str, b: str):
-    """The shingles that two sets share in their indexed parts, and all of those after, reach a link."""
-    after = F.greatest(F.floor((3 * F.col(a) + 3) / 4), F.floor((3 * F.col(b) + 3) / 4)) - 1
-    return shared + after >= F.ceil((F.col(a) + F.col(b)) * 3 / F.lit(7.0))
-
-
-def _sent(ids: DataFrame) -> DataFrame:
-    """Written ids; up to a checked number of them, they are sent to the scan that they filter."""
-    ids = written(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents, all texts of an id together. Up to a checked number of ids they are sent to
-    the scan; beyond, documents are dealt by id."""
-    ids = written(ids, "ids")
-    count = ids.count()
-    some = written(docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "_id", "left_semi"), "texts")
-    if some.count() == count:  # no id is repeated: no need to bring texts together
-        return some.select("_id", F.array("_text").alias("_texts"))
-    return written(some.groupBy("_id").agg(F.collect_set("_text").alias("_texts")), "texts")
+def _linking(wanted: DataFrame, indexed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (u, v) of what meets. Indexed shingles, a tenth of the texts, meet first; then the texts of what may link.
+    Up to a checked number of rows, what is wanted is sent to the scan of the texts."""
+    met = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "_side", "_id")
+    arrays = indexed.select(F.col("_s").alias("_x"), "_n", F.transform("_e", lambda e: e["_h"]).alias("_hs"))
+    reach = met(wanted.join(arrays, F.col("_id") == F.col("_x")).select(*_ROW, "_n", "_hs")).mapInArrow(_could, _WANTED)
+    reach = scratch.written(reach.distinct(), "reaching")
+    small = reach.count() <= BROADCAST_ROWS
+    texts = docs.filter("_text is not null").withColumnRenamed("_id", "_x").join(F.broadcast(reach) if small else reach, F.col("_x") == F.col("_id"))
+    with small_batches(docs.sparkSession):
+        return scratch.written(met(texts.select(*_ROW, "_text")).mapInArrow(_verify, "u long, v long"), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,9 +355,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Ids are integers; a row without one takes no part and has a null component. Rows that repeat an id
     are one document with several texts, linked by any of them. Other columns are not read.
     """
+    scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    read = written(docs.mapInArrow(_signatures, "_id long, _n long, _key long, _often array<struct<h:long,c:long>>"), "signatures")
-    signs = read.drop("_often")
+    with small_batches(docs.sparkSession):
+        read = scratch.written(docs.mapInArrow(_signatures, "_id long, _n long, _key long, _often array<struct<h:long,c:long>>"), "signatures")
+    signs = written(read.drop("_often"), "sizes")
     sets = written(signs.filter("_n > 0").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_equal")), "sets")
 
     often = read.select(F.explode("_often").alias("o")).groupBy(F.col("o.h").alias("_h")).agg(F.sum("o.c").alias("_c")).filter("_c >= 16")
@@ -304,60 +367,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_hash = np.argsort(top["_h"].to_numpy(np.int64))
     frequent, rank = top["_h"].to_numpy(np.int64)[by_hash], (len(top) - by_hash).astype(np.int64)
 
+    # For each set, the entries of the lists that it shares with another one, in order.
     entries = docs.select("_text").mapInArrow(_index(frequent, rank), "_h long, _key long, _n int, _pos int")
     shared = entries.repartition("_h").sortWithinPartitions("_h", "_key", "_n").mapInArrow(_shared, "_h long, _key long, _n int, _pos int")
-    lists = written(shared.join(sets.filter("_rep is not null").withColumnRenamed("_n", "_m"), (F.col("_m") == F.col("_n")) & (sets["_key"] == shared["_key"])).select("_h", F.col("_rep").alias("_s"), "_n", "_pos"), "lists")
-
-    # What of each set the lists still hold.
-    indexed = written(lists.groupBy("_s", "_n").agg(F.collect_list("_h").alias("_hs")), "indexed")
-
-    first = F.row_number().over(Window.partitionBy("_s").orderBy("_pos"))
-    leading = lists.groupBy("_h").agg(F.min(F.struct(F.xxhash64("_s", "_h").alias("r"), F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_pos").alias("pos"))).alias("l"))
+    indexed = shared.groupBy("_key", "_n").agg(F.array_sort(F.collect_list(F.struct("_pos", "_h"))).alias("_e"))
+    named = sets.filter("_rep is not null").select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), "_rep")
+    with small_batches(docs.sparkSession):
+        indexed = scratch.written(indexed.join(named, (F.col("_m") == F.col("_n")) & (F.col("_key") == F.col("_k"))).select(F.col("_rep").alias("_s"), "_n", "_e"), "indexed")
+
+    # Every set meets the leading sets of its first lists. A leading set's members are dealt in groups.
+    listed = lambda e: indexed.select("_s", "_n", F.explode(e).alias("e")).select("_s", "_n", "e._h", "e._pos")
+    leading = listed(F.col("_e")).groupBy("_h").agg(F.min(F.struct(F.xxhash64("_s", "_h").alias("r"), F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_pos").alias("pos"))).alias("l"))
     leading = leading.select(F.col("_h").alias("_lh"), F.col("l.s").alias("l_s"), F.col("l.n").alias("l_n"), F.col("l.pos").alias("l_pos"))
-    near = lists.withColumn("_f", first).filter(F.col("_f") <= LEADERS).join(leading, F.col("_h") == F.col("_lh")).filter("_s <> l_s").filter(_can_share("_", "l_"))
-    pairs = near.select(F.least("_s", "l_s").alias("u"), F.greatest("_s", "l_s").alias("v")).distinct()
-    side = lambda x: indexed.select(F.col("_s").alias(f"{x}_s"), F.col("_n").alias(f"{x}_n"), F.col("_hs").alias(f"{x}_hs"))
-    pairs = pairs.join(side("a"), F.col("u") == F.col("a_s")).join(side("b"), F.col("v") == F.col("b_s"))
-    pairs = pairs.filter(_enough(F.size(F.array_intersect("a_hs", "b_hs")), "a_n", "b_n")).select("u", "v")
-    pairs = written(pairs, "pairs")
-    texts = _texts_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
-    one = lambda x: texts.select(F.col("_id").alias(f"{x}_id"), F.col("_texts").alias(f"{x}_texts"))
-    with arrow_rows(docs.sparkSession, BATCH):
-        edges = written(pairs.join(one("a"), F.col("u") == F.col("a_id")).join(one("b"), F.col("v") == F.col("b_id")).select("u", "v", "a_texts", "b_texts").mapInArrow(_verify, "u long, v long"), "links")
+    near = listed(F.slice("_e", 1, LEADERS)).join(leading, F.col("_h") == F.col("_lh")).filter("_s <> l_s").filter(_can_share("_", "l_"))
+    pairs = near.groupBy(F.least("_s", "l_s").alias("u"), F.greatest("_s", "l_s").alias("v")).agg(F.min("l_s").alias("lead"))
+    pairs = scratch.written(pairs.select("lead", F.when(F.col("lead") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("member")), "pairs")
+    groups = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("_k")).withColumnRenamed("lead", "_l")
+    stars = pairs.join(groups, F.col("lead") == F.col("_l")).select("lead", "member", F.pmod(F.xxhash64("member"), "_k").alias("part"))
+    star = lambda df, side, v: df.select(F.col("lead").alias("_u"), F.col("part").alias("_ub"), F.lit(0).cast("long").alias("_g"), F.lit(0).cast("long").alias("_gb"), F.lit(side).alias("_side"), F.col(v).alias("_v"), F.col(v).alias("_id"))
+    edges = _linking(star(stars, 1, "member").unionByName(star(stars.select("lead", "part").distinct(), 0, "lead")), indexed, docs, scratch)
 
     # Components so far, in blocks; then only blocks of different components meet.
-    part = written(components(edges), "components")
-    size = part.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("_blocks"))
-    placed = part.join(size.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c")).select(F.col("node"), F.col("component"), F.pmod(F.xxhash64("node"), "_blocks").alias("block"))
-    placed = written(
-        indexed.select("_s").distinct().join(placed, F.col("_s") == F.col("node"), "left").select("_s", F.coalesce("component", "_s").alias("c"), F.coalesce("block", F.lit(0)).cast("long").alias("b"), F.col("node").isNull().alias("alone")),
-        "blocks",
-    )
-    held = lists.join(placed.withColumnRenamed("_s", "_p"), F.col("_s") == F.col("_p"))
-    mixed = held.groupBy("_h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select(F.col("_h").alias("_mh"))
-    held = held.join(mixed, F.col("_h") == F.col("_mh")).groupBy("_h", "c", "b", "alone").agg(F.min("_n").alias("least"), F.max("_n").alias("most"), F.max(F.col("_n") - F.col("_pos")).alias("left"))
-    held = written(held, "block-lists")
-    x, y = held.alias("x"), held.alias("y")
-    may = (F.col("x.c") < F.col("y.c")) & (F.col("x.most") * 4 >= F.col("y.least") * 3) & (F.col("y.most") * 4 >= F.col("x.least") * 3)
-    reach = F.least("x.left", "y.left") * 7 >= (F.col("x.least") + F.col("y.least")) * 3  # holds in the first list that a linking pair shares
-    met = x.join(y, (F.col("x._h") == F.col("y._h")) & may & reach).groupBy(F.col("x.c").alias("u"), F.col("x.b").alias("ub"), F.col("y.c").alias("v"), F.col("y.b").alias("vb")).agg(
-        F.bool_and(F.col("x.alone") & F.col("y.alone")).alias("both")
-    )
-    met = written(met, "reaching")
-    single = met.filter("both").select("u", "ub", "v", "vb")
-    ids = single.select(F.explode(F.array("u", "v")).alias("_s")).distinct()
-    indexed = written(indexed.join(_sent(ids), "_s", "left_semi"), "indexed")
-    single = single.join(side("a"), F.col("u") == F.col("a_s")).join(side("b"), F.col("v") == F.col("b_s"))
-    single = single.filter(_enough(F.size(F.array_intersect("a_hs", "b_hs")), "a_n", "b_n")).select("u", "ub", "v", "vb")
-    met = met.filter("not both").select("u", "ub", "v", "vb").unionByName(single)
-    met = written(met, "meetings")
-    blocks = met.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("ub").alias("b")), F.struct(F.col("v").alias("c"), F.col("vb").alias("b")))).alias("k")).select("k.c", "k.b").distinct()
-    texts = _texts_of(docs, placed.join(blocks, ["c", "b"], "left_semi").select(F.col("_s").alias("_id")))
-    group = texts.join(placed, F.col("_id") == F.col("_s")).groupBy("c", "b").agg(F.flatten(F.collect_list("_texts")).alias("texts"))
-    of = lambda x: group.select(F.col("c").alias(f"{x}c"), F.col("b").alias(f"{x}b"), F.col("texts").alias(f"{x}t"))
-    with arrow_rows(docs.sparkSession, BATCH):
-        more = written(met.join(of("x"), (F.col("u") == F.col("xc")) & (F.col("ub") == F.col("xb"))).join(of("y"), (F.col("v") == F.col("yc")) & (F.col("vb") == F.col("yb"))).select("u", "v", "xt", "yt").mapInArrow(_verify, "u long, v long"), "links")
+    part = scratch.written(components(edges), "components")
+    size = part.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("_blocks")).withColumnRenamed("component", "_c")
+    placed = part.join(size, F.col("component") == F.col("_c")).select("node", "component", F.pmod(F.xxhash64("node"), "_blocks").alias("block"))
+    blocks = indexed.join(placed, F.col("_s") == F.col("node"), "left")
+    blocks = scratch.written(blocks.select("_s", "_n", "_e", F.coalesce("component", "_s").alias("c"), F.coalesce("block", F.lit(0)).cast("long").alias("b")), "blocks")
+    # A block's members are in one task, so a list shrinks to its blocks there, before it is dealt by shingle.
+    held = blocks.repartition("c", "b").select("c", "b", "_n", F.explode("_e").alias("e")).groupBy(F.col("e._h").alias("_h"), "c", "b")
+    held = held.agg(F.min("_n").alias("least"), F.max("_n").alias("most"), F.max(F.col("_n") - F.col("e._pos")).alias("left")).repartition("_h")
+    every = Window.partitionBy("_h")
+    held = held.withColumn("_lo", F.min("c").over(every)).withColumn("_hi", F.max("c").over(every)).filter("_lo <> _hi").drop("_lo", "_hi")
+    x, y = (held.select(F.col("_h").alias(f"{k}h"), *[F.col(c).alias(f"{k}{c}") for c in ("c", "b", "least", "most", "left")]) for k in "xy")
+    may = (F.col("xc") < F.col("yc")) & (F.col("xmost") * 4 >= F.col("yleast") * 3) & (F.col("ymost") * 4 >= F.col("xleast") * 3)
+    reach = F.least("xleft", "yleft") * 7 >= (F.col("xleast") + F.col("yleast")) * 3  # holds in the first list that a linking pair shares
+    met = scratch.written(x.join(y, (F.col("xh") == F.col("yh")) & may & reach).select(F.col("xc").alias("_u"), F.col("xb").alias("_ub"), F.col("yc").alias("_g"), F.col("yb").alias("_gb")).distinct(), "meetings")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col("_u").alias("kc"), F.col("_ub").alias("kb")), F.struct(F.lit(1).alias("_side"), F.col("_g").alias("kc"), F.col("_gb").alias("kb"))))
+    members = blocks.select("c", "b", "_s").distinct()
+    wanted = met.select(*_GROUP, sides.alias("k")).select(*_GROUP, "k._side", "k.kc", "k.kb").join(members, (F.col("kc") == F.col("c")) & (F.col("kb") == F.col("b")))
+    more = _linking(wanted.select(*_GROUP, "_side", F.col("_g").alias("_v"), F.col("_s").alias("_id")), indexed, docs, scratch)
     final = written(components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+    scratch.clear()
 
     named = sets.join(final, F.col("_rep") == F.col("node"), "left").select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), F.coalesce("component", "_rep").alias("component_id"), F.col("_equal").alias("n_equal"))
     out = signs.join(named, (F.col("_key") == F.col("_k")) & (F.col("_n") == F.col("_m")), "left")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.llm.common import Scratch, slices, written
+from scholion.llm.common import Scratch, slices, small_batches, written
 
 LENGTH, GRAM = 100, 40
 #: Different records of an anchor, neighbouring places of an anchor, bytes of a collection and of a shard.
@@ -415,13 +415,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Rows that are settled already pass through, and are dealt by themselves.
     deal = F.when(F.col("_kind") == REPEATED, F.xxhash64("_id", "_s")).otherwise(F.col("_f"))
     sorted_rows = known.mapInArrow(_records, _ROW).repartition(deal).sortWithinPartitions("_f", "_g", "_id", "_n", "_s")
-    decided = scratch.written(sorted_rows.mapInArrow(_decide, _ROW), "decided")
+    with small_batches(df.sparkSession):
+        decided = scratch.written(sorted_rows.mapInArrow(_decide, _ROW), "decided")
     parts = decided.filter(F.col("_kind") == REPEATED).select("_id", "_n", F.col("_s").alias("_from"), (F.col("_s") + F.col("_e") + LENGTH).alias("_to"))
 
     # Texts and the places of their records to compare are dealt by document, at any size.
     want = decided.filter(F.col("_kind") == COMPARE).groupBy(F.col("_id").alias("_wid"), F.col("_n").alias("_wn")).agg(F.collect_list(F.struct(F.col("_f").alias("f"), F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("_want"))
     cut = known.join(want.hint("merge"), (F.col("_id") == F.col("_wid")) & (F.col("_n") == F.col("_wn")))
-    cut = scratch.written(cut.select("_id", "_n", "_text", "_want").mapInArrow(_cut, _PIECE), "segments")
+    with small_batches(df.sparkSession):
+        cut = scratch.written(cut.select("_id", "_n", "_text", "_want").mapInArrow(_cut, _PIECE), "segments")
     plain, more = _by_context(cut, scratch)
     parts = parts.unionByName(_merged(plain))
     for marks in more:

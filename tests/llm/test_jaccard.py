@@ -72,6 +72,22 @@ def test_sample_table_against_brute_force(spark):
     assert sorted(tuple(r)[:3] for r in J.near_duplicates(df).collect()) == brute(rows)
 
 
+def test_small_groups(spark, monkeypatch):
+    """Leading sets with more members than a group holds, and texts dealt by id."""
+    monkeypatch.setattr(J, "MEMBERS", 2)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "LEADERS", 1)
+    rows = corpus()
+    assert sorted(tuple(r)[:3] for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
+def test_different_texts_of_an_id(spark):
+    a, b = "a b c d e f g h i j k l m n", "o p q r s t u v w x y z aa bb"
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " x"), (8, "other words stand here and no more")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 10): 5, (6, 11): 5, (7, 11): 5, (8, 3): 8}
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     t = "a b c d e f g h i j k l m n"
     rows = [(5, t), (5, t), (None, t), (7, t + " o"), (8, None)]
@@ -80,6 +96,29 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_groups_that_may_link():
+    """Rows of the two sides that share enough of their indexed shingles, across groups and batches."""
+    rng = random.Random(4)
+    rows, want = [], set()
+    for g in range(12):
+        sides = [], []
+        for i in range(rng.randint(0, 9)):
+            sides[i % 2].append((g * 100 + i, rng.randint(4, 30), sorted(rng.sample(range(12), rng.randint(1, 8)))))
+        for a, n, x in sides[0]:
+            for b, m, y in sides[1]:
+                both = len(set(x) & set(y))
+                after = max((3 * n + 3) // 4, (3 * m + 3) // 4) - 1
+                if both and 7 * (both + after) >= 3 * (n + m) and 4 * min(n, m) >= 3 * max(n, m):
+                    want |= {(g, 0, a), (g, 1, b)}
+        rows += [(1, 2, g, 3, k, 7, i, n, x) for k in (0, 1) for i, n, x in sides[k]]
+    assert want
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32(), pa.list_(pa.int64())])]
+    whole = pa.record_batch(columns, [*J._ROW, "_n", "_hs"])
+    for size in (1, 3, 100):
+        got = [(r["_g"], r["_side"], r["_id"]) for b in J._could(whole.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "u long, v long").repartition(8)
     got = {r["node"]: r["component"] for r in components(edges).collect()}
