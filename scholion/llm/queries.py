@@ -72,7 +72,7 @@ def _license_sql() -> str:
     for kind, t in [*(("base", t) for t in license_scan.BASE), *(("more", t) for t in license_scan.MORE)]:
         key, n = t.key_words, len(t.key_words)
         quoted = "[" + ", ".join(f"'{w}'" for w in key) + "]"
-        agree = " + ".join(f"coalesce((CASE WHEN p - {t.key_at} + {j} >= 0 THEN w[p - {t.key_at} + {j} + 1] END = '{w}')::INT, 0)" for j, w in enumerate(t.words))
+        agree = " + ".join(f"coalesce(list_contains(w[greatest(p - {t.key_at} + {j - t.tolerance}, 0) + 1 : greatest(p - {t.key_at} + {j + t.tolerance} + 1, 0)], '{w}'), false)::INT" for j, w in enumerate(t.words))
         places.append(
             f"SELECT doc_id, '{kind}' AS kind, '{t.label}' AS label, (p - {t.key_at})::BIGINT AS start_at, round(({agree}) / {float(len(t.words))}, 6) AS agree, {t.share} AS share "
             f"FROM (SELECT doc_id, w, pos AS p FROM each JOIN words USING (doc_id) WHERE word = '{key[0]}' AND w[pos + 1 : pos + {n}] = {quoted})"
@@ -112,9 +112,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH said AS (SELECT conv_id, coalesce(floor(turn / 256.0), 0)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
         speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
         pieces AS (SELECT s.conv_id, perspective, part, turn, role, text,
-            CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS h, text || '<|end|>' || chr(10) AS t
+            CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || regexp_replace(replace(replace(role, '<|', '< |'), '|>', '| >'), '[\r\n]', ' ', 'g') || '|>' || chr(10) END AS h, text || '<|end|>' || chr(10) AS t
             FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
-        placed AS (SELECT *, (sum(length(h) + length(t)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM pieces)
+        placed AS (SELECT *, (sum(length(h) + length(t)) OVER (PARTITION BY conv_id, perspective ORDER BY part, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM pieces)
         SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE role = perspective)::BIGINT AS n_own, string_agg(h || t, '' ORDER BY e) AS text,
             coalesce(string_agg((e - length(t))::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY e) FILTER (WHERE role = perspective), '') AS masks
         FROM placed GROUP BY conv_id, perspective, part""",
