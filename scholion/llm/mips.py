@@ -10,9 +10,10 @@ the block), and each query of a block is pruned by what pays there:
   only a range of the block's list sorted by that coordinate is verified;
 * low, only length prunes: the vectors long enough are a prefix of the block and are verified.
 
-What is verified is the integer product itself, so results are exact. The queries are blocks too,
-matched with vector blocks by block number: nothing is broadcast and no task sees more than one block
-of each side at a time.
+What is verified is the integer product itself, so results are exact. The queries are blocks too. Before any block moves,
+block numbers alone are matched: a query block goes to the vector blocks whose longest vector is long enough for the least
+demanding of its queries, so most pairs of blocks never meet where lengths differ. Nothing that grows is broadcast, and no task
+sees more than one block of each side at a time.
 """
 
 from __future__ import annotations
@@ -31,21 +32,28 @@ BLOCK, QUERIES = 8192, 2048
 RATIO = 1.05
 #: From this local cosine on, the coordinate lists are used.
 COORDINATE_FROM = 0.6
-_PACKED = "_dim int, _at long, _ids binary, _rows binary"
+#: Query blocks that share a copy of the block of the longest vectors, and dimensions and buckets sent to every task.
+SHARED, BROADCAST_ROWS = 8, 100_000
+_PACKED = "_dim int, _at long, _ids binary, _rows binary, _width int, _longest double"
 
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block: ids and components, longest vectors first."""
+    """One row for a block: ids and components, longest vectors first, in the smallest integers that hold them."""
     ids = rows.column("_id").to_numpy().astype(np.int64)
-    flat = rows.column("_v").combine_chunks()
-    v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), -1)
-    order = np.lexsort((ids, -(v.astype(np.float64) ** 2).sum(1)))
-    return pa.table({"_dim": pa.array([v.shape[1]], pa.int32()), "_at": pa.array([key[1].as_py()], pa.int64()), "_ids": [ids[order].tobytes()], "_rows": [v[order].tobytes()]})
-
-
-def _unpack(ids: bytes, rows: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    v = rows.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), -1)
+    square = (v.astype(np.float64) ** 2).sum(1)
+    order = np.lexsort((ids, -square))
+    low, high = int(v.min(initial=0)), int(v.max(initial=0))
+    kind = next(k for k in (np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return pa.table({
+        "_dim": pa.array([v.shape[1]], pa.int32()), "_at": pa.array([key[1].as_py()], pa.int64()), "_ids": [ids[order].tobytes()], "_rows": [v[order].astype(kind).tobytes()],
+        "_width": pa.array([np.dtype(kind).itemsize], pa.int32()), "_longest": [float(np.sqrt(square.max()))],
+    })
+
+
+def _unpack(ids: bytes, rows: bytes, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(rows, np.int64).reshape(len(i), dim)
+    return i, np.frombuffer(rows, f"i{width}").astype(np.int64).reshape(len(i), dim)
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -136,30 +144,37 @@ def top_products(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         plan.append((dim, -bucket, start, blocks))
         first[dim] = start + blocks
         queries[dim] = queries.get(dim, 0) + q
-    blocks = F.broadcast(spark.createDataFrame(plan, "_dim int, _bucket long, _start long, _blocks long"))
-    packed = rows.join(blocks, ["_dim", "_bucket"]).select("_dim", (F.col("_start") + F.pmod(F.xxhash64("_id"), "_blocks")).alias("_at"), "_id", "_v")
+    # A row for each dimension and bucket.
+    blocks = spark.createDataFrame(plan, "_dim int, _bucket long, _start long, _blocks long")
+    packed = rows.join(F.broadcast(blocks) if len(plan) <= BROADCAST_ROWS else blocks, ["_dim", "_bucket"]).select("_dim", (F.col("_start") + F.pmod(F.xxhash64("_id"), "_blocks")).alias("_at"), "_id", "_v")
     vectors = written(packed.groupBy("_dim", "_at").applyInArrow(_pack, _PACKED), "vector-blocks")
-    sizes = F.broadcast(spark.createDataFrame([(d, -(-q // QUERIES), first[d]) for d, q in queries.items() if q], "_dim int, _qblocks long, _all long"))
-    asked = rows.filter("_q").join(sizes, "_dim").select("_dim", F.pmod(F.xxhash64("_id"), "_qblocks").alias("_at"), "_id", "_v")
-    asked = asked.groupBy("_dim", "_at").applyInArrow(_pack, _PACKED).select("_dim", F.col("_ids").alias("_qids"), F.col("_rows").alias("_qrows"))
+    sizes = spark.createDataFrame([(d, -(-q // QUERIES)) for d, q in queries.items() if q], "_dim int, _qblocks long")
+    asked = rows.filter("_q").join(F.broadcast(sizes) if len(queries) <= BROADCAST_ROWS else sizes, "_dim").select("_dim", F.pmod(F.xxhash64("_id"), "_qblocks").alias("_at"), "_id", "_v", "_qblocks")
+    named = ["_ids", "_rows", "_width"]
+    asked = asked.groupBy("_dim", "_at").applyInArrow(_pack, _PACKED).select("_dim", F.col("_at").alias("_qat"), *[F.col(c).alias(f"_q{c}") for c in named])
+
+    def both(r: dict) -> tuple[np.ndarray, ...]:
+        return *_unpack(r["_q_ids"], r["_q_rows"], r["_dim"], r["_q_width"]), *_unpack(r["_ids"], r["_rows"], r["_dim"], r["_width"])
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to a query block the k-th best score of each of its queries on the longest vectors."""
+        """Adds to a query block the k-th best score of each of its queries on the longest vectors, and how long a vector
+        must be to reach that of any."""
         for batch in batches:
             for r in batch.to_pylist():
-                qi, q = _unpack(r["_qids"], r["_qrows"], r["_dim"])
-                vi, v = _unpack(r["_ids"], r["_rows"], r["_dim"])
+                qi, q, vi, v = both(r)
                 least = np.full(len(qi), -np.inf)
                 for n, s, _ in _search(qi, q, vi, v, least.copy(), k):
                     if len(s) == k:
                         least[n] = s[-1]
-                yield pa.record_batch({"_dim": pa.array([r["_dim"]], pa.int32()), "_qids": [r["_qids"]], "_qrows": [r["_qrows"]], "_least": [least.tobytes()]})
+                length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+                need = np.divide(least, length, out=np.where(least > 0, np.inf, -np.inf), where=length > 0).min() * (1 - 1e-9)
+                need = max(float(need), 0.0) if need > 0 else 0.0
+                yield pa.record_batch({**{c: [r[c]] for c in ("_qat", "_q_ids", "_q_rows")}, "_dim": pa.array([r["_dim"]], pa.int32()), "_q_width": pa.array([r["_q_width"]], pa.int32()), "_least": [least.tobytes()], "_need": [need]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                qi, q = _unpack(r["_qids"], r["_qrows"], r["_dim"])
-                vi, v = _unpack(r["_ids"], r["_rows"], r["_dim"])
+                qi, q, vi, v = both(r)
                 found = list(_search(qi, q, vi, v, np.frombuffer(r["_least"]), k))
                 if found:
                     yield pa.record_batch({
@@ -168,11 +183,15 @@ def top_products(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                         "score": np.concatenate([s for _, s, _ in found]),
                     })
 
+    # The block of the longest vectors is copied once for a few query blocks, so that no task gets them all.
+    first_block = vectors.filter("_at = 0").join(sizes, "_dim").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_qblocks") - 1) / SHARED)))).select("_dim", "_copy", *named)
     with_scores = written(
-        asked.withColumn("_at", F.lit(0).cast("long")).join(vectors, ["_dim", "_at"]).mapInArrow(seed, "_dim int, _qids binary, _qrows binary, _least binary"),
+        asked.withColumn("_copy", F.floor(F.col("_qat") / SHARED)).join(first_block, ["_dim", "_copy"]).select("_dim", "_qat", *[f"_q{c}" for c in named], *named).mapInArrow(seed, "_qat long, _q_ids binary, _q_rows binary, _dim int, _q_width int, _least binary, _need double"),
         "query-blocks",
     )
-    tries = with_scores.join(sizes, "_dim").select("_dim", "_qids", "_qrows", "_least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1)).alias("_at"))
-    found = tries.join(vectors, ["_dim", "_at"]).mapInArrow(search, "query_id long, _vid long, score long")
+    lengths = vectors.select("_dim", "_at", "_longest")
+    pairs = written(with_scores.select("_dim", "_qat", "_need").join(lengths, "_dim").filter(F.col("_longest") >= F.col("_need")).select("_dim", "_qat", "_at"), "block-pairs")
+    tries = pairs.join(with_scores, ["_dim", "_qat"]).join(vectors, ["_dim", "_at"]).select("_dim", "_q_ids", "_q_rows", "_q_width", "_least", *named)
+    found = tries.mapInArrow(search, "query_id long, _vid long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_vid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("_vid").alias(id_col), "score")

@@ -108,6 +108,8 @@ def test_top_products(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = mips.top_products(df, F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, got.collect())) == products(rows)
+    again = spark.createDataFrame([*rows, *rows[:120], (None, rows[0][1])], "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in mips.top_products(again, F.col("vec_id") % 50 == 0).collect() if r["rank"] == 1} >= {r for r in products(rows) if r[1] == 1 and r[2] >= 120}
     assert mips.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
