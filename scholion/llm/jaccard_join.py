@@ -12,9 +12,10 @@ each document's component of links. The join is exact:
    pairs, those are skipped that share too few of their indexed shingles. What links is one component.
 4. *Answer level.* Sets of one component have their answer already and are never paired again. A component
    is cut into blocks, each a pivot set and its members' differences from it. Lists now hold blocks,
-   and only blocks of different components meet, in lists where their positions can reach. Of two blocks that meet, the
-   members that share too few indexed shingles with every member of the other are skipped before any text
-   moves; a block's answers to a set are derived from the
+   and only blocks of different components meet, in lists where their positions can reach. Two blocks whose bitmaps (of
+   what all members have, and of what any has) differ in too many bits hold no link; of the others, the
+   members that share too few indexed shingles with every member of the other block, or differ in too many bits, are
+   skipped before any text moves; a block's answers to a set are derived from the
    pivot's: |X and Y| = |P and Y| - |(P - X) and Y| + |(X - P) and Y|, over the differences alone.
 
 So a group of thousands of near copies costs its size, not its square. Sets are 64-bit hashes of
@@ -117,20 +118,41 @@ def _key(shingles: np.ndarray) -> int:
     return int(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), np.int64)[0])
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle by its hash, four times as many bits as shingles or more."""
+    bits = np.zeros(max(512, 1 << (4 * len(shingles) - 1).bit_length()), bool)
+    bits[shingles & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap with fewer bits: that of the same set."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits of ``x`` that ``y`` lacks, at the size of the smaller one: at least so many shingles are in x alone."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_fold(x, size) & ~_fold(y, size)).sum())
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and key of every set; with the first row of a slice, the shingles that occur in two
+    """Size, key and bitmap of every set; with the first row of a slice, the shingles that occur in two
     different sets of the slice or more, and in how many."""
     for part in (part for batch in batches for part in slices(batch, 1)):
-        sizes, keys, sets = [], [], {}
+        sizes, keys, bits, sets = [], [], [], {}
         for text in part.column(1):
             s = shingle_set(text.as_py())
             sizes.append(len(s))
             keys.append(_key(s))
+            bits.append(bitmap(s))
             sets[keys[-1]] = s
         h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         often = pa.StructArray.from_arrays([h[n > 1], n[n > 1].astype(np.int64)], ["h", "c"])
         ends = pa.array([0] + [len(often)] * len(keys), pa.int32())
-        yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, often)], ["_id", "_n", "_key", "_often"])
+        yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, often)], ["_id", "_n", "_key", "_bits", "_often"])
 
 
 def in_order(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -251,45 +273,81 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple, l
 
 
 def _could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (_ROW, size, indexed shingles), sorted by group and side, those that may link to one of the other side:
-    together, what they share of their indexed shingles and all shingles after those reach a link."""
+    """Of rows (_ROW, size, indexed shingles, bitmap), sorted by group and side, those that may link to one of the other
+    side: together, what they share of their indexed shingles and all shingles after those reach a link, and their bitmaps
+    do not differ in more bits than a link allows."""
     out: list[tuple] = []
     held: tuple | None = None
-    left: list[tuple] = []  # the rows of side 0: row, size, shingles
+    left: list[tuple] = []  # the rows of side 0: row, size, shingles, bitmap
     used: set[int] = set()
     index: tuple | None = None
-    for group, (side, v, i), (size, hs) in _groups(batches):
+    for group, (side, v, i), (size, hs, bits) in _groups(batches):
         if group != held:
             out += [left[k][0] for k in sorted(used)]
             held, left, used, index = group, [], set(), None
             if len(out) >= 10_000:
                 yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), _ROW).cast(_SCHEMA)
                 out = []
-        hs, n = hs.values.to_numpy(), size.as_py()
+        hs, n, bits = hs.values.to_numpy(), size.as_py(), np.frombuffer(bits.as_py(), np.uint8)
         if side == 0:
-            left.append(((*group, side, v, i), n, hs))
+            left.append(((*group, side, v, i), n, hs, bits))
             continue
         if not left:
             continue
         if index is None:
-            every = np.concatenate([h for _, _, h in left])
-            owner = np.repeat(np.arange(len(left)), [len(h) for _, _, h in left])
+            every = np.concatenate([x[2] for x in left])
+            owner = np.repeat(np.arange(len(left)), [len(x[2]) for x in left])
             order = np.argsort(every, kind="stable")
-            index = every[order], owner[order], np.array([n for _, n, _ in left], np.int64)
+            index = every[order], owner[order], np.array([x[1] for x in left], np.int64)
         every, owner, sizes = index
         a, b = np.searchsorted(every, hs, "left"), np.searchsorted(every, hs, "right")
         at = np.concatenate([np.arange(x, y) for x, y in zip(a[b > a], b[b > a], strict=True)]) if (b > a).any() else np.zeros(0, np.int64)
         shared = np.bincount(owner[at], minlength=len(left))
         after = np.maximum((3 * sizes + 3) // 4, (3 * n + 3) // 4) - 1
         fine = (7 * (shared + after) >= 3 * (sizes + n)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)) & (shared > 0)
-        if fine.any():
-            used |= set(np.flatnonzero(fine).tolist())
+        fine = [k for k in np.flatnonzero(fine).tolist() if 7 * (differences(left[k][3], bits) + differences(bits, left[k][3])) <= left[k][1] + n]
+        if fine:
+            used |= set(fine)
             out.append((*group, side, v, i))
     out += [left[k][0] for k in sorted(used)]
     if out:
         yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), _ROW).cast(_SCHEMA)
 
 
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, b, largest size, bits of any member, bits of all members) of rows (c, b, size, bitmap) sorted by block."""
+    held: tuple | None = None
+    most, some, every = 0, None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x], pa.int64()) for x in (*held, most)] + [pa.array([x.tobytes()], pa.binary()) for x in (some, every)], ["c", "b", "most", "some", "every"])
+
+    for batch in batches:
+        for c, b, n, bits in zip(*(x.to_pylist() for x in batch.columns[:3]), batch.column(3), strict=True):
+            bits = np.frombuffer(bits.as_py(), np.uint8)
+            if (c, b) != held:
+                if held is not None:
+                    yield out()
+                held, most, some, every = (c, b), n, bits, bits
+                continue
+            size = min(len(some), len(bits))
+            most, some, every = max(most, n), _fold(some, size) | _fold(bits, size), _fold(every, size) & _fold(bits, size)
+    if held is not None:
+        yield out()
+
+
+def _blocks_could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (_GROUP, largest sizes, bits of any and all members of both sides), those whose blocks may hold a link: what
+    all members have and no member of the other side is apart in every pair."""
+    for batch in batches:
+        keep = []
+        for m, k, *maps in zip(*(batch.column(x).to_pylist() for x in range(4, 6)), *(batch.column(x) for x in range(6, 10)), strict=True):
+            some, every, some_too, every_too = (np.frombuffer(x.as_py(), np.uint8) for x in maps)
+            apart = sum(differences(a, b) for a, b in ((every, some_too), (every_too, some)))
+            keep.append(7 * apart <= m + k)
+        yield pa.record_batch(batch.columns[:4], _GROUP).filter(pa.array(keep, pa.bool_()))
+
+
 _SCHEMA = pa.schema([(c, pa.int32() if c == "_side" else pa.int64()) for c in _ROW])
 
 
@@ -332,12 +390,22 @@ def _can_share(a: str, b: str):
     return (left >= need) & (F.least(f"{a}n", f"{b}n") * 4 >= F.greatest(f"{a}n", f"{b}n") * 3)
 
 
-def _linking(wanted: DataFrame, indexed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) of what meets. Indexed shingles, a tenth of the texts, meet first; then the texts of what may link.
-    Up to a checked number of rows, what is wanted is sent to the scan of the texts."""
+def _bits_of(ids: DataFrame, read: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_y, _k, _bits): the bitmaps of some documents' sets, once each."""
+    ids = scratch.written(ids.distinct().withColumnRenamed("_id", "_y"), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    found = read.select(F.col("_id").alias("_y"), F.col("_key").alias("_k"), "_bits").join(ids, "_y", "left_semi")
+    return scratch.written(found.groupBy("_y", "_k").agg(F.first("_bits").alias("_bits")), "bitmaps")
+
+
+def _linking(wanted: DataFrame, indexed: DataFrame, read: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (u, v) of what meets. Indexed shingles and bitmaps, a tenth of the texts, meet first; then the texts of what
+    may link. Up to a checked number of rows, what is wanted is sent to the scan of the texts."""
     met = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "_side", "_id")
-    arrays = indexed.select(F.col("_s").alias("_x"), "_n", F.transform("_e", lambda e: e["_h"]).alias("_hs"))
-    reach = met(wanted.join(arrays, F.col("_id") == F.col("_x")).select(*_ROW, "_n", "_hs")).mapInArrow(_could, _WANTED)
+    arrays = indexed.select(F.col("_s").alias("_x"), "_key", "_n", F.transform("_e", lambda e: e["_h"]).alias("_hs"))
+    bits = _bits_of(wanted.select("_id"), read, scratch)
+    arrays = wanted.join(arrays, F.col("_id") == F.col("_x")).join(bits, (F.col("_id") == F.col("_y")) & (F.col("_key") == F.col("_k")))
+    reach = met(arrays.select(*_ROW, "_n", "_hs", "_bits")).mapInArrow(_could, _WANTED)
     reach = scratch.written(reach.distinct(), "reaching")
     small = reach.count() <= BROADCAST_ROWS
     texts = docs.filter("_text is not null").withColumnRenamed("_id", "_x").join(F.broadcast(reach) if small else reach, F.col("_x") == F.col("_id"))
@@ -358,8 +426,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     with small_batches(docs.sparkSession):
-        read = scratch.written(docs.mapInArrow(_signatures, "_id long, _n long, _key long, _often array<struct<h:long,c:long>>"), "signatures")
-    signs = written(read.drop("_often"), "sizes")
+        read = scratch.written(docs.mapInArrow(_signatures, "_id long, _n long, _key long, _bits binary, _often array<struct<h:long,c:long>>"), "signatures")
+    signs = written(read.select("_id", "_n", "_key"), "sizes")
     sets = written(signs.filter("_n > 0").groupBy("_key", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_equal")), "sets")
 
     often = read.select(F.explode("_often").alias("o")).groupBy(F.col("o.h").alias("_h")).agg(F.sum("o.c").alias("_c")).filter("_c >= 16")
@@ -373,7 +441,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     indexed = shared.groupBy("_key", "_n").agg(F.array_sort(F.collect_list(F.struct("_pos", "_h"))).alias("_e"))
     named = sets.filter("_rep is not null").select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), "_rep")
     with small_batches(docs.sparkSession):
-        indexed = scratch.written(indexed.join(named, (F.col("_m") == F.col("_n")) & (F.col("_key") == F.col("_k"))).select(F.col("_rep").alias("_s"), "_n", "_e"), "indexed")
+        indexed = scratch.written(indexed.join(named, (F.col("_m") == F.col("_n")) & (F.col("_key") == F.col("_k"))).select(F.col("_rep").alias("_s"), "_key", "_n", "_e"), "indexed")
 
     # Every set meets the leading sets of its first lists. A leading set's members are dealt in groups.
     listed = lambda e: indexed.select("_s", "_n", F.explode(e).alias("e")).select("_s", "_n", "e._h", "e._pos")
@@ -385,14 +453,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("_k")).withColumnRenamed("lead", "_l")
     stars = pairs.join(groups, F.col("lead") == F.col("_l")).select("lead", "member", F.pmod(F.xxhash64("member"), "_k").alias("part"))
     star = lambda df, side, v: df.select(F.col("lead").alias("_u"), F.col("part").alias("_ub"), F.lit(0).cast("long").alias("_g"), F.lit(0).cast("long").alias("_gb"), F.lit(side).alias("_side"), F.col(v).alias("_v"), F.col(v).alias("_id"))
-    edges = _linking(star(stars, 1, "member").unionByName(star(stars.select("lead", "part").distinct(), 0, "lead")), indexed, docs, scratch)
+    edges = _linking(star(stars, 1, "member").unionByName(star(stars.select("lead", "part").distinct(), 0, "lead")), indexed, read, docs, scratch)
 
     # Components so far, in blocks; then only blocks of different components meet.
     part = scratch.written(components(edges), "components")
     size = part.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("_blocks")).withColumnRenamed("component", "_c")
     placed = part.join(size, F.col("component") == F.col("_c")).select("node", "component", F.pmod(F.xxhash64("node"), "_blocks").alias("block"))
     blocks = indexed.join(placed, F.col("_s") == F.col("node"), "left")
-    blocks = scratch.written(blocks.select("_s", "_n", "_e", F.coalesce("component", "_s").alias("c"), F.coalesce("block", F.lit(0)).cast("long").alias("b")), "blocks")
+    blocks = scratch.written(blocks.select("_s", "_key", "_n", "_e", F.coalesce("component", "_s").alias("c"), F.coalesce("block", F.lit(0)).cast("long").alias("b")), "blocks")
     # A block's members are in one task, so a list shrinks to its blocks there, before it is dealt by shingle.
     held = blocks.repartition("c", "b").select("c", "b", "_n", F.explode("_e").alias("e")).groupBy(F.col("e._h").alias("_h"), "c", "b")
     held = held.agg(F.min("_n").alias("least"), F.max("_n").alias("most"), F.max(F.col("_n") - F.col("e._pos")).alias("left")).repartition("_h")
@@ -403,9 +471,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reach = F.least("xleft", "yleft") * 7 >= (F.col("xleast") + F.col("yleast")) * 3  # holds in the first list that a linking pair shares
     met = scratch.written(x.join(y, (F.col("xh") == F.col("yh")) & may & reach).select(F.col("xc").alias("_u"), F.col("xb").alias("_ub"), F.col("yc").alias("_g"), F.col("yb").alias("_gb")).distinct(), "meetings")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col("_u").alias("kc"), F.col("_ub").alias("kb")), F.struct(F.lit(1).alias("_side"), F.col("_g").alias("kc"), F.col("_gb").alias("kb"))))
-    members = blocks.select("c", "b", "_s").distinct()
-    wanted = met.select(*_GROUP, sides.alias("k")).select(*_GROUP, "k._side", "k.kc", "k.kb").join(members, (F.col("kc") == F.col("c")) & (F.col("kb") == F.col("b")))
-    more = _linking(wanted.select(*_GROUP, "_side", F.col("_g").alias("_v"), F.col("_s").alias("_id")), indexed, docs, scratch)
+    both = lambda df: df.select(*_GROUP, sides.alias("k")).select(*_GROUP, "k._side", "k.kc", "k.kb")
+    # First by a summary of each block, then by its members.
+    in_block = (F.col("kc") == F.col("c")) & (F.col("kb") == F.col("b"))
+    members = scratch.written(blocks.select("c", "b", "_s", "_key", "_n").join(both(met).select("kc", "kb").distinct(), in_block, "left_semi"), "members")
+    bits = _bits_of(members.select(F.col("_s").alias("_id")), read, scratch)
+    dealt = members.join(bits, (F.col("_s") == F.col("_y")) & (F.col("_key") == F.col("_k"))).select("c", "b", "_n", "_bits").repartition("c", "b").sortWithinPartitions("c", "b")
+    known = scratch.written(dealt.mapInArrow(_summaries, "c long, b long, most long, some binary, every binary"), "summaries")
+    x, y = (known.select(*[F.col(c).alias(f"{k}{c}") for c in known.columns]) for k in "xy")
+    met = met.join(x, (F.col("_u") == F.col("xc")) & (F.col("_ub") == F.col("xb"))).join(y, (F.col("_g") == F.col("yc")) & (F.col("_gb") == F.col("yb")))
+    met = met.select(*_GROUP, "xmost", "ymost", "xsome", "xevery", "ysome", "yevery").mapInArrow(_blocks_could, ", ".join(f"{c} long" for c in _GROUP))
+    met = scratch.written(met, "meetings")
+    wanted = both(met).join(members, in_block).select(*_GROUP, "_side", "_s").distinct()
+    more = _linking(wanted.select(*_GROUP, "_side", F.col("_g").alias("_v"), F.col("_s").alias("_id")), indexed, read, docs, scratch)
     final = written(components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
     scratch.clear()
 

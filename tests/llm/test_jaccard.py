@@ -100,6 +100,7 @@ def test_groups_that_may_link():
     """Rows of the two sides that share enough of their indexed shingles, across groups and batches."""
     rng = random.Random(4)
     rows, want = [], set()
+    bits = lambda x: J.bitmap(np.array(x, np.int64) * 77)
     for g in range(12):
         sides = [], []
         for i in range(rng.randint(0, 9)):
@@ -108,17 +109,34 @@ def test_groups_that_may_link():
             for b, m, y in sides[1]:
                 both = len(set(x) & set(y))
                 after = max((3 * n + 3) // 4, (3 * m + 3) // 4) - 1
-                if both and 7 * (both + after) >= 3 * (n + m) and 4 * min(n, m) >= 3 * max(n, m):
+                if both and 7 * (both + after) >= 3 * (n + m) and 4 * min(n, m) >= 3 * max(n, m) and 7 * (len(set(x) - set(y)) + len(set(y) - set(x))) <= n + m:
                     want |= {(g, 0, a), (g, 1, b)}
-        rows += [(1, 2, g, 3, k, 7, i, n, x) for k in (0, 1) for i, n, x in sides[k]]
+        rows += [(1, 2, g, 3, k, 7, i, n, x, bits(x)) for k in (0, 1) for i, n, x in sides[k]]
     assert want
-    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32(), pa.list_(pa.int64())])]
-    whole = pa.record_batch(columns, [*J._ROW, "_n", "_hs"])
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32(), pa.list_(pa.int64()), pa.binary()])]
+    whole = pa.record_batch(columns, [*J._ROW, "_n", "_hs", "_bits"])
     for size in (1, 3, 100):
         got = [(r["_g"], r["_side"], r["_id"]) for b in J._could(whole.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_bitmaps_never_tell_too_much():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in (0, 1, 5, 100, 100, 700, 3000)]
+    sets += [np.union1d(sets[3], sets[4][:20]), sets[5][50:], np.union1d(sets[5], sets[3])]
+    as_bits = lambda s: np.frombuffer(J.bitmap(s), np.uint8)
+    for x in sets:
+        for y in sets:
+            assert J.differences(as_bits(x), as_bits(y)) <= len(np.setdiff1d(x, y))
+    batch = pa.record_batch([pa.array([1] * 3 + [2] * 2, pa.int64()), pa.array([0] * 5, pa.int64()), pa.array([len(sets[k]) for k in (5, 8, 9, 3, 7)], pa.int64()), pa.array([J.bitmap(sets[k]) for k in (5, 8, 9, 3, 7)], pa.binary())], ["c", "b", "_n", "_bits"])
+    for size in (1, 2, 5):
+        one, two = [r for b in J._summaries(batch.slice(k, size) for k in range(0, 5, size)) for r in b.to_pylist()]
+        some, every = (np.frombuffer(one[k], np.uint8) for k in ("some", "every"))
+        assert all(J.differences(as_bits(sets[k]), some) == 0 == J.differences(every, as_bits(sets[k])) for k in (5, 8, 9)) and one["most"] == len(sets[9])
+        least = min(len(np.setdiff1d(sets[a], sets[b])) for a in (5, 8, 9) for b in (3, 7))
+        assert 0 < J.differences(every, np.frombuffer(two["some"], np.uint8)) <= least
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "u long, v long").repartition(8)
     got = {r["node"]: r["component"] for r in components(edges).collect()}
