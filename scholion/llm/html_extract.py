@@ -22,15 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH, WORDS, EXTRA, HIDDEN = 96, 24, 10, 20
+from scholion.llm.common import slices
+
+PATH, WORDS, EXTRA, HIDDEN = 192, 24, 10, 20
 #: Places of the table of word weights.
 TABLE = 1 << 16
 #: The bounds of training.
-PAGES, EPOCHS, BATCH = 480, 8, 24
+PAGES, EPOCHS, BATCH = 1800, 10, 24
+#: Blocks of the pages that run together, those that pad shorter pages included (a longer page runs alone).
+CELLS = 1 << 14
 
+# A tag's attributes hold no "<" outside quotes, and none of it is tried again, so reading is linear in the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|title|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|title|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^<>]*>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -42,13 +47,41 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters inside links) of each block with text, in page order. Comments, scripts,
+class Container:
+    """An open element, and through ``above`` those around it: blocks share them instead of holding paths of their own.
+    ``vector`` marks the hashed parts of all their names, classes, ids and roles."""
+
+    __slots__ = ("above", "depth", "label", "tag", "vector")
+
+    def __init__(self, tag: str, parts: list[str], above: Container | None) -> None:
+        self.tag, self.above, self.depth = tag, above, above.depth + 1 if above else 1
+        self.label = " ".join([tag, *parts])
+        marks = [_hash(part + salt, PATH) for part in (tag, *parts) for salt in ("", "|")]  # two each, so that few names look alike
+        if above is not None and all(above.vector[m] for m in marks):
+            self.vector = above.vector
+        else:
+            self.vector = above.vector.copy() if above else np.zeros(PATH, np.float32)
+            self.vector[marks] = 1
+
+    def path(self) -> list[str]:
+        at, out = self, []
+        while at is not None:
+            out.append(at.label)
+            at = at.above
+        return out[::-1]
+
+
+Block = tuple[str, Container | None, int]
+
+
+def blocks_of(page: str) -> list[Block]:
+    """(text, container, characters inside links) of each block with text, in page order. Comments, scripts,
     styles and other raw elements are markup. The head has none but such and void elements, so its tags are
     passed over: its end tag may be missing, and text or any other tag is the body's. A block-level tag ends a block; ``br`` is white
     space. A closing tag closes what is open inside it; one that was never opened is ignored."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, str]] = []
+    out: list[Block] = []
+    inner: Container | None = None
+    open_: dict[str, int] = {}
     text: list[str] = []
     linked = in_link = 0
 
@@ -56,10 +89,15 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            out.append((joined, tuple(label for _, label in stack), linked))
+            out.append((joined, inner, linked))
         text.clear()
         linked = 0
 
+    def close() -> None:
+        nonlocal inner
+        open_[inner.tag] -= 1
+        inner = inner.above
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -81,17 +119,16 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag == "head":
             continue
         if m["end"]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    del stack[n:]
-                    break
+            if open_.get(tag):
+                while inner.tag != tag:
+                    close()
+                close()
         elif tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                stack.pop()
-            elif stack and stack[-1][0] == "p":
-                stack.pop()
+            if inner is not None and (inner.tag == "p" or (inner.tag == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"))):
+                close()
             named = [p for a in _ATTR.findall(m["attrs"]) for p in _PART.findall("".join(a[1:]).lower())]
-            stack.append((tag, " ".join([tag, *named])))
+            inner = Container(tag, named, inner)
+            open_[tag] = open_.get(tag, 0) + 1
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -111,34 +148,19 @@ def _words(text: str) -> np.ndarray:
     return np.array([_word_hash(w) for w in _WORD.findall(text.lower())], np.int64)
 
 
-_path_cache: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    known = _path_cache.get(path)
-    if known is None:
-        if len(_path_cache) > 20_000:
-            _path_cache.clear()
-        known = np.zeros(PATH, np.float32)
-        for label in path:
-            for part in label.split():
-                known[_hash(part, PATH)] = 1
-        _path_cache[path] = known
-    return known
-
-
-def features(blocks: list[tuple[str, tuple[str, ...], int]], weights: np.ndarray | None = None) -> np.ndarray:
+def features(blocks: list[Block], weights: np.ndarray | None = None) -> np.ndarray:
     """A row for each block; ``weights`` are those of ``word_weights`` if not given. All words of a block count."""
     weights = word_weights() if weights is None else weights
     x = np.zeros((len(blocks), PATH + WORDS + EXTRA), np.float32)
-    for n, (text, path, linked) in enumerate(blocks):
-        x[n, :PATH] = _path_vector(path)
+    for n, (text, inner, linked) in enumerate(blocks):
+        if inner is not None:
+            x[n, :PATH] = inner.vector
         words, known, told = text.split(), _words(text), np.zeros(0, np.float32)
         if len(known):
             x[n, PATH : PATH + WORDS] = np.bincount(known % WORDS, minlength=WORDS) / len(known)
             told = weights[known % TABLE]
-        ends = path[-1].split()[0] if path else ""
-        x[n, -EXTRA:] = (np.log1p(len(words)) / 5, min(1.0, linked / len(text)), ends[:1] == "h" and ends[1:].isdigit(), ends == "li", ends == "p", len(path) / 10, text[-1] in ".!?", told.sum() / (len(told) + 3), (told > 1).sum() / (len(told) + 3), 1)
+        ends, depth = (inner.tag, inner.depth) if inner is not None else ("", 0)
+        x[n, -EXTRA:] = (np.log1p(len(words)) / 5, min(1.0, linked / len(text)), ends[:1] == "h" and ends[1:].isdigit(), ends == "li", ends == "p", min(depth, 40) / 10, text[-1] in ".!?", told.sum() / (len(told) + 3), (told > 1).sum() / (len(told) + 3), 1)
     return x
 
 
@@ -147,14 +169,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Lstm:
-    """One direction; ``run`` keeps what ``back`` needs."""
+    """One direction; ``run`` keeps what ``back`` needs, if asked to."""
 
     def __init__(self, size: int, rng: np.random.Generator) -> None:
         self.w = (rng.normal(size=(size + HIDDEN, 4 * HIDDEN)) / np.sqrt(size + HIDDEN)).astype(np.float32)
         self.b = np.zeros(4 * HIDDEN, np.float32)
         self.b[HIDDEN : 2 * HIDDEN] = 1
 
-    def run(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> np.ndarray:
         steps, batch, size = x.shape
         h = c = np.zeros((batch, HIDDEN), np.float32)
         self.kept, out = [], np.zeros((steps, batch, HIDDEN), np.float32)
@@ -166,7 +188,8 @@ class Lstm:
             m = mask[t][:, None]
             c_new = f * c + i * g
             tc = np.tanh(c_new)
-            self.kept.append((h, c, i, f, o, g, tc, m))
+            if keep:
+                self.kept.append((h, c, i, f, o, g, tc, m))
             c, h = m * c_new + (1 - m) * c, m * (o * tc) + (1 - m) * h
             out[t] = h
         return out
@@ -197,27 +220,31 @@ class Labeller:
         self.b = np.zeros(1, np.float32)
 
     def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For every block of every page, how likely it is main text. Pages of like length run together."""
+        """For every block of every page, how likely it is main text. Pages of like length run together, as many as
+        their longest one allows."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((n for n in range(len(pages)) if len(pages[n])), key=lambda n: len(pages[n]))
-        for start in range(0, len(order), 64):
-            part = order[start : start + 64]
+        while order:
+            most = len(pages[order[-1]])
+            part = [order.pop() for _ in range(min(len(order), 64, max(1, CELLS // most)))]
             x, mask = _padded([pages[n] for n in part])
             p = self._forward(x, mask)
             for k, n in enumerate(part):
                 out[n] = p[: len(pages[n]), k]
-            self.ahead.kept = self.behind.kept = []
         return out
 
-    def _forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        self.both = np.concatenate([self.ahead.run(x, mask), self.behind.run(x[::-1], mask[::-1])[::-1]], 2)
-        return _sigmoid(self.both @ self.w + self.b)
+    def _forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> np.ndarray:
+        both = np.concatenate([self.ahead.run(x, mask, keep), self.behind.run(x[::-1], mask[::-1], keep)[::-1]], 2)
+        if keep:
+            self.both = both
+        return _sigmoid(both @ self.w + self.b)
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 7) -> None:
         rng = random.Random(seed)
         values = [self.ahead.w, self.ahead.b, self.behind.w, self.behind.b, self.w, self.b]
         first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-        for _ in range(EPOCHS):
+        for epoch in range(EPOCHS):
+            rate = 0.012 * (1 - epoch / EPOCHS)
             order = sorted(pages, key=lambda p: (len(p[0]) // 4, rng.random()))
             batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
             rng.shuffle(batches)
@@ -226,14 +253,14 @@ class Labeller:
                 y = np.zeros(mask.shape, np.float32)
                 for k, (_, labels) in enumerate(batch):
                     y[: len(labels), k] = labels
-                d = (self._forward(x, mask) - y) * mask / mask.sum()
+                d = (self._forward(x, mask, True) - y) * mask / mask.sum()
                 d_both = d[:, :, None] * self.w
                 grads = [*self.ahead.back(x, d_both[:, :, :HIDDEN]), *self.behind.back(x[::-1], d_both[::-1, :, HIDDEN:]), np.tensordot(d, self.both, ((0, 1), (0, 1))), np.array([d.sum()], np.float32)]
                 step += 1
                 for v, g, m, s in zip(values, grads, first, second, strict=True):
                     m += 0.1 * (g - m)
                     s += 0.01 * (g * g - s)
-                    v -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+                    v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
         self.ahead.kept = self.behind.kept = []
         self.both = None
 
@@ -323,12 +350,12 @@ def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
             for _ in range(rng.randint(1, 2)):
                 put(rng.choice(["p", "p", "div"]), said(4, 30), 0)
             return
-        tag = "div" if bare else rng.choice(names[kind])
+        tag = "div" if bare else f'div class="{word()}"' if rng.random() < 0.05 else rng.choice(names[kind])
         parts.append(f"<{tag}>")
         if kind in ("menu", "side") and rng.random() < 0.8:
             links(rng.randint(2, 8))
         elif kind == "form":
-            put("label" if rng.random() < 0 else "p", said(4, 14) if bare else said(1, 4), 0)
+            put(rng.choice(["label", "p", "p"]), said(4, 14) if bare else said(1, 4), 0)
         elif rng.random() < 0.5:
             parts.append(said(4, 14))
             labels.append(0)
@@ -337,14 +364,19 @@ def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
                 put("p", said(4, 30) if bare else said(2, 30), 0)
         parts.append(f"</{tag.split()[0]}>")
 
+    alone, text_tag = rng.random() < 0.2, "div" if rng.random() < 0.15 else "p"  # no chrome around it; how it marks paragraphs
     for kind in ("note", "head", "menu", "ad", "side", "form"):
-        if rng.random() < (0.8 if kind in ("menu", "ad") else 0.3):
+        if not alone and rng.random() < (0.8 if kind in ("menu", "ad") else 0.3):
             chrome(kind)
-    tag = rng.choice(["article"] * 4 + ["main", 'div class="content"', 'div id="main"', 'div class="article-body"', 'div class="post"'])
+    odd = [f'div id="{word()}"', f'div class="{word()} {word()}"', f'section class="{word()}"', "div", "section", f'td class="{word()}"', "td", f'div class="{word()}"']
+    tag = rng.choice(odd) if rng.random() < 0.35 else rng.choice(["article"] * 4 + ["main", 'div class="content"', 'div id="main"', 'div class="article-body"', 'div class="post"'])
+    around = rng.choice(odd) if rng.random() < 0.3 else ""  # a wrapper that says nothing
+    if around:
+        parts.append(f"<{around}>")
     parts.append(f"<{tag}>")
-    if rng.random() < 0.85:
+    if rng.random() < 0.7:
         put("h1", line(2, 12), 1)
-    for n in range(rng.randint(1, 14)):
+    for n in range(rng.choice([rng.randint(1, 3), rng.randint(1, 14)])):
         roll = rng.random()
         if roll < 0.08:
             put(rng.choice(["h2", "h3"]), line(1, 6), 1)
@@ -359,16 +391,16 @@ def made_up_page(rng: random.Random) -> tuple[str, list[int]]:
             chrome(rng.choice(["ad", "side", "form", "note", "ad", "form", "note", "talk"]), True)
         else:
             text = line(1, rng.choice([8, 60, 60]), rng.uniform(0, 0.9))
-            put("p", f"<b>{text}<br>" if rng.random() < 0.25 else text, 1, rng.random() < 0.85)
-    parts.append(f"</{tag.split()[0]}>")
+            put(text_tag, f"<b>{text}<br>" if rng.random() < 0.25 else text, 1, text_tag == "div" or rng.random() < 0.85)
+    parts.append(f"</{tag.split()[0]}>" + (f"</{around.split()[0]}>" if around else ""))
     for kind in ("talk", "side", "form", "ad", "foot"):
-        if rng.random() < (0.85 if kind == "foot" else 0.25):
+        if not alone and rng.random() < (0.85 if kind == "foot" else 0.25):
             chrome(kind)
     return "<html><body>" + "".join(parts) + "</body></html>", labels
 
 
 @lru_cache(1)
-def _made_up() -> list[tuple[list[tuple[str, tuple[str, ...], int]], list[int]]]:
+def _made_up() -> list[tuple[list[Block], list[int]]]:
     rng, pages = random.Random(12), []
     for _ in range(PAGES):
         page, labels = made_up_page(rng)
@@ -410,9 +442,8 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                pages = [blocks_of(p or "") for p in part.column(len(keep)).to_pylist()]
+            for part in slices(batch, len(keep), 2 << 20, 256):
+                pages = [blocks_of(p.as_py() or "") for p in part.column(len(keep))]
                 texts = ["\n\n".join(b[0] for b, p in zip(blocks, chance, strict=True) if p >= 0.5) for blocks, chance in zip(pages, model.probabilities([features(b, weights) for b in pages]), strict=True)]
                 yield pa.record_batch([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, pages), pa.int64())], [*keep, "text", "n_chars", "n_blocks"])
 

@@ -40,15 +40,15 @@ def test_chrome_without_a_telling_tag(tag):
 
 
 def test_every_word_of_a_block_is_hashed():
-    long = H.features([("river " * 40 + "dam " * 40, ("p",), 0)])[0, H.PATH : H.PATH + H.WORDS]
+    long = H.features([("river " * 40 + "dam " * 40, H.Container("p", [], None), 0)])[0, H.PATH : H.PATH + H.WORDS]
     assert np.isclose(long.sum(), 1) and np.count_nonzero(long) == 2
 
 
 def test_head_without_an_end_tag():
-    want = [(t, path[-1]) for t, path, _ in H.blocks_of("<html><body><article><h1>A</h1><p>B c.</p></article></body></html>")]
+    want = [(t, inner.label) for t, inner, _ in H.blocks_of("<html><body><article><h1>A</h1><p>B c.</p></article></body></html>")]
     for head in ("<head><title>x</title>", "<head><meta charset=utf-8><link rel=a><style>p{}</style><script>var a='<p>';</script>", "<head><title>x</title></head>", "<HEAD>", ""):
         for body in ("<body>", ""):
             blocks = H.blocks_of(f"<html>{head}{body}<article><h1>A</h1><p>B c.</p></article>")
-            assert [(t, path[-1]) for t, path, _ in blocks] == want and not any("head" in path for _, path, _ in blocks), head
+            assert [(t, inner.label) for t, inner, _ in blocks] == want and not any("head" in inner.path() for _, inner, _ in blocks), head
     assert [b[0] for b in H.blocks_of("<head><title>x</title>Plain text to the end")] == ["Plain text to the end"]
     assert [b[0] for b in H.blocks_of("<head><title>x</title></head><header>Top</header>")] == ["Top"]
