@@ -41,6 +41,8 @@ WORDS = 5
 FREQUENT = 1 << 17
 #: The lists in which a set meets the leading set, and the members of a block.
 LEADERS, MEMBERS = 8, 64
+#: Members of smaller blocks that pass by a copy of a block.
+WAITING = 4096
 #: Of sets met before, a task remembers so many keys.
 KNOWN = 50_000
 #: Up to so many rows (56 bytes each) are broadcast to fetch texts; beyond, documents are dealt by id.
@@ -315,12 +317,13 @@ def _could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, b, largest size, bits of any member, bits of all members) of rows (c, b, size, bitmap) sorted by block."""
+    """(c, b, rows, largest size, bits of any member, bits of all members, null if they are the same) of rows (c, b, size,
+    bitmap) sorted by block."""
     held: tuple | None = None
-    most, some, every = 0, None, None
+    count, most, some, every = 0, 0, None, None
 
     def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([x], pa.int64()) for x in (*held, most)] + [pa.array([x.tobytes()], pa.binary()) for x in (some, every)], ["c", "b", "most", "some", "every"])
+        return pa.record_batch([pa.array([x], pa.int64()) for x in (*held, count, most)] + [pa.array([x], pa.binary()) for x in (some.tobytes(), None if (some == every).all() else every.tobytes())], ["c", "b", "count", "most", "some", "every"])
 
     for batch in batches:
         for c, b, n, bits in zip(*(x.to_pylist() for x in batch.columns[:3]), batch.column(3), strict=True):
@@ -328,24 +331,24 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (c, b) != held:
                 if held is not None:
                     yield out()
-                held, most, some, every = (c, b), n, bits, bits
+                held, count, most, some, every = (c, b), 1, n, bits, bits
                 continue
             size = min(len(some), len(bits))
-            most, some, every = max(most, n), _fold(some, size) | _fold(bits, size), _fold(every, size) & _fold(bits, size)
+            count, most, some, every = count + 1, max(most, n), _fold(some, size) | _fold(bits, size), _fold(every, size) & _fold(bits, size)
     if held is not None:
         yield out()
 
 
 def _blocks_could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (_GROUP, largest sizes, bits of any and all members of both sides), those whose blocks may hold a link: what
-    all members have and no member of the other side is apart in every pair."""
+    """Of rows (_GROUP, rows, largest sizes, bits of any and all members of both sides), those whose blocks may hold a link:
+    what all members have and no member of the other side is apart in every pair."""
     for batch in batches:
         keep = []
-        for m, k, *maps in zip(*(batch.column(x).to_pylist() for x in range(4, 6)), *(batch.column(x) for x in range(6, 10)), strict=True):
-            some, every, some_too, every_too = (np.frombuffer(x.as_py(), np.uint8) for x in maps)
+        for m, k, *maps in zip(*(batch.column(x).to_pylist() for x in range(6, 8)), *(batch.column(x) for x in range(8, 12)), strict=True):
+            some, every, some_too, every_too = (np.frombuffer(x.as_py() if x.is_valid else like.as_py(), np.uint8) for x, like in zip(maps, (maps[0], maps[0], maps[2], maps[2]), strict=True))
             apart = sum(differences(a, b) for a, b in ((every, some_too), (every_too, some)))
             keep.append(7 * apart <= m + k)
-        yield pa.record_batch(batch.columns[:4], _GROUP).filter(pa.array(keep, pa.bool_()))
+        yield pa.record_batch(batch.columns[:6], [*_GROUP, "xcount", "ycount"]).filter(pa.array(keep, pa.bool_()))
 
 
 _SCHEMA = pa.schema([(c, pa.int32() if c == "_side" else pa.int64()) for c in _ROW])
@@ -395,7 +398,7 @@ def _bits_of(ids: DataFrame, read: DataFrame, scratch: Scratch) -> DataFrame:
     ids = scratch.written(ids.distinct().withColumnRenamed("_id", "_y"), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     found = read.select(F.col("_id").alias("_y"), F.col("_key").alias("_k"), "_bits").join(ids, "_y", "left_semi")
-    return scratch.written(found.groupBy("_y", "_k").agg(F.first("_bits").alias("_bits")), "bitmaps")
+    return found.groupBy("_y", "_k").agg(F.first("_bits").alias("_bits"))
 
 
 def _linking(wanted: DataFrame, indexed: DataFrame, read: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -453,7 +456,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("_k")).withColumnRenamed("lead", "_l")
     stars = pairs.join(groups, F.col("lead") == F.col("_l")).select("lead", "member", F.pmod(F.xxhash64("member"), "_k").alias("part"))
     star = lambda df, side, v: df.select(F.col("lead").alias("_u"), F.col("part").alias("_ub"), F.lit(0).cast("long").alias("_g"), F.lit(0).cast("long").alias("_gb"), F.lit(side).alias("_side"), F.col(v).alias("_v"), F.col(v).alias("_id"))
-    edges = _linking(star(stars, 1, "member").unionByName(star(stars.select("lead", "part").distinct(), 0, "lead")), indexed, read, docs, scratch)
+    wanted = star(stars, 1, "member").unionByName(star(stars.select("lead", "part").distinct(), 0, "lead"))
+    edges = _linking(scratch.written(wanted, "wanted"), indexed, read, docs, scratch)
 
     # Components so far, in blocks; then only blocks of different components meet.
     part = scratch.written(components(edges), "components")
@@ -470,20 +474,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     may = (F.col("xc") < F.col("yc")) & (F.col("xmost") * 4 >= F.col("yleast") * 3) & (F.col("ymost") * 4 >= F.col("xleast") * 3)
     reach = F.least("xleft", "yleft") * 7 >= (F.col("xleast") + F.col("yleast")) * 3  # holds in the first list that a linking pair shares
     met = scratch.written(x.join(y, (F.col("xh") == F.col("yh")) & may & reach).select(F.col("xc").alias("_u"), F.col("xb").alias("_ub"), F.col("yc").alias("_g"), F.col("yb").alias("_gb")).distinct(), "meetings")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col("_u").alias("kc"), F.col("_ub").alias("kb")), F.struct(F.lit(1).alias("_side"), F.col("_g").alias("kc"), F.col("_gb").alias("kb"))))
-    both = lambda df: df.select(*_GROUP, sides.alias("k")).select(*_GROUP, "k._side", "k.kc", "k.kb")
     # First by a summary of each block, then by its members.
-    in_block = (F.col("kc") == F.col("c")) & (F.col("kb") == F.col("b"))
-    members = scratch.written(blocks.select("c", "b", "_s", "_key", "_n").join(both(met).select("kc", "kb").distinct(), in_block, "left_semi"), "members")
+    pair = lambda c, b: F.struct(F.col(c).alias("kc"), F.col(b).alias("kb"))
+    named_blocks = met.select(F.explode(F.array(pair("_u", "_ub"), pair("_g", "_gb"))).alias("k")).select("k.*").distinct()
+    members = scratch.written(blocks.select("c", "b", "_s", "_key", "_n").join(named_blocks, (F.col("kc") == F.col("c")) & (F.col("kb") == F.col("b")), "left_semi"), "members")
     bits = _bits_of(members.select(F.col("_s").alias("_id")), read, scratch)
     dealt = members.join(bits, (F.col("_s") == F.col("_y")) & (F.col("_key") == F.col("_k"))).select("c", "b", "_n", "_bits").repartition("c", "b").sortWithinPartitions("c", "b")
-    known = scratch.written(dealt.mapInArrow(_summaries, "c long, b long, most long, some binary, every binary"), "summaries")
+    known = scratch.written(dealt.mapInArrow(_summaries, "c long, b long, count long, most long, some binary, every binary"), "summaries")
     x, y = (known.select(*[F.col(c).alias(f"{k}{c}") for c in known.columns]) for k in "xy")
     met = met.join(x, (F.col("_u") == F.col("xc")) & (F.col("_ub") == F.col("xb"))).join(y, (F.col("_g") == F.col("yc")) & (F.col("_gb") == F.col("yb")))
-    met = met.select(*_GROUP, "xmost", "ymost", "xsome", "xevery", "ysome", "yevery").mapInArrow(_blocks_could, ", ".join(f"{c} long" for c in _GROUP))
-    met = scratch.written(met, "meetings")
-    wanted = both(met).join(members, in_block).select(*_GROUP, "_side", "_s").distinct()
-    more = _linking(wanted.select(*_GROUP, "_side", F.col("_g").alias("_v"), F.col("_s").alias("_id")), indexed, read, docs, scratch)
+    met = met.select(*_GROUP, "xcount", "ycount", "xmost", "ymost", "xsome", "xevery", "ysome", "yevery").mapInArrow(_blocks_could, ", ".join(f"{c} long" for c in (*_GROUP, "xcount", "ycount")))
+    # The larger block of two stays in its place, and the members of all smaller ones that meet it pass by: so members of a
+    # block are copied once for WAITING of those, not for each.
+    turned = F.col("xcount") < F.col("ycount")
+    side = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
+    met = scratch.written(met.select(side("_u", "_g", "hc"), side("_ub", "_gb", "hb"), side("_g", "_u", "oc"), side("_gb", "_ub", "ob"), F.least("xcount", "ycount").alias("n")), "meetings")
+    salts = met.groupBy("hc", "hb").agg(F.ceil(F.sum("n") / F.lit(WAITING)).alias("_salts")).select(F.col("hc").alias("_c"), F.col("hb").alias("_b"), "_salts")
+    met = met.join(salts, (F.col("hc") == F.col("_c")) & (F.col("hb") == F.col("_b"))).withColumn("salt", F.pmod(F.xxhash64("oc", "ob"), "_salts"))
+    ids = members.select("c", "b", "_s").distinct()
+    to_rows = lambda df, number, v: df.select(F.col("hc").alias("_u"), F.col("hb").alias("_ub"), F.col("salt").alias("_g"), F.lit(0).cast("long").alias("_gb"), F.lit(number).alias("_side"), F.col(v).alias("_v"), F.col("_s").alias("_id"))
+    held = to_rows(met.select("hc", "hb", "salt").distinct().join(ids, (F.col("hc") == F.col("c")) & (F.col("hb") == F.col("b"))), 0, "hc")
+    passing = to_rows(met.join(ids, (F.col("oc") == F.col("c")) & (F.col("ob") == F.col("b"))), 1, "oc")
+    more = _linking(scratch.written(held.unionByName(passing), "wanted"), indexed, read, docs, scratch)
     final = written(components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
     scratch.clear()
 

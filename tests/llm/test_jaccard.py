@@ -77,6 +77,7 @@ def test_small_groups(spark, monkeypatch):
     monkeypatch.setattr(J, "MEMBERS", 2)
     monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(J, "LEADERS", 1)
+    monkeypatch.setattr(J, "WAITING", 3)
     rows = corpus()
     assert sorted(tuple(r)[:3] for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
 
