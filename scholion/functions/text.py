@@ -39,7 +39,10 @@ def bigrams(words: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"([.!?]){SPACE}+", "$1\x01")
+    """The parts of a text after . ! ? and white space, after each CJK stop, and at empty lines."""
+    marked = F.coalesce(text, F.lit(""))
+    for pattern, by in ((rf"([.!?。！？]){SPACE}+", "$1\x01"), (r"([。！？])", "$1\x01"), (r"\n{2,}", "\x01")):
+        marked = F.regexp_replace(marked, pattern, by)
     trimmed = F.transform(F.split(marked, "\x01"), lambda s: F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+$", ""))
     return F.filter(trimmed, lambda s: s != "")
 
@@ -47,7 +50,7 @@ def sentences(text: Column) -> Column:
 def clean_whitespace(text: Column) -> Column:
     """One kind of line end, no non-breaking spaces, words whole again that a line break had hyphenated,
     single blanks, and at most one empty line."""
-    for pattern, by in ((r"\r\n?", "\n"), (" ", " "), (r"([A-Za-z])-\n([a-z])", "$1$2"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
+    for pattern, by in ((r"\r\n?", "\n"), ("\u00a0", " "), (r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2"), (r"[ \t\f\x0B]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
         text = F.regexp_replace(text, pattern, by)
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 

@@ -12,7 +12,7 @@ TRUE = ["true", "t", "yes", "correct", "对", "正确", "是"]
 FALSE = ["false", "f", "no", "incorrect", "错", "错误", "否"]
 TYPES = ["pdf", "pptx", "docx", "md", "markdown", "txt"]
 LEGACY = ["ppt", "doc"]
-_KANA = "぀"
+KANA = "぀"
 
 
 def stem(word: Column) -> Column:
@@ -23,7 +23,7 @@ def stem(word: Column) -> Column:
     shorter = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
     verb = F.when(base.rlike("(at|iz|bl|uc|v)$"), F.concat(base, F.lit("e"))).when(double, shorter(base, 1)).otherwise(base)
     return (
-        F.when(~word.rlike("^[a-z]{4,}$"), word)
+        F.when(~(word.endswith("s") | word.endswith("ing") | word.endswith("ed")) | ~word.rlike("^[a-z]{4,}$"), word)
         .when(word.rlike("^.{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
         .when(word.rlike("(sses|ches|shes|xes)$"), shorter(word, 2))
         .when(word.rlike("[sui]s$"), word)
@@ -41,7 +41,7 @@ def keyword_tokens(text: Column) -> Column:
     """Stems, then the pairs of neighbouring CJK characters among them."""
     words = stems(text)
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when((a >= _KANA) & (b >= _KANA), F.concat(a, b)))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when((a >= KANA) & (b >= KANA), F.concat(a, b)))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 

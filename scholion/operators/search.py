@@ -1,22 +1,35 @@
-"""Search of many queries at once: BM25 postings, dense and sparse cosine, rank fusion, metrics."""
+"""Search of many queries at once: BM25 postings, dense and sparse cosine, rank fusion, result rows, metrics."""
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.functions.text import bigrams, tokens
+from scholion.functions.text import tokens, truncate
+from scholion.functions.words import KANA, keyword_tokens, stems
+from scholion.sources.scratch import stored
 
 #: Up to so many rows a query table is sent to every task; beyond, it is dealt by term.
 BROADCAST_ROWS = 100_000
+#: Up to so many different query terms are looked up where a text is split; beyond, by a join.
+LOOKED_UP = 20_000
+#: Query vectors that meet all texts in one pass (8 bytes for each of their dimensions), and cells of a block of scores.
+QUERY_ROWS, CELLS = 10_000, 1 << 22
 #: Rows of a block of dense vectors.
 BLOCK_ROWS = 2_000
+#: Features whose place a task remembers.
+KNOWN = 200_000
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a table that is small: its size is checked, never assumed."""
+    """A broadcast hint for a table of short rows that is small: its size is checked, never assumed."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -29,28 +42,32 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return words.groupBy("doc_id", "term", "len", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row: documents, mean length, mean number of distinct terms."""
-    t = tokens(F.col(text))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(t)).alias("avg_len"), F.avg(F.size(F.array_distinct(t))).alias("avg_terms"))
-
-
 def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = False, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, doc_id, score) for ``queries`` (query_id, query). Query terms count once; the length
-    is the tokens, or the distinct terms. Only postings of query terms leave the scan's stage."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = sized(terms.select("term").distinct())
-    hits = postings(docs).join(wanted, "term", "left_semi")
+    """(query_id, rank, doc_id, score) for ``queries`` (query_id, query), over stems and pairs of CJK characters. Query
+    terms count once; the length is the terms of a text, or its distinct ones.
+
+    Texts are read once: what is kept is the counts of query terms, and for each text a row of its own with its lengths
+    (the empty term); document frequencies, means and scores come from there."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term"))
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(LOOKED_UP + 1).collect()]
+    words = docs.select("doc_id", keyword_tokens(F.col("text")).alias("_t"))
+    words = words.select("doc_id", F.size("_t").cast("long").alias("len"), F.size(F.array_distinct("_t")).cast("long").alias("n_terms"), (F.filter("_t", lambda t: t.isin(wanted)) if len(wanted) <= LOOKED_UP else F.col("_t")).alias("_t"))
+    rows = words.select("doc_id", "len", "n_terms", F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    if len(wanted) > LOOKED_UP:
+        rows = rows.join(terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    hits = stored(rows.groupBy("doc_id", "term", "len", "n_terms").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = hits.filter("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.avg("n_terms").alias("avg_terms"))
+    hits = hits.filter("term <> ''")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     length, mean = ("n_terms", "avg_terms") if distinct_len else ("len", "avg_len")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col(length) / F.col(mean)))
     # The statistics are one row.
-    scored = hits.join(df, "term").join(sized(terms), "term").join(F.broadcast(corpus_stats(docs))).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hits.join(df, "term").join(sized(terms), "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored.filter("score > 0"), k)
 
 
@@ -59,22 +76,114 @@ def top_k(scored: DataFrame, k: int, order: list[Column] | None = None) -> DataF
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, dims, weights): signed feature hashing of stems, their pairs and the pairs of CJK characters, weight
+    1 + ln(tf), unit length; a text without features has no row. All of a text's features are counted where it is read."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(f: str) -> tuple[int, float]:
+            digest = hashlib.md5(f.encode()).hexdigest()
+            if len(known) >= KNOWN:
+                known.clear()
+            known[f] = at = int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0
+            return at
+
+        for batch in batches:
+            ids, dims, weights = [], [], []
+            for n, words in enumerate(batch.column(1)):
+                words = words.as_py()
+                w, used = np.zeros(dim), set()
+                for f, tf in Counter([*words, *(a + b for a, b in pairwise(words) if a >= KANA and b >= KANA), *(f"{a}_{b}" for a, b in pairwise(words))]).items():
+                    at, sign = known.get(f) or place(f)
+                    used.add(at)
+                    w[at] += sign * (1 + np.log(tf)) if tf > 1 else sign
+                length = np.sqrt((w * w).sum())
+                if length > 0:
+                    ids.append(n)
+                    dims.append(sorted(used))
+                    weights.append(w[dims[-1]] / length)
+            yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(dims, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "dims", "weights"])
+
+    return docs.select(F.col(id_col).alias("id"), stems(F.col(text)).alias("_t")).mapInArrow(run, f"id {kind}, dims array<int>, weights array<double>")
+
+
 def hash_embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, dim, weight): signed feature hashing of words and word pairs, weight 1 + ln(tf), unit length; sparse rows."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t"))
-    features = words.select("id", F.explode(F.concat("_t", bigrams(F.col("_t")))).alias("f")).groupBy("id", "f").agg(F.count(F.lit(1)).alias("tf"))
-    digest = F.conv(F.substring(F.md5("f"), 1, 8), 16, 10).cast("long")
-    sign = F.when(F.conv(F.substring(F.md5("f"), 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
-    raw = features.groupBy("id", (digest % dim).alias("dim")).agg(F.sum(sign * (1 + F.log("tf"))).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.withColumn("n", norm).filter("n > 0").select("id", "dim", (F.col("w") / F.col("n")).alias("weight"))
+    """``embed`` as sparse rows (id, dim, weight)."""
+    return embed(docs, dim, id_col, text).select("id", F.explode(F.arrays_zip("dims", "weights")).alias("x")).select("id", F.col("x.dims").cast("long").alias("dim"), F.col("x.weights").alias("weight"))
+
+
+def densify(sparse: DataFrame, dim: int = 384) -> DataFrame:
+    """(id, embedding): rows of ``embed`` as arrays of ``dim`` doubles."""
+    at = F.map_from_arrays("dims", "weights")
+    return sparse.withColumn("_m", at).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("embedding"))
+
+
+def wrong_dimension(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+    """The rows whose vector has another dimension, or none."""
+    return vectors.filter(F.coalesce(F.size(vector), F.lit(-1)) != dim)
+
+
+def vector_text(vector: Column) -> Column:
+    """A vector as ``[x,y,...]`` with six decimals; ``vector_of`` reads it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
 
 
-def sparse_cosine(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top k of sparse rows (id, dim, weight) for query rows of the same form."""
-    q = sized(queries.select(F.col("id").alias("query_id"), "dim", F.col("weight").alias("_w")))
-    scored = chunks.join(q, "dim").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
-    return top_k(scored, k)
+def vector_of(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(text, r"[\[\] ]", ""), ","), lambda x: x.cast("double"))
+
+
+def signature(provider: str, model: str, dim: int) -> str:
+    """What vectors must have in common to be compared."""
+    return f"{provider}:{model}:{dim}"
+
+
+def sparse_cosine(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 384) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k nearest rows of ``chunks`` to each of ``queries``, both as ``embed`` gives
+    them. Query vectors are packed into matrices of a bounded number of rows, each of which meets all texts in one pass; a
+    task keeps the k best for each of them, so that nothing else is shuffled."""
+    queries = stored(queries, "query-vectors")
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    chunks = stored(chunks, "vectors") if blocks > 1 else chunks
+    parts = [_nearest(chunks, queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), k, dim) for n in range(blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return top_k(found, k)
+
+
+def _nearest(chunks: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    asked = queries.select("id", "dims", "weights").toArrow()
+    ids = asked.column("id").to_numpy()
+    matrix = _dense(asked.column("dims"), asked.column("weights"), dim).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        rows = max(64, CELLS // max(1, len(ids)))
+        for part in (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows)):
+            own = part.column(0).to_numpy()
+            scores = np.round(_dense(part.column(1), part.column(2), dim) @ matrix, 6) + 0.0
+            for n in range(len(ids)):
+                s, i = np.concatenate([best[n][0], scores[:, n]]), np.concatenate([best[n][1], own])
+                if len(s) > k:
+                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    s, i = s[keep], i[keep]
+                order = np.lexsort((i, -s))[:k]
+                best[n] = s[order], i[order]
+        if len(ids):
+            yield pa.record_batch({"query_id": np.repeat(ids, [len(s) for s, _ in best]), "doc_id": np.concatenate([i for _, i in best]), "score": np.concatenate([s for s, _ in best])})
+
+    return chunks.select(F.col("id").cast("long").alias("id"), "dims", "weights").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def _dense(dims: pa.Array | pa.ChunkedArray, weights: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    dims, weights = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (dims, weights))
+    out = np.zeros((len(dims), dim))
+    sizes = np.diff(dims.offsets.to_numpy())
+    out[np.repeat(np.arange(len(dims)), sizes), dims.flatten().to_numpy()] = weights.flatten().to_numpy()
+    return out
 
 
 def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -127,6 +236,28 @@ def fuse(rankings: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
     return top_k(by, k, [F.desc("score"), F.asc_nulls_last("_v"), F.asc_nulls_last("_k"), F.asc("doc_id")])
 
 
+def result_rows(hits: DataFrame, docs: DataFrame, scores: DataFrame, limit: int = 320, decimals: int = 4) -> DataFrame:
+    """(query_id, index, doc_id, attributes of ``docs``, snippet, score, vector_score, keyword_score): ranked ids as rows
+    to show. Only documents that were hit are looked at; ``scores`` are the rankings (query_id, source, doc_id, score)."""
+    raw = scores.groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("source") == s, F.col("score"))).alias(f"{s}_score") for s in ("vector", "keyword")])
+    found = hits.join(raw, ["query_id", "doc_id"], "left")
+    named = docs.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("snippet", truncate(F.col("text"), limit)).drop("text")
+    rounded = [(F.floor(F.col(c) * 10**decimals + 0.5) / 10**decimals).alias(c) for c in ("score", "vector_score", "keyword_score")]
+    return found.join(named, "doc_id").select("query_id", F.col("rank").alias("index"), *named.columns, *rounded)
+
+
+def in_scope(docs: DataFrame, allowed: DataFrame | None, doc_id: str = "doc_id") -> DataFrame:
+    """The documents that a search may look at: all, or those named in ``allowed`` (doc_id)."""
+    return docs if allowed is None else docs.join(allowed.select(doc_id).distinct(), doc_id, "left_semi")
+
+
+def abstention(best: DataFrame, answerable: DataFrame, threshold: float) -> DataFrame:
+    """(answerable, n, flagged): how often the best score (0 without any) falls below the threshold, for questions that can
+    be answered (false alarms) and those that cannot."""
+    asked = answerable.join(best, "query_id", "left").withColumn("_low", (F.coalesce("best_score", F.lit(0.0)) < threshold).cast("double"))
+    return asked.groupBy("answerable").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_low"), 6).alias("flagged"))
+
+
 def metrics(ranks: DataFrame) -> DataFrame:
     """Recall@1, 3, 5 and mean reciprocal rank of (mode, category, rank, null for a miss), by mode and by mode and category."""
     recall = [F.round(F.avg(F.when(F.col("rank") <= n, 1.0).otherwise(0.0)), 6).alias(f"recall_{n}") for n in (1, 3, 5)]

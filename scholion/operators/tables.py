@@ -7,14 +7,50 @@ from pyspark.sql import functions as F
 
 
 def dedup_in_batch(uploads: DataFrame, scope: str, order: str, text: str) -> DataFrame:
-    """Of equal contents in a scope the first stays, later ones name it. Only digests are shuffled."""
+    """Of equal contents in a scope the first stays, later ones name it. Only digests are shuffled, and the first of each is
+    a minimum, so that a content that most uploads share is no task of its own."""
     keyed = uploads.select(scope, order, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha256"))
-    w = Window.partitionBy(scope, "sha256").orderBy(order)
-    return keyed.withColumn("first_id", F.first(order).over(w)).withColumn("duplicate", F.row_number().over(w) > 1)
+    first = keyed.groupBy(scope, "sha256").agg(F.min(order).alias("first_id")).select(F.col(scope).alias("_scope"), F.col("sha256").alias("_sha"), "first_id")
+    found = keyed.join(first, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("sha256") == F.col("_sha")))
+    return found.select(scope, order, "sha256", "first_id", (F.col(order) != F.col("first_id")).alias("duplicate"))
 
 
-def dedup_against(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    return new.join(stored.select(*keys).distinct(), keys, "left_anti")
+def dedup_against(new: DataFrame, stored: DataFrame, keys: list[str], named: str) -> DataFrame:
+    """``new`` with ``existing``: the smallest stored row (``named``) of equal keys, null for what is accepted."""
+    held = stored.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(named).alias("existing"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return new.join(held, same, "left").select(*new.columns, "existing")
+
+
+def counted(parents: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``parents`` with the counts of ``counts`` (key and numbers), zero where there are none."""
+    numbers = [c for c in counts.columns if c != key]
+    return parents.join(counts, key, "left").fillna(0, numbers)
+
+
+def cascade(children: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The children whose parent is kept."""
+    return children.join(kept.select(key).distinct(), key, "left_semi")
+
+
+def owner_of(rows: DataFrame, chain: list[tuple[DataFrame, str, str]], owner: str) -> DataFrame:
+    """``rows`` with their owner, along a chain of parents (table, key in it, what it leads to); those without one are left out."""
+    for parents, key, up in chain:
+        rows = rows.join(parents.select(key, up), key)
+    return rows.withColumnRenamed(chain[-1][2], owner)
+
+
+def not_in_scope(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """The requested keys that their scope does not hold."""
+    return wanted.select(*keys).distinct().join(held.select(*keys).distinct(), keys, "left_anti")
+
+
+def newest(rows: DataFrame, scope: str, order: str, tie: str, limit: int, offset: int = 0) -> DataFrame:
+    """(scope, position, ...): rows of each scope from the newest, ``limit`` of them after ``offset``."""
+    place = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc(order), F.desc(tie))).cast("long") - 1
+    return rows.withColumn("position", place).filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
 
 
 def last_turns(messages: DataFrame, conv: str, turn: str, role: str, text: str, n: int = 6, chars: int = 2000) -> DataFrame:

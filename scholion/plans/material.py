@@ -9,7 +9,7 @@ from scholion.functions.text import tokens as plain_tokens
 from scholion.operators import chunks as C
 from scholion.operators import gates, index, search, terms
 from scholion.plans import registry
-from scholion.plans.registry import query, tok
+from scholion.plans.registry import _STEM, query, tok
 from scholion.sources.readers import table
 
 
@@ -17,14 +17,6 @@ def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-_CUT = "substr({0}, 1, length({0}) - {1})"
-_BASE = "regexp_replace(w, '(ing|ed)$', '')"
-_STEM = f"""CASE WHEN NOT regexp_full_match(w, '[a-z]{{4,}}') THEN w WHEN regexp_matches(w, '^.{{2,}}ies$') THEN {_CUT.format('w', 3)} || 'y'
-    WHEN regexp_matches(w, '(sses|ches|shes|xes)$') THEN {_CUT.format('w', 2)} WHEN regexp_matches(w, '[sui]s$') THEN w WHEN w LIKE '%s' THEN {_CUT.format('w', 1)}
-    WHEN NOT regexp_matches(w, '^.{{3,}}(ing|ed)$') THEN w WHEN regexp_matches({_BASE}, '(at|iz|bl|uc|v)$') THEN {_BASE} || 'e'
-    WHEN right({_BASE}, 1) = substr({_BASE}, -2, 1) AND right({_BASE}, 1) NOT IN ('l', 's', 'z') THEN {_CUT.format(_BASE, 1)} ELSE {_BASE} END"""
-
-
 @query(f"WITH w AS (SELECT unnest({tok('text')}) AS w FROM documents), s AS (SELECT {_STEM} AS stem FROM w) SELECT stem, count(*) AS n FROM s GROUP BY stem")
 def stem_counts(spark, sf):
     # Words are counted first, so each distinct word is stemmed once.
@@ -32,10 +24,10 @@ def stem_counts(spark, sf):
     return found.groupBy(W.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(substr(text, 1, 100), '')), '[^a-z0-9_ \t\n\r\f-]+', '', 'g'), '[ \t\n\r\f_-]+', '-', 'g'), '^-|-$', '', 'g') AS s FROM documents)
+@query(r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_ \t\n\r\f-]+', '', 'g'), '[ \t\n\r\f_-]+', '-', 'g'), '^-|-$', '', 'g') AS s FROM documents)
     SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE left(s, 60) END AS slug FROM s""")
 def slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", W.slug(F.substring("text", 1, 100)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", W.slug(F.col("text")).alias("slug"))
 
 
 _NAME = "regexp_extract(regexp_replace(coalesce(url, ''), '/+$', ''), '[^/]*$')"
@@ -79,7 +71,7 @@ def chunks(spark, sf):
     return C.chunk(table(spark, sf, "documents"))
 
 
-_LINES = r"""m AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+_LINES = r"""m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？])[ \t\n\r\f]+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)) AS p FROM documents),
     s AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS s FROM m),
     b AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(s, lambda x: string_split(x, chr(10)))), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[ \t\n\r\f]*([-•*▪●◦]|\d+[.)])[ \t\n\r\f]+', ''), '(?i)^speaker notes:[ \t\n\r\f]*', ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS b FROM s),
     l AS (SELECT doc_id, unnest(range(len(b))) AS pos, unnest(b) AS line FROM b)"""
@@ -110,7 +102,7 @@ def key_terms(spark, sf):
 
 
 _ANSWERS = rf"""WITH {registry._bm25_sql('len', 'avg_len', 5)},
-    m AS (SELECT query_id, rank, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM ranked JOIN documents USING (doc_id)),
+    m AS (SELECT query_id, rank, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？])[ \t\n\r\f]+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)) AS p FROM ranked JOIN documents USING (doc_id)),
     b AS (SELECT query_id, rank, list_filter(list_transform(flatten(list_transform(p, lambda x: string_split(regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), chr(10)))), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[ \t\n\r\f]*([-•*▪●◦]|\d+[.)])[ \t\n\r\f]+', ''), '(?i)^speaker notes:[ \t\n\r\f]*', ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS b FROM m),
     l AS (SELECT query_id, rank, unnest(range(len(b))) AS pos, unnest(b) AS line FROM b),
     c AS MATERIALIZED (SELECT * FROM l WHERE length(line) >= 25 AND len(regexp_extract_all(line, '[^ \t\n\r\f]+')) >= 6 AND lower(regexp_extract(line, '^[^ \t\n\r\f]+')) NOT IN ({_list(terms.BAD_START)})),
@@ -137,15 +129,8 @@ def scope_readiness(spark, sf):
     return index.scope_readiness(docs, "source", F.col("lang"), F.lit("en"), F.col("_c"))
 
 
-_TURN = "ceil(i * least(ceil(12 / d), c) / c)"
-
-
-@query(f"""WITH k AS (SELECT l_orderkey % 40 AS scope, l_orderkey AS doc_id, l_linenumber AS chunk_index, (l_quantity * 10)::BIGINT AS char_count FROM lineitem),
-    u AS (SELECT *, max((char_count >= 200)::INT) OVER (PARTITION BY scope, doc_id) AS a FROM k), f AS (SELECT * FROM u WHERE char_count >= 200 OR a = 0),
-    n AS (SELECT *, row_number() OVER (PARTITION BY scope, doc_id ORDER BY chunk_index) - 1 AS i, count(*) OVER (PARTITION BY scope, doc_id) AS c FROM f), d AS (SELECT scope, count(DISTINCT doc_id) AS d FROM k GROUP BY scope),
-    t AS (SELECT *, {_TURN} AS t, least(ceil(12 / d), c) AS q FROM n JOIN d USING (scope)), p AS (SELECT * FROM t WHERE t < q AND floor(t * c / q) = i)
-    SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY t, doc_id) AS position, doc_id, chunk_index FROM p QUALIFY position <= 12""")
+@query()
 def study_sample(spark, sf):
-    # Order lines stand for chunks: an order is a document, its lines are numbered.
-    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("scope"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"), (F.col("l_quantity") * 10).cast("long").alias("char_count"))
-    return index.study_sample(rows, "scope", 12)
+    docs = table(spark, sf, "documents")
+    pieces = C.chunk(docs).join(docs.select("doc_id", F.col("source").alias("scope")), "doc_id")
+    return index.study_sample(pieces, "scope", 12)

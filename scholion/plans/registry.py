@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scholion.functions import text as X
 from scholion.operators import search, study, tables
 from scholion.sources.readers import deck_line, table
+from scholion.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,21 @@ def tok(column: str) -> str:
     return _TOK.format(column)
 
 
+_CUT = "substr({0}, 1, length({0}) - {1})"
+_BASE = "regexp_replace(w, '(ing|ed)$', '')"
+_STEM = f"""CASE WHEN NOT regexp_full_match(w, '[a-z]{{4,}}') THEN w WHEN regexp_matches(w, '^.{{2,}}ies$') THEN {_CUT.format('w', 3)} || 'y'
+    WHEN regexp_matches(w, '(sses|ches|shes|xes)$') THEN {_CUT.format('w', 2)} WHEN regexp_matches(w, '[sui]s$') THEN w WHEN w LIKE '%s' THEN {_CUT.format('w', 1)}
+    WHEN NOT regexp_matches(w, '^.{{3,}}(ing|ed)$') THEN w WHEN regexp_matches({_BASE}, '(at|iz|bl|uc|v)$') THEN {_BASE} || 'e'
+    WHEN right({_BASE}, 1) = substr({_BASE}, -2, 1) AND right({_BASE}, 1) NOT IN ('l', 's', 'z') THEN {_CUT.format(_BASE, 1)} ELSE {_BASE} END"""
+
+def stemmed(column: str) -> str:
+    return f"list_transform({tok(column)}, lambda w: {_STEM})"
+
+
+#: Stems ``s`` and the pairs of neighbouring CJK characters among them.
+_KEYWORDS = "list_concat(s, list_filter(list_transform(range(1, len(s)), lambda i: CASE WHEN s[i] >= '぀' AND s[i + 1] >= '぀' THEN s[i] || s[i + 1] END), lambda p: p IS NOT NULL))"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -46,14 +62,14 @@ def token_bigrams(spark, sf):
 
 
 @query(r"""
-    WITH m AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+    WITH m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？])[ \t\n\r\f]+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)) AS p FROM documents),
     s AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS s FROM m),
     e AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM s) SELECT doc_id, pos::BIGINT AS pos, sentence FROM e""")
 def sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160), ' ', 'g'), '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS cleaned FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160), ' ', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS cleaned FROM documents""")
 def clean_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.clean_whitespace(F.col("text")).alias("cleaned"))
 
@@ -82,20 +98,20 @@ def url_origins(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.origin(F.col("url")).alias("origin"))
 
 
-_QUERIES = "queries AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query FROM benchmark)"
+_QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def _benchmark(spark, sf):
-    """Whole items as queries. The registered SQL of these queries still takes the first eight words."""
+    """Whole items as queries."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _bm25_sql(length: str, mean: str, k: int) -> str:
     return f"""{_QUERIES},
-    t AS MATERIALIZED (SELECT *, len(t) AS len, len(list_distinct(t)) AS n_terms FROM (SELECT doc_id, {tok('text')} AS t FROM documents)),
+    t AS MATERIALIZED (SELECT *, len(t) AS len, len(list_distinct(t)) AS n_terms FROM (SELECT doc_id, {_KEYWORDS} AS t FROM (SELECT doc_id, {stemmed('text')} AS s FROM documents))),
     s AS (SELECT count(*) AS n, avg(len) AS avg_len, avg(n_terms) AS avg_terms FROM t),
     p AS (SELECT doc_id, term, len, n_terms, count(*) AS tf FROM (SELECT doc_id, len, n_terms, unnest(t) AS term FROM t) GROUP BY ALL),
-    q AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM queries),
+    q AS (SELECT DISTINCT query_id, unnest({_KEYWORDS}) AS term FROM (SELECT query_id, {stemmed('query')} AS s FROM queries)),
     d AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
     r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * {length} / {mean}))), 6) AS score FROM p JOIN d USING (term) JOIN q USING (term), s GROUP BY ALL),
     ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= {k})"""
@@ -119,11 +135,11 @@ def term_stats(spark, sf):
 def _embed_sql(source: str) -> str:
     return f"""SELECT id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM (
         SELECT id, ('0x' || substr(md5(f), 1, 8))::BIGINT % 384 AS dim, sum(CASE WHEN ('0x' || substr(md5(f), 9, 1))::INT < 8 THEN 1.0 ELSE -1.0 END * (1 + ln(tf))) AS w
-        FROM (SELECT id, f, count(*) AS tf FROM (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]))) AS f FROM ({source})) GROUP BY ALL) GROUP BY ALL) QUALIFY sum(w * w) OVER (PARTITION BY id) > 0"""
+        FROM (SELECT id, f, count(*) AS tf FROM (SELECT id, unnest(list_concat({_KEYWORDS}, list_transform(range(1, len(s)), lambda i: s[i] || '_' || s[i + 1]))) AS f FROM ({source})) GROUP BY ALL) GROUP BY ALL) QUALIFY sum(w * w) OVER (PARTITION BY id) > 0"""
 
 
-_DOC_ROWS = _embed_sql(f"SELECT doc_id AS id, {tok('text')} AS t FROM documents")
-_QUERY_ROWS = _embed_sql(f"SELECT query_id AS id, {tok('query')} AS t FROM queries")
+_DOC_ROWS = _embed_sql(f"SELECT doc_id AS id, {stemmed('text')} AS s FROM documents")
+_QUERY_ROWS = _embed_sql(f"SELECT query_id AS id, {stemmed('query')} AS s FROM queries")
 
 
 @query(f"SELECT id AS doc_id, dim, round(weight, 6) AS weight FROM ({_DOC_ROWS})")
@@ -138,7 +154,7 @@ def _sparse_sql(k: int) -> str:
 
 
 def _vectors(spark, sf, k):
-    return search.sparse_cosine(search.hash_embed(table(spark, sf, "documents")), search.hash_embed(_benchmark(spark, sf), id_col="query_id", text="query"), k)
+    return search.sparse_cosine(search.embed(table(spark, sf, "documents")), search.embed(_benchmark(spark, sf), id_col="query_id", text="query"), k)
 
 
 @query(f"WITH {_QUERIES}, {_sparse_sql(5)} SELECT * FROM vec")
@@ -157,7 +173,9 @@ def dense_cosine_topk(spark, sf):
 
 
 def _rankings(spark, sf, k=30):
-    return _vectors(spark, sf, k).withColumn("source", F.lit("vector")).unionByName(search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), k).withColumn("source", F.lit("keyword")))
+    """Both rankings, computed once for what is derived from them."""
+    ranked = _vectors(spark, sf, k).withColumn("source", F.lit("vector")).unionByName(search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), k).withColumn("source", F.lit("keyword")))
+    return stored(ranked, "rankings")
 
 
 _FUSED = f"""{_bm25_sql('len', 'avg_len', 30)}, {_sparse_sql(30)},
@@ -171,6 +189,28 @@ def rrf_hybrid(spark, sf):
     return search.fuse(_rankings(spark, sf))
 
 
+_FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\n\r\f]+', ' ', 'g'), '^ | $', '', 'g')"
+_SNIPPET = f"CASE WHEN length({_FLAT}) <= 320 THEN {_FLAT} ELSE regexp_replace(regexp_replace(substr({_FLAT}, 1, 320), ' [^ ]*$', ''), '[,.;: ]+$', '') || '…' END"
+
+
+@query(f"""WITH {_FUSED} SELECT fused.query_id, fused.rank AS index, fused.doc_id, source, lang, {_SNIPPET} AS snippet, floor(fused.score * 10000 + 0.5) / 10000 AS score, floor(vec.score * 10000 + 0.5) / 10000 AS vector_score, floor(ranked.score * 10000 + 0.5) / 10000 AS keyword_score
+    FROM fused JOIN documents USING (doc_id) LEFT JOIN vec ON vec.query_id = fused.query_id AND vec.doc_id = fused.doc_id LEFT JOIN ranked ON ranked.query_id = fused.query_id AND ranked.doc_id = fused.doc_id""")
+def search_output_rows(spark, sf):
+    ranks = _rankings(spark, sf)
+    return search.result_rows(search.fuse(ranks), table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), ranks)
+
+
+@query(f"""WITH {_QUERIES}, {_sparse_sql(5)}, b AS (SELECT query_id, max(score) AS best FROM vec GROUP BY query_id), held AS (SELECT DISTINCT item_id AS query_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+    SELECT held.query_id IS NOT NULL AS answerable, count(*) AS n, round(avg((coalesce(best, 0.0) < 0.25)::INT), 6) AS flagged FROM queries q LEFT JOIN b USING (query_id) LEFT JOIN held ON held.query_id = q.query_id GROUP BY 1""")
+def abstention(spark, sf):
+    # A question can be answered if its passage stands whole in one of the texts that rank best for its words.
+    best = stored(_vectors(spark, sf, 5), "best")
+    docs, bench = table(spark, sf, "documents"), _benchmark(spark, sf)
+    near = search.bm25(docs, bench, 30).join(docs.select("doc_id", "text"), "doc_id").join(bench, "query_id").filter(F.contains("text", "query")).select("query_id").distinct()
+    answerable = bench.select("query_id").join(near.withColumn("_a", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("_a", F.lit(False)).alias("answerable"))
+    return search.abstention(best.groupBy("query_id").agg(F.max("score").alias("best_score")), answerable, 0.25)
+
+
 @query(f"""WITH {_QUERIES}, {_sparse_sql(5)}
     SELECT q.query_id, round(coalesce(max(score), 0.0), 6) AS best_score, coalesce(max(score), 0.0) < 0.25 AS low_confidence FROM queries q LEFT JOIN vec USING (query_id) GROUP BY q.query_id""")
 def query_confidence(spark, sf):
@@ -180,7 +220,7 @@ def query_confidence(spark, sf):
 
 @query(f"""WITH {_FUSED},
     modes AS (SELECT 'vector' AS mode, query_id, doc_id, rank FROM vec UNION ALL SELECT 'keyword', query_id, doc_id, rank FROM ranked UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused),
-    hits AS (SELECT mode, query_id, min(rank) AS rank FROM modes JOIN benchmark ON query_id = item_id JOIN documents USING (doc_id) WHERE contains(documents.text, substr(benchmark.text, 1, 40)) GROUP BY ALL),
+    hits AS (SELECT mode, query_id, min(rank) AS rank FROM modes JOIN benchmark ON query_id = item_id JOIN documents USING (doc_id) WHERE contains(documents.text, benchmark.text) GROUP BY ALL),
     every AS (SELECT mode, query_id, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, rank FROM (SELECT * FROM (SELECT unnest(['vector', 'keyword', 'hybrid']) AS mode) CROSS JOIN queries) LEFT JOIN hits USING (mode, query_id))
     SELECT mode, coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3,
         round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM every GROUP BY GROUPING SETS ((mode), (mode, category))""")
@@ -199,10 +239,12 @@ def dedup_in_batch(spark, sf):
     return tables.dedup_in_batch(table(spark, sf, "documents"), "source", "doc_id", "text")
 
 
-@query("SELECT doc_id, source FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 2 = 0 AND s.source = d.source AND s.text = d.text)")
+@query("""WITH l AS (SELECT d.doc_id, source, text, quality IS NOT NULL AS labelled FROM documents d LEFT JOIN labels USING (doc_id)), s AS (SELECT source, coalesce(text, '') AS t, min(doc_id) AS existing FROM l WHERE labelled GROUP BY ALL)
+    SELECT doc_id, l.source, existing FROM l LEFT JOIN s ON l.source IS NOT DISTINCT FROM s.source AND coalesce(l.text, '') = s.t WHERE NOT labelled""")
 def dedup_against_stored(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    return tables.dedup_against(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0"), ["source", "sha256"]).select("doc_id", "source")
+    # Documents with a label are stored already, the others are new.
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "quality")
+    return tables.dedup_against(docs.filter("quality is null").drop("quality"), docs.filter("quality is not null"), ["source", "sha256"], "doc_id").select("doc_id", "source", "existing")
 
 
 @query("SELECT source, count(*) AS documents, count(quality) AS labelled, (count(*) FILTER (WHERE quality = 1)) AS ready, coalesce(sum(length(text)), 0)::BIGINT AS total_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -213,8 +255,8 @@ def scope_stats(spark, sf):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0.0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def user_counts(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("t"))
+    return tables.counted(table(spark, sf, "customer").select("c_custkey"), orders, "c_custkey").select("c_custkey", F.col("n").alias("n_orders"), F.round(F.col("t").cast("double"), 2).alias("total"))
 
 
 @query("SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS questions, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
@@ -252,8 +294,8 @@ def failed_since_success(spark, sf):
 
 
 _GRADE = f"""g AS (SELECT conv_id, turn, text AS given, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations),
-    gt AS (SELECT conv_id, turn, given, {tok('given')} AS a, list_distinct({tok('reference')}) AS b FROM g WHERE reference IS NOT NULL),
-    gs AS (SELECT conv_id, turn, CASE WHEN trim(given) = '' THEN 0.0 WHEN len(b) = 0 THEN 1.0 WHEN len(list_intersect(a, b)) / len(b) >= 0.5 THEN 1.0 WHEN len(list_intersect(a, b)) / len(b) >= 0.25 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM gt)"""
+    gt AS (SELECT conv_id, turn, given, {stemmed('given')} AS a, list_distinct({stemmed('reference')}) AS b FROM g WHERE reference IS NOT NULL),
+    gs AS (SELECT conv_id, turn, given, a, b, CASE WHEN trim(given) = '' THEN 0.0 WHEN len(b) = 0 THEN 1.0 WHEN len(list_intersect(a, b)) / len(b) >= 0.5 THEN 1.0 WHEN len(list_intersect(a, b)) / len(b) >= 0.25 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM gt)"""
 
 
 def _grades(spark, sf):
@@ -263,7 +305,7 @@ def _grades(spark, sf):
     return said.filter("reference is not null").select("conv_id", "turn", study.grade_short_answer(F.col("text"), F.col("reference")).alias("score"))
 
 
-@query(f"WITH {_GRADE} SELECT * FROM gs")
+@query(f"WITH {_GRADE} SELECT conv_id, turn, score FROM gs")
 def grade_answers(spark, sf):
     return _grades(spark, sf)
 
@@ -281,29 +323,87 @@ def citations(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(study.citations(answer, F.lit(5))).cast("array<string>"), ",").alias("cited"))
 
 
-@query()
-def sm2_fold(spark, sf):
+_SM2 = f"""r AS (SELECT user_id, event_id % 5 AS card, ts, CASE event_type WHEN 'error' THEN 'again' WHEN 'view' THEN 'hard' WHEN 'click' THEN 'good' ELSE 'easy' END AS rating FROM events),
+    h AS (SELECT *, row_number() OVER (PARTITION BY user_id, card ORDER BY ts, rating) AS n, CASE rating WHEN 'again' THEN 4 WHEN 'hard' THEN 2 WHEN 'good' THEN 1 ELSE 0 END AS gap FROM r),
+    f AS (SELECT 0::BIGINT AS n, user_id, card, 2.5::DOUBLE AS ease, 0.0::DOUBLE AS interval_days, 0 AS repetitions, 0 AS lapses, NULL::TIMESTAMP AS ts, '' AS rating FROM (SELECT DISTINCT user_id, card FROM h) UNION ALL
+        SELECT h.n, h.user_id, h.card, e, CASE WHEN h.rating = 'again' THEN 0.0 WHEN f.repetitions = 0 THEN CASE h.rating WHEN 'easy' THEN 4.0 ELSE 1.0 END WHEN f.repetitions = 1 THEN CASE h.rating WHEN 'hard' THEN 3.0 WHEN 'good' THEN 6.0 ELSE 8.0 END
+            ELSE floor(greatest(f.interval_days, 1.0::DOUBLE) * CASE h.rating WHEN 'hard' THEN 1.2::DOUBLE WHEN 'good' THEN e ELSE e * 1.3::DOUBLE END * 10 + 0.5::DOUBLE) / 10.0::DOUBLE END::DOUBLE,
+            CASE WHEN h.rating = 'again' THEN 0 ELSE f.repetitions + 1 END, f.lapses + (h.rating = 'again')::INT, h.ts, h.rating
+        FROM f JOIN h ON h.user_id = f.user_id AND h.card = f.card AND h.n = f.n + 1, LATERAL (SELECT greatest(1.3::DOUBLE, floor((f.ease + 0.1::DOUBLE - h.gap * (0.08::DOUBLE + h.gap * 0.02::DOUBLE)) * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE) AS e)),
+    cards AS (SELECT user_id, card, ease, interval_days, repetitions, lapses, n::INT AS reviews, ts AS last_reviewed_at,
+        epoch_us(ts) / 1e6::DOUBLE + CASE WHEN rating = 'again' THEN 600.0::DOUBLE ELSE interval_days * 86400.0::DOUBLE END AS due_at FROM f WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY user_id, card ORDER BY n DESC) = 1)"""
+
+
+def _cards(spark, sf):
     rating = F.when(F.col("event_type") == "error", "again").when(F.col("event_type") == "view", "hard").when(F.col("event_type") == "click", "good").otherwise("easy")
-    reviews = table(spark, sf, "events").select("user_id", (F.col("event_id") % 5).alias("card"), "ts", rating.alias("rating"))
+    reviews = table(spark, sf, "events").select("user_id", (F.col("event_id") % 5).alias("card"), F.date_trunc("microsecond", "ts").alias("ts"), rating.alias("rating"))
     return study.fold_reviews(reviews, ["user_id", "card"])
 
 
-@query(r"""SELECT doc_id, regexp_replace(substr(text, 1, 40), '[\t\r\n]+', ' ', 'g') || chr(9) || regexp_replace(text, '[\t\r\n]+', ' ', 'g') || chr(9) || source AS line FROM documents""")
+@query(f"WITH RECURSIVE {_SM2} SELECT user_id, card, ease, interval_days, repetitions, lapses, reviews, epoch_us(last_reviewed_at) AS last_us, due_at FROM cards")
+def sm2_fold(spark, sf):
+    return _cards(spark, sf).select("user_id", "card", "ease", "interval_days", "repetitions", "lapses", "reviews", F.unix_micros(F.col("last_reviewed_at").cast("timestamp")).alias("last_us"), "due_at")
+
+
+def _next(rating: str) -> str:
+    gap = {"again": 4, "hard": 2, "good": 1, "easy": 0}[rating]
+    if rating == "again":
+        return "10 / 1440.0::DOUBLE"
+    first, second = {"hard": (1, 3), "good": (1, 6), "easy": (4, 8)}[rating]
+    e = f"greatest(1.3::DOUBLE, floor((ease + 0.1::DOUBLE - {gap} * (0.08::DOUBLE + {gap} * 0.02::DOUBLE)) * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE)"
+    factor = {"hard": "1.2::DOUBLE", "good": e, "easy": f"{e} * 1.3::DOUBLE"}[rating]
+    return f"CASE repetitions WHEN 0 THEN {first} WHEN 1 THEN {second} ELSE floor(greatest(interval_days, 1.0::DOUBLE) * ({factor}) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE END::DOUBLE"
+
+
+@query(f"WITH RECURSIVE {_SM2} SELECT user_id, card, {', '.join(f'{_next(r)} AS {r}' for r in study.QUALITY)} FROM cards")
+def interval_preview(spark, sf):
+    return _cards(spark, sf).select("user_id", "card", *[study.next_interval(r).alias(r) for r in study.QUALITY])
+
+
+@query(f"WITH RECURSIVE {_SM2}, n AS (SELECT max(epoch_us(ts)) / 1e6::DOUBLE AS now FROM events) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY due_at, card) AS position, card, due_at FROM cards, n WHERE due_at <= now QUALIFY position <= 3")
+def due_queue(spark, sf):
+    now = table(spark, sf, "events").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6).alias("now"))
+    # The clock is one row.
+    return study.due_queue(_cards(spark, sf).join(F.broadcast(now)), "user_id", "card", 3).select("user_id", "position", "card", "due_at")
+
+
+@query(f"WITH RECURSIVE {_SM2}, n AS (SELECT max(epoch_us(ts)) / 1e6::DOUBLE AS now FROM events) SELECT user_id, count(*) AS cards, count(*) FILTER (WHERE due_at <= now) AS due, count(*) FILTER (WHERE reviews > 1) AS reviewed FROM cards, n GROUP BY user_id")
+def deck_summary(spark, sf):
+    now = table(spark, sf, "events").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6).alias("now"))
+    return study.deck_summary(_cards(spark, sf).join(F.broadcast(now)), "user_id", F.col("reviews") > 1)
+
+
+@query(f"""WITH {_GRADE}, t AS (SELECT conv_id, turn, ['short_answer', 'true_false', 'mcq'][turn % 3 + 1] AS kind, trim(text) AS given, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations),
+    m AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(b, lambda x: list_contains(a, x)))) AS matched, len(b) AS size, score FROM gs)
+    SELECT t.conv_id, t.turn, kind, CASE WHEN given = '' THEN 0.0 WHEN kind = 'short_answer' THEN score WHEN kind = 'true_false' THEN 0.0 ELSE (lower(given) = lower(reference))::INT END::DOUBLE AS score,
+        CASE WHEN given = '' THEN 'No answer given.' WHEN kind <> 'short_answer' OR size = 0 THEN '' ELSE 'Matched ' || len(matched) || ' of ' || size || ' key terms' || CASE WHEN len(matched) > 0 THEN ': ' || array_to_string(matched[:8], ', ') ELSE '' END END AS feedback
+    FROM t JOIN m USING (conv_id, turn)""")
+def graded_items(spark, sf):
+    from pyspark.sql import Window
+
+    said = table(spark, sf, "conversations").withColumn("reference", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("reference is not null")
+    kind = F.element_at(F.array(*map(F.lit, ("short_answer", "true_false", "mcq"))), (F.col("turn") % 3 + 1).cast("int"))
+    return said.select("conv_id", "turn", kind.alias("kind"), study.grade(kind, F.col("text"), F.col("reference")).alias("g")).select("conv_id", "turn", "kind", "g.score", "g.feedback")
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[\t\r\n]+', ' ', 'g')) || chr(9) || trim(regexp_replace(text, '[\t\r\n]+', ' ', 'g')) || chr(9) || source AS line FROM documents""")
 def anki_export(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", deck_line(F.substring("text", 1, 40), F.col("text"), F.col("source")).alias("line"))
+    return table(spark, sf, "documents").select("doc_id", deck_line(F.substring_index("text", "\n", 1), F.col("text"), F.col("source")).alias("line"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 <> 3)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0)")
 def cascade_delete(spark, sf):
-    kept = table(spark, sf, "orders").filter("o_custkey % 10 <> 3").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(kept, "l_orderkey", "left_semi")
+    # Customers in debt are removed, and with them their orders and lines.
+    kept = table(spark, sf, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    orders = tables.cascade(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), kept, "o_custkey")
+    return tables.cascade(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7")
+@query("SELECT l_orderkey, l_linenumber, c_nationkey AS owner FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
 def owned_rows(spark, sf):
-    mine = table(spark, sf, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, sf, "orders").join(mine, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey", "left_semi")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    chain = [(table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "o_orderkey", "c_custkey"), (table(spark, sf, "customer"), "c_custkey", "c_nationkey")]
+    return tables.owner_of(lines, chain, "owner").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "owner")
 
 
 @query("SELECT user_id, event_type, event_id AS latest FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

@@ -18,4 +18,4 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 def deck_line(front: Column, back: Column, tag: Column | None = None) -> Column:
     """A line of an import file: fields by tabs, with tabs and line breaks in them flattened."""
-    return F.concat_ws("\t", *[F.regexp_replace(c, r"[\t\r\n]+", " ") for c in (front, back, tag) if c is not None])
+    return F.concat_ws("\t", *[F.trim(F.regexp_replace(c, r"[\t\r\n]+", " ")) for c in (front, back, tag) if c is not None])
