@@ -10,13 +10,14 @@ row of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.llm.common import written
 
-#: Up to so many sources the table of rates is sent to every task; beyond, it is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Up to so many entries of all distributions (16 MB), the table of rates is sent to every task; beyond, it is joined by a
+#: shuffle.
+BROADCAST_ENTRIES = 2_000_000
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -37,14 +38,14 @@ def rates(df: DataFrame, source_col: str = "source", weights: dict[str, float] |
         weighed = sizes.join(given, F.col("_source").cast("string").eqNullSafe(F.col("_s")), "left").select("_source", "_n", F.coalesce("_w", F.lit(0.0)).alias("_w"))
     sums = weighed.agg(F.sum("_w").alias("_all"), F.sum("_n").alias("_rows"))
     rate = F.round(F.coalesce(F.lit(total).cast("double"), F.col("_rows").cast("double")) * F.col("_w") / F.col("_all") / F.col("_n"), 6)
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
-    step = lambda a, i: F.struct(
-        (a["lf"] + F.log(F.greatest(i, F.lit(1)).cast("double"))).alias("lf"),
-        F.concat(a["cdf"], F.array(F.coalesce(F.try_element_at(a["cdf"], F.lit(-1)), F.lit(0.0)) + F.exp(i * F.log("rate") - F.col("rate") - a["lf"] - F.log(F.greatest(i, F.lit(1)).cast("double"))))).alias("cdf"),
-    )
-    cdf = F.aggregate(F.sequence(F.lit(0), last), F.struct(F.lit(0.0).alias("lf"), F.array().cast("array<double>").alias("cdf")), step)["cdf"]
     # The sums are one row whatever the input.
-    return weighed.join(F.broadcast(sums)).withColumn("rate", rate).filter("rate > 0").select("_source", "rate", cdf.alias("_cdf"))
+    rated = weighed.join(F.broadcast(sums)).withColumn("rate", rate).filter("rate > 0").select("_source", "rate")
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
+    so_far = Window.partitionBy("_source").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    steps = rated.select("_source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("_i")).withColumn("_lf", F.sum(F.log(F.greatest("_i", F.lit(1)).cast("double"))).over(so_far))
+    steps = steps.withColumn("_c", F.sum(F.exp(F.col("_i") * F.log("rate") - F.col("rate") - F.col("_lf"))).over(so_far))
+    lists = steps.groupBy("_source", "rate").agg(F.array_sort(F.collect_list(F.struct("_i", "_c"))).alias("_l"))
+    return lists.select("_source", "rate", F.transform("_l", lambda x: x["_c"]).alias("_cdf"))
 
 
 def mix(df: DataFrame, seed: int = 17, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5, total: int | None = None) -> DataFrame:
@@ -56,10 +57,14 @@ def mix(df: DataFrame, seed: int = 17, source_col: str = "source", id_col: str =
     """
     rate_col, copy_col = (c + "_" * (c in df.columns) for c in ("rate", "copy"))
     by_source = written(rates(df, source_col, weights, power, total), "rates")
-    if by_source.count() <= BROADCAST_SOURCES:
+    if (by_source.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= BROADCAST_ENTRIES:
         by_source = F.broadcast(by_source)
     u = uniform(seed, F.col(id_col))
-    counted = df.join(by_source.withColumnRenamed("rate", "_rate"), F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_u", u).withColumn("_k", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+    counted = df.join(by_source.withColumnRenamed("rate", "_rate"), F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_u", u)
+    # How many values of the distribution are not above u, by its last place among them: a lambda over columns of both sides
+    # of the join is pushed to one of them.
+    above = F.array_position(F.reverse(F.sort_array(F.array_append("_cdf", F.col("_u")))), F.col("_u")) - 1
+    counted = counted.withColumn("_k", (F.size("_cdf") - above).cast("int"))
     copies = counted.filter("_k > 0").select(*[df[c] for c in df.columns], F.col("_rate").alias(rate_col), F.explode(F.sequence(F.lit(1), F.col("_k"))).alias(copy_col))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col))
     return copies.withColumn("_order", key).repartition("_order").sortWithinPartitions("_order").drop("_order")
