@@ -15,22 +15,27 @@ LEGACY = ["ppt", "doc"]
 KANA = "぀"
 
 
+#: Fixed values, the endings of the stemmer: plurals that lose two letters, endings in s that stay, verb endings, the bases
+#: that get an e back, and the doubled letters that stay double.
+TWO_LESS, KEPT, VERBS, WITH_E, DOUBLE = ("sses", "ches", "shes", "xes"), ("ss", "us", "is"), ("ing", "ed"), ("at", "iz", "bl", "uc", "v"), ("l", "s", "z")
+
+
+def _ends(word: Column, endings: tuple[str, ...]) -> Column:
+    found = word.endswith(endings[0])
+    for e in endings[1:]:
+        found = found | word.endswith(e)
+    return found
+
+
 def stem(word: Column) -> Column:
     """A word of four ASCII letters or more without its plural or verb ending."""
-    base = F.regexp_replace(word, "(ing|ed)$", "")
-    last = F.right(base, F.lit(1))
-    double = (last == F.substring(base, -2, 1)) & ~last.isin("l", "s", "z")
     shorter = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
-    verb = F.when(base.rlike("(at|iz|bl|uc|v)$"), F.concat(base, F.lit("e"))).when(double, shorter(base, 1)).otherwise(base)
-    return (
-        F.when(~(word.endswith("s") | word.endswith("ing") | word.endswith("ed")) | ~word.rlike("^[a-z]{4,}$"), word)
-        .when(word.rlike("^.{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(sses|ches|shes|xes)$"), shorter(word, 2))
-        .when(word.rlike("[sui]s$"), word)
-        .when(word.rlike("s$"), shorter(word, 1))
-        .when(word.rlike("^.{3,}(ing|ed)$"), verb)
-        .otherwise(word)
-    )
+    base = F.regexp_replace(word, f"({'|'.join(VERBS)})$", "")
+    last = F.right(base, F.lit(1))
+    verb = F.when(_ends(base, WITH_E), F.concat(base, F.lit("e"))).when((last == F.substring(base, -2, 1)) & ~last.isin(*DOUBLE), shorter(base, 1)).otherwise(base)
+    plural = F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(shorter(word, 3), F.lit("y"))).when(_ends(word, TWO_LESS), shorter(word, 2)).when(_ends(word, KEPT), word).otherwise(shorter(word, 1))
+    # Most words end otherwise, and need no pattern.
+    return F.when(~_ends(word, ("s", *VERBS)) | ~word.rlike("^[a-z]{4,}$"), word).when(word.endswith("s"), plural).when(F.length(base) >= 3, verb).otherwise(word)
 
 
 def stems(text: Column) -> Column:

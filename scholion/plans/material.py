@@ -122,6 +122,17 @@ def extractive_answers(spark, sf):
     return terms.answers(search.bm25(docs, asked), docs, asked)
 
 
+_LINE = r"regexp_replace(regexp_replace(line, '[ \t\n\r\f]+', ' ', 'g'), '^ | $', '', 'g')"
+_CUT_LINE = f"CASE WHEN length({_LINE}) <= 320 THEN {_LINE} ELSE regexp_replace(regexp_replace(substr({_LINE}, 1, 320), ' [^ ]*$', ''), '[,.;: ]+$', '') || '…' END"
+
+
+@query(f"""WITH x AS ({_ANSWERS}), b AS (SELECT query_id, string_agg('- ' || {_CUT_LINE} || ' [' || source_rank || ']', chr(10) ORDER BY position) AS b FROM x GROUP BY query_id)
+    SELECT item_id AS query_id, coalesce('{terms.ANSWER_HEAD}' || chr(10) || chr(10) || b, '{terms.NOT_COVERED.replace("'", "''")}') AS answer FROM benchmark LEFT JOIN b ON query_id = item_id""")
+def answer_texts(spark, sf):
+    docs, asked = table(spark, sf, "documents"), registry._benchmark(spark, sf)
+    return terms.answer_texts(terms.answers(search.bm25(docs, asked), docs, asked), asked)
+
+
 @query("""SELECT source, count(*) FILTER (WHERE length(text) >= 20) AS ready, count(*) FILTER (WHERE length(text) >= 20 AND lang IS DISTINCT FROM 'en') AS stale,
     CASE WHEN ready = 0 THEN 'no_materials' WHEN stale > 0 THEN 'stale_index' END AS error FROM documents GROUP BY source""")
 def scope_readiness(spark, sf):
