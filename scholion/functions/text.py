@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word with an optional apostrophe part, or one CJK character.
 TOKEN = r"[a-z0-9]+(?:'[a-z]+)?|[぀-ヿ㐀-䶿一-鿿]"
@@ -73,3 +77,14 @@ def origin(url: Column) -> Column:
     scheme = F.lower(scheme)
     own = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), F.lower(host), F.when(own, "").otherwise(F.concat(F.lit(":"), port))))
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normalized(text: Column) -> Column:
+    """Compatibility forms of characters as plain ones, in lower case; ASCII texts need no Python."""
+    ascii_text = F.when(F.length(text) == F.octet_length(text), text)
+    return F.lower(F.coalesce(ascii_text, _nfkc(F.when(F.length(text) != F.octet_length(text), text))))

@@ -263,3 +263,23 @@ def metrics(ranks: DataFrame) -> DataFrame:
     recall = [F.round(F.avg(F.when(F.col("rank") <= n, 1.0).otherwise(0.0)), 6).alias(f"recall_{n}") for n in (1, 3, 5)]
     sums = [F.count(F.lit(1)).alias("n"), *recall, F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr")]
     return ranks.groupBy("mode").agg(*sums).withColumn("category", F.lit("all")).unionByName(ranks.groupBy("mode", "category").agg(*sums))
+
+
+#: Providers of embeddings by name: functions from texts (id, text columns) to (id, dims, weights).
+PROVIDERS = {"hash": embed}
+
+
+def embedding_provider(name: str):
+    """The provider of a name; others can be put into ``PROVIDERS``."""
+    if name not in PROVIDERS:
+        raise ValueError(f"no embedding provider {name!r}; there are {sorted(PROVIDERS)}")
+    return PROVIDERS[name]
+
+
+def context(questions: DataFrame, docs: DataFrame, sample: DataFrame, count: int) -> DataFrame:
+    """(query_id, rank, doc_id): what to generate from. Questions with a topic (query) get what they find, the others the
+    even sample of their scope (scope, position, doc_id); max(6, min(count + 4, 14)) of either."""
+    limit = max(6, min(count + 4, 14))
+    found = bm25(docs, questions.filter("query is not null").select("query_id", "query"), limit).select("query_id", "rank", "doc_id")
+    spread = questions.filter("query is null").join(sample, "scope").filter(F.col("position") <= limit)
+    return found.unionByName(spread.select("query_id", F.col("position").alias("rank"), "doc_id"))

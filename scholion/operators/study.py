@@ -118,3 +118,40 @@ def citations(answer: Column, sources: Column) -> Column:
     lists = F.regexp_extract_all(answer, F.lit(r"\[(\d+(?:\s*[,，]\s*\d+)*)\]"), F.lit(1))
     numbers = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*[,，]\s*"))), lambda n: n.try_cast("int"))
     return F.array_distinct(F.filter(numbers, lambda n: n.between(1, sources)))
+
+
+#: What a generator gives for a question: its kind, text, options, answer, explanation and the number of its source.
+ITEM = "kind string, prompt string, options array<string>, answer string, explanation string, source_id int"
+
+
+def with_sources(items: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Generated items with a snapshot of the source that they name by number; null where there is no such source. Of a source
+    (key, index, source struct), what depends on the question is dropped."""
+    shown = [c for c in sources.schema["source"].dataType.names if c in ("index", "score", "vector_score", "keyword_score", "cited")]
+    kept = sources.select(F.col(key).alias("_k"), F.col("index").alias("_i"), (F.col("source").dropFields(*shown) if shown else F.col("source")).alias("source"))
+    return items.join(kept, (F.col(key) == F.col("_k")) & (F.col("source_id") == F.col("_i")), "left").drop("_k", "_i")
+
+
+def cited_sources(sources: Column, answer: Column) -> Column:
+    """The sources (structs with an index) with a mark on those that the answer cites."""
+    cited = citations(answer, F.size(sources))
+    return F.transform(sources, lambda s: s.withField("cited", F.array_contains(cited, s["index"].cast("int"))))
+
+
+def deck_label(sources: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, label): the most common name, ties by alphabet, and how many others there are."""
+    counts = sources.groupBy(key, name).agg(F.count(F.lit(1)).alias("_n"))
+    by = counts.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("_n"), F.col(name).alias("_m")))["_m"].alias("_m"), F.count(F.lit(1)).alias("_d"))
+    return by.select(key, F.when(F.col("_d") == 1, F.col("_m")).otherwise(F.concat("_m", F.lit(" and "), (F.col("_d") - 1).cast("string"), F.lit(" more"))).alias("label"))
+
+
+def quiz_summary(quizzes: DataFrame, questions: DataFrame, attempts: DataFrame, key: str) -> DataFrame:
+    """(key, questions, attempts, best): counts of a quiz and its best score, null before the first attempt."""
+    asked = questions.groupBy(key).agg(F.count(F.lit(1)).alias("questions"))
+    tried = attempts.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.max("score").alias("best"))
+    return quizzes.select(key).join(asked, key, "left").join(tried, key, "left").fillna(0, ["questions", "attempts"])
+
+
+def unknown_answers(answers: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
+    """The answers to questions that the quiz does not have."""
+    return answers.join(questions.select(*keys).distinct(), keys, "left_anti")

@@ -48,3 +48,30 @@ def idle_sessions(events: DataFrame, user: str, ts: str, idle: int, longest: int
     runs = runs.withColumn("_run", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     part = F.floor((F.col("_s") - F.min("_s").over(Window.partitionBy(user, "_run"))) / (longest * 1_000_000))
     return runs.withColumn("_part", part).groupBy(user, "_run", "_part").agg(F.min("_s").alias("started"), F.max("_s").alias("ended"), F.count(F.lit(1)).alias("n")).drop("_run", "_part")
+
+
+def valid_tokens(tokens: DataFrame, user: str, order: list[str], used: Column, expires: Column, now: Column) -> DataFrame:
+    """The newest token of each user, if it is neither used nor expired: older ones are superseded by it."""
+    newest = tokens.groupBy(user).agg(F.max(F.struct(*order, used.alias("_used"), expires.alias("_expires"), now.alias("_now"))).alias("t"))
+    return newest.filter(F.col("t._used").isNull() & (F.col("t._expires") > F.col("t._now"))).select(user, *[F.col(f"t.{c}").alias(c) for c in order])
+
+
+def orphans(rows: DataFrame, owner: str) -> DataFrame:
+    """The rows that nobody owns; none may be left once owners are required."""
+    return rows.filter(F.col(owner).isNull())
+
+
+def with_owner(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old rows, written before there were owners, and new ones together: the owner of old ones is null."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def backfilled(states: DataFrame, signature: str, current: Column) -> DataFrame:
+    """States whose ready documents have a signature: those without one get the current one."""
+    return states.withColumn(signature, F.coalesce(signature, F.when(F.col("status") == "ready", current)))
+
+
+def window_key(scope: Column, identifier: Column, seconds: int, at: Column) -> Column:
+    """The digest under which a window's counter is kept: no identifier is stored in the clear."""
+    start = (F.floor(F.unix_timestamp(at.cast("timestamp")) / seconds) * seconds).cast("long")
+    return F.sha2(F.concat_ws(":", scope, identifier.cast("string"), F.lit(seconds).cast("string"), start.cast("string")), 256)

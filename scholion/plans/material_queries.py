@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions import formats
 from scholion.functions import text as X
-from scholion.operators import ingest, search, tables
+from scholion.operators import ingest, search, study, tables, upkeep
 from scholion.plans import registry
 from scholion.plans.registry import _FUSED, SQL, query
 from scholion.sources.readers import table
@@ -142,3 +142,48 @@ def ids_outside_scope(spark, sf):
     wanted = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey") % 50).alias("scope"))
     held = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("scope"))
     return tables.not_in_scope(wanted, held, ["o_orderkey", "scope"])
+
+
+@query()
+def normalized_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.normalized(F.col("text")).alias("text"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), t AS (SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+    SELECT user_id, event_id FROM t, n WHERE event_type <> 'error' AND ts + INTERVAL 7 DAY > now""")
+def valid_tokens(spark, sf):
+    # Events as reset tokens, good for a week; those of errors are used.
+    events = table(spark, sf, "events").withColumn("ts", F.date_trunc("microsecond", "ts"))
+    # The clock is one row.
+    timed = events.join(F.broadcast(events.agg(F.max("ts").alias("now"))))
+    used = F.when(F.col("event_type") == "error", F.col("ts"))
+    return upkeep.valid_tokens(timed, "user_id", ["ts", "event_id"], used, F.col("ts") + F.expr("INTERVAL 7 DAY"), F.col("now")).select("user_id", "event_id")
+
+
+@query("SELECT event_id, sha256('login:' || user_id || ':3600:' || (floor(epoch(ts) / 3600) * 3600)::BIGINT) AS window_key FROM events")
+def window_keys(spark, sf):
+    return table(spark, sf, "events").select("event_id", upkeep.window_key(F.lit("login"), F.col("user_id"), 3600, F.col("ts")).alias("window_key"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL), f AS (SELECT source, first(lang ORDER BY n DESC, lang) AS m, count(*) AS d FROM c GROUP BY source)
+    SELECT source, CASE WHEN d = 1 THEN m ELSE m || ' and ' || (d - 1) || ' more' END AS label FROM f""")
+def deck_labels(spark, sf):
+    return study.deck_label(table(spark, sf, "documents").filter("lang is not null"), "source", "lang")
+
+
+@query("SELECT c_custkey, count(DISTINCT o_orderkey) AS questions, count(l_orderkey) AS attempts, max(l_quantity) AS best FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey")
+def quiz_summary(spark, sf):
+    # Customers as quizzes, orders as questions, lines as attempts.
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("c_custkey", F.col("l_quantity").alias("score"))
+    return study.quiz_summary(table(spark, sf, "customer"), orders, lines, "c_custkey")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, i AS index, i IN (2, 1 + conv_id % 4) AND i <= n AS cited FROM s""")
+def cited_sources(spark, sf):
+    # An answer that cites the second turn and one by the conversation's number.
+    said = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("_t"))
+    sources = F.transform("_t", lambda t, i: F.struct((i + 1).alias("index")))
+    answer = F.concat(F.lit("As said [2, "), (F.col("conv_id") % 4 + 1).cast("string"), F.lit("] and [99]."))
+    return said.select("conv_id", F.explode(study.cited_sources(sources, answer)).alias("s")).select("conv_id", F.col("s.index").cast("long").alias("index"), "s.cited")

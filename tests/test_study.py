@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from scholion.operators import quiz, search, study, tables
+from scholion.functions import text
+from scholion.operators import quiz, search, study, tables, upkeep
 
 LINES = "Gradient descent moves the weights against the slope. A Gradient-based method may fail on plateaus of the loss. Momentum keeps the velocity of the earlier steps in memory. Plateaus and valleys slow plain descent down a lot."
 
@@ -94,3 +95,23 @@ def test_relational_helpers(spark):
     held = spark.createDataFrame([(1, "s", "x"), (2, "s", "x"), (3, None, "x")], "i long, s string, h string")
     assert {(r["i"], r["existing"]) for r in tables.dedup_against(new, held, ["s", "h"], "i").collect()} == {(5, 1), (6, 3), (7, None)}
     assert [r["n"] for r in tables.newest(spark.createDataFrame([("s", n, n) for n in range(6)], "s string, t long, n long"), "s", "t", "n", 2, 1).orderBy("position").collect()] == [4, 3]
+
+
+def test_sources_and_owners(spark):
+    items = spark.createDataFrame([("q", 1), ("q", 9)], "key string, source_id int")
+    sources = spark.createDataFrame([("q", 1, (7, "a", 0.5))], "key string, index int, source struct<doc_id:int,name:string,score:double>")
+    assert [(r["source_id"], r["source"] and r["source"].asDict()) for r in study.with_sources(items, sources, "key").orderBy("source_id").collect()] == [(1, {"doc_id": 7, "name": "a"}), (9, None)]
+    old, new = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(2, 5)], "id long, owner long")
+    both = upkeep.with_owner(old, new)
+    assert {tuple(r) for r in both.collect()} == {(1, None), (2, 5)} and [r["id"] for r in upkeep.orphans(both, "owner").collect()] == [1]
+    states = spark.createDataFrame([(1, "ready", None), (2, "failed", None), (3, "ready", "x")], "id long, status string, s string")
+    assert {r["id"]: r["s"] for r in upkeep.backfilled(states, "s", F.lit("y")).collect()} == {1: "y", 2: None, 3: "x"}
+    assert [r["q"] for r in study.unknown_answers(spark.createDataFrame([("z", 1), ("z", 2)], "quiz string, q long"), spark.createDataFrame([("z", 1)], "quiz string, q long"), ["quiz", "q"]).collect()] == [2]
+    assert spark.createDataFrame([("ＡＢ ﬁ É",), ("Ab",), (None,)], "t string").coalesce(1).select(text.normalized(F.col("t")).alias("n")).collect() == [("ab fi é",), ("ab",), (None,)]
+    with pytest.raises(ValueError):
+        search.embedding_provider("none")
+    docs = spark.createDataFrame([(i, f"tree number{i} stands") for i in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "number7", "s"), (2, None, "s")], "query_id long, query string, scope string")
+    sample = spark.createDataFrame([("s", n + 1, n * 2) for n in range(10)], "scope string, position long, doc_id long")
+    got = search.context(asked, docs, sample, 3).collect()
+    assert {r["doc_id"] for r in got if r["query_id"] == 1} == {7} and [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2] == [0, 2, 4, 6, 8, 10, 12]
