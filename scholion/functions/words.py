@@ -38,18 +38,38 @@ def stem(word: Column) -> Column:
     return F.when(~_ends(word, ("s", *VERBS)) | ~word.rlike("^[a-z]{4,}$"), word).when(word.endswith("s"), plural).when(F.length(base) >= 3, verb).otherwise(word)
 
 
+def stem_word(word: str) -> str:
+    """``stem`` of one word, for passes over Arrow batches that remember words they have met."""
+    if not word.endswith(("s", *VERBS)) or len(word) < 4 or not (word.isascii() and word.isalpha()):
+        return word
+    if word.endswith("s"):
+        if word.endswith("ies") and len(word) > 4:
+            return word[:-3] + "y"
+        return word[:-2] if word.endswith(TWO_LESS) else word if word.endswith(KEPT) else word[:-1]
+    base = word.removesuffix("ing") if word.endswith("ing") else word.removesuffix("ed")
+    if len(base) < 3:
+        return word
+    if base.endswith(WITH_E):
+        return base + "e"
+    return base[:-1] if base[-1] == base[-2] and base[-1] not in DOUBLE else base
+
+
 def stems(text: Column) -> Column:
     return F.transform(tokens(text), stem)
 
 
-def keyword_tokens(text: Column) -> Column:
-    """Stems, then the pairs of neighbouring CJK characters among them."""
-    words = stems(text)
+def with_pairs(words: Column) -> Column:
+    """Words, then the pairs of neighbouring CJK characters among them. Give it a column that is computed already."""
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when((a >= KANA) & (b >= KANA), F.concat(a, b)))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
+def keyword_tokens(text: Column) -> Column:
+    """Stems, then the pairs of neighbouring CJK characters among them."""
+    return with_pairs(stems(text))
+
+
 def slug(text: Column) -> Column:
     """Lower case, words joined by hyphens, at most 60 characters; ``untitled`` when nothing is left."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_ \t\n\r\f-]+", "")

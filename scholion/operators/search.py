@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.text import tokens, truncate
-from scholion.functions.words import KANA, keyword_tokens, stems
+from scholion.functions.words import KANA, keyword_tokens, stem_word
 from scholion.sources.scratch import stored
 
 #: Up to so many rows a query table is sent to every task; beyond, it is dealt by term.
@@ -46,22 +46,53 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def _stems(words: list[str], known: dict[str, str]) -> list[str]:
+    """Stems of words, by a table of those met before."""
+    if len(known) > KNOWN:
+        known.clear()
+    return [known.get(w) or known.setdefault(w, stem_word(w)) for w in words]
+
+
+def _pairs(words: list[str]) -> Iterator[str]:
+    return (a + b for a, b in pairwise(words) if a >= KANA and b >= KANA)
+
+
+def _counted(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
+    """(doc_id, len, n_terms, terms, tfs): of each text the number of its terms and of its distinct ones, and the counts of
+    those ``wanted`` (None: all)."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            sizes, distinct, terms, tfs = [], [], [], []
+            for words in batch.column(1):
+                words = _stems(words.as_py(), known)
+                counts = Counter(words)
+                counts.update(_pairs(words))
+                sizes.append(sum(counts.values()))
+                distinct.append(len(counts))
+                kept = counts if wanted is None else {t: counts[t] for t in counts.keys() & wanted}
+                terms.append(list(kept))
+                tfs.append(list(kept.values()))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(distinct, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))], ["doc_id", "len", "n_terms", "terms", "tfs"])
+
+    return docs.select("doc_id", tokens(F.col("text")).alias("_t")).mapInArrow(run, f"doc_id {kind}, len long, n_terms long, terms array<string>, tfs array<long>")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = False, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, rank, doc_id, score) for ``queries`` (query_id, query), over stems and pairs of CJK characters. Query
     terms count once; the length is the terms of a text, or its distinct ones.
 
-    Texts are read once: what is kept is the counts of query terms, and for each text a row of its own with its lengths
-    (the empty term); document frequencies, means and scores come from there."""
+    Texts are read once: what is kept of each is a row with its lengths and its counts of query terms, made where the text
+    is read; document frequencies, means and scores come from there."""
     terms = queries.select("query_id", F.explode(F.array_distinct(keyword_tokens(F.col("query")))).alias("term"))
     wanted = [r["term"] for r in terms.select("term").distinct().limit(LOOKED_UP + 1).collect()]
-    words = docs.select("doc_id", keyword_tokens(F.col("text")).alias("_t"))
-    words = words.select("doc_id", F.size("_t").cast("long").alias("len"), F.size(F.array_distinct("_t")).cast("long").alias("n_terms"), (F.filter("_t", lambda t: t.isin(wanted)) if len(wanted) <= LOOKED_UP else F.col("_t")).alias("_t"))
-    rows = words.select("doc_id", "len", "n_terms", F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    read = stored(_counted(docs, set(wanted) if len(wanted) <= LOOKED_UP else None), "postings")
+    hits = read.select("doc_id", "len", "n_terms", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "len", "n_terms", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
     if len(wanted) > LOOKED_UP:
-        rows = rows.join(terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
-    hits = stored(rows.groupBy("doc_id", "term", "len", "n_terms").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    stats = hits.filter("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.avg("n_terms").alias("avg_terms"))
-    hits = hits.filter("term <> ''")
+        hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
+    stats = read.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.avg("n_terms").alias("avg_terms"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     length, mean = ("n_terms", "avg_terms") if distinct_len else ("len", "avg_len")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -83,6 +114,7 @@ def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
+        stemmed: dict[str, str] = {}
 
         def place(f: str) -> tuple[int, float]:
             digest = hashlib.md5(f.encode()).hexdigest()
@@ -94,9 +126,9 @@ def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "
         for batch in batches:
             ids, dims, weights = [], [], []
             for n, words in enumerate(batch.column(1)):
-                words = words.as_py()
+                words = _stems(words.as_py(), stemmed)
                 w, used = np.zeros(dim), set()
-                for f, tf in Counter([*words, *(a + b for a, b in pairwise(words) if a >= KANA and b >= KANA), *(f"{a}_{b}" for a, b in pairwise(words))]).items():
+                for f, tf in Counter([*words, *_pairs(words), *(f"{a}_{b}" for a, b in pairwise(words))]).items():
                     at, sign = known.get(f) or place(f)
                     used.add(at)
                     w[at] += sign * (1 + np.log(tf)) if tf > 1 else sign
@@ -107,7 +139,7 @@ def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "
                     weights.append(w[dims[-1]] / length)
             yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(dims, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "dims", "weights"])
 
-    return docs.select(F.col(id_col).alias("id"), stems(F.col(text)).alias("_t")).mapInArrow(run, f"id {kind}, dims array<int>, weights array<double>")
+    return docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t")).mapInArrow(run, f"id {kind}, dims array<int>, weights array<double>")
 
 
 def hash_embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "text") -> DataFrame:

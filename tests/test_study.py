@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import text
+from scholion.functions import words as W
 from scholion.operators import quiz, search, study, tables, upkeep
 
 LINES = "Gradient descent moves the weights against the slope. A Gradient-based method may fail on plateaus of the loss. Momentum keeps the velocity of the earlier steps in memory. Plateaus and valleys slow plain descent down a lot."
@@ -115,3 +116,9 @@ def test_sources_and_owners(spark):
     sample = spark.createDataFrame([("s", n + 1, n * 2) for n in range(10)], "scope string, position long, doc_id long")
     got = search.context(asked, docs, sample, 3).collect()
     assert {r["doc_id"] for r in got if r["query_id"] == 1} == {7} and [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2] == [0, 2, 4, 6, 8, 10, 12]
+
+
+def test_both_stemmers_agree(spark):
+    words = "ies ties parties classes churches boxes bus this gas dogs is ss sing king thing running stopped falling rated optimized bled used moved seed bed red ing ed agreed buzzing don't 学 x1s étés passed basis".split()
+    got = [r["s"] for r in spark.createDataFrame([(w,) for w in words], "w string").coalesce(1).select(W.stem(F.col("w")).alias("s")).collect()]
+    assert got == [W.stem_word(w) for w in words]
