@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions.text import tokens, truncate
 from scholion.functions.words import KANA, keyword_tokens, stem_word
-from scholion.sources.scratch import stored
+from scholion.sources.scratch import spread, stored
 
 #: Up to so many rows a query table is sent to every task; beyond, it is dealt by term.
 BROADCAST_ROWS = 100_000
@@ -77,7 +77,7 @@ def _counted(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
                 tfs.append(list(kept.values()))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(distinct, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))], ["doc_id", "len", "n_terms", "terms", "tfs"])
 
-    return docs.select("doc_id", tokens(F.col("text")).alias("_t")).mapInArrow(run, f"doc_id {kind}, len long, n_terms long, terms array<string>, tfs array<long>")
+    return spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("_t")).mapInArrow(run, f"doc_id {kind}, len long, n_terms long, terms array<string>, tfs array<long>")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = False, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -139,7 +139,7 @@ def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "
                     weights.append(w[dims[-1]] / length)
             yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(dims, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "dims", "weights"])
 
-    return docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t")).mapInArrow(run, f"id {kind}, dims array<int>, weights array<double>")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))).select("id", tokens(F.col("_text")).alias("_t")).mapInArrow(run, f"id {kind}, dims array<int>, weights array<double>")
 
 
 def hash_embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,3 +21,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/scholion-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, few: int = 4) -> DataFrame:
+    """``df`` dealt to all cores if it is read from a few files: such a table is small, but a file may be one row group, so one
+    task. Tables of more files are read as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 < len(df.inputFiles()) <= few else df
