@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import bpe, chat, exact_dedup, html_extract, jaccard_join, langid, license_scan, mips, mixing, suffix_dedup
+from scholion.llm import bpe, chat, collocations, exact_dedup, html_extract, jaccard_join, langid, license_scan, mips, mixing, resampling, suffix_dedup
 from scholion.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,8 +60,16 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan, op9_suffix_dedup, op10_html_extract)
+    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan, op9_suffix_dedup, op10_html_extract, op11_collocations, op12_resampling)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,7 +95,47 @@ def _license_sql() -> str:
         FROM words d LEFT JOIN sums USING (doc_id)"""
 
 
+def _gathered(table: str) -> str:
+    """The words of a table's texts and, of them, single ones and pairs."""
+    return f"""SELECT {"doc_id, " if table == "documents" else ""}regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"""
+
+
+_FEATURES = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+
+# The checksum of the zip format, byte by byte with a table of 256 remainders that eight steps of the polynomial give.
+_RESAMPLING = f"""
+    WITH rest AS (SELECT list(list_reduce(list_concat([i::BIGINT], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+    docs AS ({_gathered("documents")}), bench AS ({_gathered("benchmark")}),
+    have AS (SELECT doc_id, {_FEATURES} AS f FROM docs), wanted AS (SELECT {_FEATURES} AS f FROM bench),
+    spelt AS (SELECT f, hex(f) AS x FROM (SELECT f FROM have UNION SELECT f FROM wanted)),
+    bytes AS (SELECT f, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM spelt),
+    coded AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, k: xor(c // 256, t[(xor(c, k) % 256) + 1])), 4294967295) % 10000 AS b FROM bytes, rest),
+    s AS (SELECT b, count(*) AS s FROM have JOIN coded USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM wanted JOIN coded USING (f) GROUP BY b),
+    gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g FROM s FULL JOIN t USING (b)),
+    weighed AS (SELECT doc_id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM have JOIN coded USING (f) JOIN gain USING (b) GROUP BY doc_id),
+    scored AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM docs LEFT JOIN weighed USING (doc_id)),
+    placed AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (WHERE words >= 20) OVER () AS fit FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * fit // 100 THEN place END AS rank FROM placed"""
+
+_COLLOCATIONS = f"""
+    WITH said AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM said),
+    many AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM pieces, range(1, 5) ms(m), unnest(range(1, len(w) - m + 2)) places(i) WHERE len(w) >= m),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM many GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+    cut AS (SELECT c.lang, c.phrase, c.f AS a, k, a.f AS l, b.f AS r, (2000000::HUGEINT * c.f) // (a.f + b.f) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+        JOIN f a ON a.lang = c.lang AND a.m = k AND a.phrase = array_to_string(c.w[1 : k], ' ') JOIN f b ON b.lang = c.lang AND b.m = c.m - k AND b.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+    best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    held AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(f) AS f FROM c, range(2, 4) ks(k), unnest(range(1, m - k + 2)) places(i) WHERE k < m GROUP BY ALL),
+    left_over AS (SELECT b.* FROM best b LEFT JOIN held h USING (lang, phrase) WHERE h.f IS NULL OR 100 * h.f < 80 * b.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": _COLLOCATIONS,
+    "op12_resampling": _RESAMPLING,
     "op1_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, (count(*) OVER g)::BIGINT AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
