@@ -11,6 +11,7 @@ from string import ascii_lowercase, ascii_uppercase
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,47 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int =
         start = end
 
 
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_STEP = 1 << 20
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64 bits of a hash of each word (`[^\\x20\\x09-\\x0D]+`) after lower-casing A-Z, of any length; words of a long text are
+    split off block by block."""
+    out, start = [], 0
+    while start < len(text):
+        end = start + _STEP
+        while end < len(text) and text[end] != 32 and not 9 <= text[end] <= 13:
+            end += 1
+        words = text[start:end].translate(_FOLD).split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        start = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on every other."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+_PLACE = np.random.default_rng(20240601).integers(0, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
+    """The sorted distinct hashes (int64) of a text's shingles of ``n`` words; one of all words if there are fewer."""
+    words = word_hashes(text)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    n = min(n, len(words))
+    count = len(words) - n + 1
+    total = np.full(count, n, np.uint64)
+    for j in range(n):
+        total += mix(words[j : j + count] * _PLACE[j])
+    return np.unique(mix(total).view(np.int64))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
     """Arrow batches of about ``most`` bytes for what is planned and run inside, so that neither side of the pipe to a

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import bpe, chat, collocations, exact_dedup, html_extract, jaccard_join, langid, license_scan, mips, mixing, resampling, suffix_dedup
+from scholion.llm import bpe, chat, collocations, exact_dedup, html_extract, jaccard_join, langid, license_scan, lsh_forest, mips, mixing, resampling, suffix_dedup
 from scholion.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,8 +68,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan, op9_suffix_dedup, op10_html_extract, op11_collocations, op12_resampling)
+    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_jaccard_join, op4_topk_products, op5_mixing, op6_chat, op7_langid, op8_license_scan, op9_suffix_dedup, op10_html_extract, op11_collocations, op12_resampling, op13_lsh_forest)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
