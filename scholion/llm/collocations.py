@@ -7,7 +7,8 @@ Counts of all phrases of up to four words come from suffix trees that are cut at
    each first word's bits, and with two and three words, is counted first, where texts are read, in arrays of fixed
    length. Prefixes are then packed in groups up to a budget; one over the budget is extended by a word, and what is
    over it with three words is dealt by the whole suffix. So a frequent word, or pair of words, is never one task's.
-2. *Subtrees.* A block of text sends equal suffixes once, with their number. Tasks read them sorted by key, so a
+2. *Subtrees.* A block of text sends equal suffixes once, with their number, in order and without the words that the one
+   before has in common. Tasks read them sorted by key, so a
    subtree's leaves come together, and build the tree of a bounded number of leaves at once: the totals of leaves are added up level by
    level, and a node that is final and too seldom takes its subtree along. Nodes that groups or parts share are sums to be added up.
 3. Parts of a phrase and the phrases that hold it are found among the frequent nodes, by joins.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,32 +61,28 @@ def _blocks(texts: list[bytes], step: int) -> Iterator[tuple[bytes, int]]:
         start = end + 1
 
 
-def suffixes(texts: list[bytes], step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text of all words, each followed by a space; start of every suffix in it; its end; its key) by blocks."""
+def suffixes(texts: list[bytes], step: int = STEP) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(different words; for every suffix the numbers of its words, -1 beyond its end; its key) by blocks."""
     for block, limit in _blocks(texts, step):
         b = np.frombuffer(block, np.uint8)
         apart = (b == 32) | (b == 10)
         edge = np.diff(np.concatenate([[True], apart]).astype(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # a word and what ends it
-        if not len(first):
-            continue
-        keep = ~apart
-        keep[last] = True
-        words = np.where(apart, np.uint8(32), b)[keep]
-        ends = np.cumsum(last - first + 1)
-        starts = ends - (last - first + 1)
-        piece = np.cumsum(b == 10)[first]
-        coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(words)]).dictionary_encode()
-        bits = np.array([xxhash.xxh3_64_intdigest(w) & 0xFFFF for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
         n = int(np.searchsorted(first, limit))
-        key, to = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        if not n:
+            continue
+        ends = np.cumsum(last - first, dtype=np.int32)
+        piece = np.searchsorted(np.flatnonzero(b == 10), first)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[np.int32(0)], ends])), pa.py_buffer(b[~apart])]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        bits = np.array([xxhash.xxh3_64_intdigest(w) & 0xFFFF for w in coded.dictionary.to_pylist()], np.uint64)[codes]
+        key, words = np.zeros(n, np.uint64), np.full((n, DEPTH), -1, np.int32)
         for k in range(DEPTH):
             at = np.minimum(np.arange(n) + k, len(first) - 1)
             there = (piece[at] == piece[:n]) & (np.arange(n) + k < len(first))
             key |= np.where(there, bits[at], np.uint64(0)) << np.uint64(48 - 16 * k)
-            to = np.where(there, ends[at], to)
-        if n:
-            yield words, starts[:n], to, key
+            words[:, k] = np.where(there, codes[at], -1)
+        yield coded.dictionary, words, key
 
 
 def counters(key: np.ndarray) -> list[np.ndarray]:
@@ -126,32 +124,65 @@ def packed(total: np.ndarray, least: int = BUDGET, most: int = GROUPS) -> tuple[
     return nodes, (max(1, -(-int(total[2][total[2] > budget].sum()) // budget)) if over else 0)
 
 
-_LEAF = "_g long, _k long, _p int, _lang string, _s binary, _c long"
+#: Leaves of a block whose keys begin alike, in order: for each the words it has in common with the one before and all its
+#: words (a byte), its number (four), and its other words, each followed by a space.
+_LEAF = "_g long, _k long, _p int, _lang string, _w binary, _c binary, _s binary"
+_LEAVES = ["_g", "_k", "_p", "_lang", "_w", "_c", "_s"]
+
+
+def _cut(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _spelt(names: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, each followed by a space, and where they begin."""
+    offsets = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1, names.offset * 4)
+    size = np.diff(offsets)[codes] + 1
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(to[-1], 32, np.uint8)
+    body = np.frombuffer(names.buffers()[2], np.uint8) if names.buffers()[2] is not None else np.zeros(0, np.uint8)
+    for k in range(0, len(codes), 1 << 16):
+        n = size[k : k + (1 << 16)] - 1
+        own = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+        out[own + np.repeat(to[k : k + len(n)], n)] = body[own + np.repeat(offsets[codes[k : k + len(n)]], n)]
+    return out, to
 
 
 def _leaves(nodes: list[np.ndarray], rest: int):
     first_rest = max(int(n.max()) for n in nodes) + 1
 
+    def rows(lang: str, names: pa.Array, words: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((*words.T[::-1], key))
+        words, key = words[order], key[order]
+        same = np.cumprod(words[1:] == words[:-1], axis=1).sum(1)
+        fresh = np.concatenate([[True], same < DEPTH])
+        count = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+        words, key, same = words[fresh], key[fresh], np.concatenate([[0], same])[fresh]
+        at = counters(key)
+        group, prefix = np.full(len(key), -1, np.int64), np.full(len(key), DEPTH, np.int64)
+        for d, (node, where) in enumerate(zip(nodes, at, strict=False), 1):
+            prefix = np.where((group < 0) & (node[where] >= 0), d, prefix)
+            group = np.where(group < 0, node[where], group)
+        group = np.where(group < 0, first_rest + at[3] % max(1, rest), group)
+        shift = (16 * (DEPTH - prefix)).astype(np.uint64)
+        key = (key >> shift) << shift
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
+        total = (words >= 0).sum(1)
+        same = np.minimum(same, total)
+        same[start] = 0
+        own = (np.arange(DEPTH) >= same[:, None]) & (words >= 0)
+        body, to = _spelt(names, words[own])
+        ends = np.append(start, len(key))
+        before = np.concatenate([[0], np.cumsum(total - same)])
+        lang_col = pa.DictionaryArray.from_arrays(np.zeros(len(start), np.int8), pa.array([lang], pa.string())).cast(pa.string())
+        return pa.record_batch([group[start], key[start].view(np.int64), prefix[start].astype(np.int32), lang_col, _cut((same | total << 4).astype(np.uint8), ends), _cut(count.astype("<i4").view(np.uint8), ends * 4), _cut(body, to[before[ends]])], _LEAVES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different suffixes of a block with their number, group and the words of their group's prefix."""
+        """The different suffixes of a block with their number and group."""
         for part in (part for batch in batches for part in slices(batch, 1)):
             for lang, texts in _by_lang(part):
-                for words, starts, ends, key in suffixes(texts):
-                    size = ends - starts
-                    offsets = np.concatenate([[0], np.cumsum(size)])
-                    body = words[np.arange(offsets[-1], dtype=np.int32) + np.repeat((starts - offsets[:-1]).astype(np.int32), size)]
-                    coded = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)]).dictionary_encode()
-                    codes, suffix = coded.indices.to_numpy(), coded.dictionary
-                    k = np.empty(len(suffix), np.uint64)
-                    k[codes] = key
-                    at = counters(k)
-                    group, prefix = np.full(len(k), -1, np.int64), np.full(len(k), DEPTH, np.int32)
-                    for d, (node, where) in enumerate(zip(nodes, at, strict=False), 1):
-                        prefix = np.where((group < 0) & (node[where] >= 0), d, prefix)
-                        group = np.where(group < 0, node[where], group)
-                    group = np.where(group < 0, first_rest + at[3] % max(1, rest), group)
-                    lang_col = pa.DictionaryArray.from_arrays(np.zeros(len(k), np.int8), pa.array([lang], pa.string())).cast(pa.string())
-                    yield pa.record_batch([group, k.view(np.int64), prefix.astype(np.int32), lang_col, suffix, np.bincount(codes, minlength=len(k))], ["_g", "_k", "_p", "_lang", "_s", "_c"])
+                for names, words, key in suffixes(texts):
+                    yield rows(lang, names, words, key)
 
     return run
 
@@ -164,70 +195,86 @@ def _common(key: np.ndarray, other: np.uint64 | None) -> np.ndarray:
     return (x < np.uint64(1 << 48)).astype(np.int64) + (x < np.uint64(1 << 32)) + (x < np.uint64(1 << 16)) + (x == 0)
 
 
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column, and how many each row has."""
+    sizes, values = [], []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, chunk.offset * 4)
+        sizes.append(np.diff(offsets))
+        values.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(values).view(kind), np.concatenate(sizes) // np.dtype(kind).itemsize
+
+
 def tree(rows: pa.Table, shared: np.ndarray, least: int = LEAST) -> pa.RecordBatch:
-    """(language, phrase, number) of the nodes over leaves (_lang, _s, _c): those that are as frequent as ``least`` or of
+    """(language, phrase, number) of the nodes over leaves (rows as in _LEAF): those that are as frequent as ``least`` or of
     a depth up to ``shared``, where other parts have leaves, too."""
-    rows = rows.combine_chunks()
-    suffix = rows["_s"].combine_chunks() if isinstance(rows["_s"], pa.ChunkedArray) else rows["_s"]
-    offsets = np.frombuffer(suffix.buffers()[1], np.int32, len(suffix) + 1, suffix.offset * 4).astype(np.int64)
-    body = np.frombuffer(suffix.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    ends = np.flatnonzero(body == 32) + 1
-    coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
+    (packed_words, each), (count, _), (body, _) = _joined(rows["_w"], "u1"), _joined(rows["_c"], "<i4"), _joined(rows["_s"], "u1")
+    same, total = (packed_words & 15).astype(np.int64), (packed_words >> 4).astype(np.int64)
+    ends = np.flatnonzero(body == 32).astype(np.int32) + np.int32(1)
+    coded = _cut(body, np.concatenate([[0], ends])).dictionary_encode()
     codes, kinds = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-    first = np.searchsorted(ends, offsets, side="right")  # of each row, its first word
-    lang = pa.chunked_array([rows["_lang"]]).combine_chunks() if isinstance(rows["_lang"], pa.Array) else rows["_lang"].combine_chunks()
-    lang = lang.dictionary_encode()
-    count = rows["_c"].to_numpy()
-    at, node = np.arange(len(suffix)), lang.indices.to_numpy().astype(np.int64)
+    begin = np.cumsum(total - same) - (total - same)
+    place, words = np.arange(len(same)), []
+    for d in range(DEPTH):
+        # A leaf that has the word in common with those before takes that of the last one that spells it.
+        spelt = np.maximum.accumulate(np.where(same <= d, place, 0))
+        words.append(np.where(total > d, codes[np.minimum(begin[spelt] + d - same[spelt], len(codes) - 1)], -1))
+    lang = rows["_lang"].combine_chunks().dictionary_encode()
+    at, node = place, np.repeat(lang.indices.to_numpy().astype(np.int64), each)
+    shared, row = np.repeat(shared, each), np.repeat(np.arange(len(each)), each)
     langs, phrases, numbers = [], [], []
     for d in range(1, DEPTH + 1):
-        longer = first[at] + d <= first[at + 1]
+        longer = words[d - 1][at] >= 0
         at, node = at[longer], node[longer]
         if not len(at):
             break
-        _, one, node = np.unique(node * kinds + codes[first[at] + d - 1], return_index=True, return_inverse=True)
-        total = np.zeros(len(one), np.int64)
-        np.add.at(total, node, count[at])
+        _, one, node = np.unique(node * kinds + words[d - 1][at], return_index=True, return_inverse=True)
+        sums = np.bincount(node, count[at]).astype(np.int64)  # exact up to 2^53
         part = np.zeros(len(one), bool)
         part[node[shared[at] >= d]] = True
-        out = np.flatnonzero((total >= least) | part)
-        for row, n in zip(at[one[out]].tolist(), total[out].tolist(), strict=True):
-            langs.append(lang.indices[row].as_py())
-            phrases.append(body[offsets[row] : ends[first[row] + d - 1] - 1].tobytes())
-            numbers.append(n)
-        go = ((total >= least) | part)[node]
+        out = np.flatnonzero((sums >= least) | part)
+        leaf = at[one[out]]
+        langs.append(lang.indices.to_numpy()[row[leaf]])
+        text, to = _spelt(coded.dictionary, np.stack([words[k][leaf] for k in range(d)], 1).ravel())
+        keep = np.ones(len(text), bool)
+        keep[to[1:] - 1] = False  # a word has a space of its own; that of a phrase's last one goes, too
+        keep[to[d::d] - 2] = False
+        phrases += _cut(text[keep], np.concatenate([[0], np.cumsum(keep)[to[d::d] - 1]])).to_pylist()
+        numbers.append(sums[out])
+        go = ((sums >= least) | part)[node]
         at, node = at[go], node[go]
-    return pa.record_batch([lang.dictionary.take(pa.array(langs, pa.int32())), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], ["_lang", "_phrase", "_f"])
+    return pa.record_batch([lang.dictionary.take(pa.array(np.concatenate([np.zeros(0, np.int32), *langs]), pa.int32())), pa.array(phrases, pa.binary()).cast(pa.string()), np.concatenate([np.zeros(0, np.int64), *numbers])], ["_lang", "_phrase", "_f"])
 
 
 def _trees(least: int, leaves: int = LEAVES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Nodes of leaves sorted by key, some at once: cut where the first word's bits change, or, within one that has more, the
-        first two words', and so on."""
+        first two words', and so on; where one key has very many, anywhere."""
         held: list[pa.RecordBatch] = []
         before: np.uint64 | None = None
 
         def nodes(rows: pa.Table, after: np.uint64 | None) -> pa.RecordBatch:
             key = rows["_k"].to_numpy().view(np.uint64)
-            shared = np.maximum(rows["_p"].to_numpy() - 1, np.maximum(_common(key, before), _common(key, after)))
-            return tree(rows, shared, least)
+            return tree(rows, np.maximum(rows["_p"].to_numpy() - 1, np.maximum(_common(key, before), _common(key, after))), least)
 
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) < leaves:
+            size += pc.sum(pc.binary_length(batch.column(4))).as_py()
+            if size < leaves:
                 continue
             rows = pa.Table.from_batches(held)
             key = rows["_k"].to_numpy().view(np.uint64)
             change = key[1:] ^ key[:-1]
-            cuts = next((c for s in (48, 32, 16) if len(c := np.flatnonzero(change >> np.uint64(s)))), None)
-            cut = int(cuts[-1]) + 1 if cuts is not None else len(key) - 1
+            cuts = next((c for s in (48, 32, 16, 0) if len(c := np.flatnonzero(change >> np.uint64(s)))), None)
+            cut = int(cuts[-1]) + 1 if cuts is not None else len(key) - 1 if size >= 8 * leaves else 0
             if cut:
                 yield nodes(rows.slice(0, cut), key[cut])
                 before = key[cut - 1]
-            held = rows.slice(cut).combine_chunks().to_batches()
+                held = rows.slice(cut).combine_chunks().to_batches()
+                size = sum(pc.sum(pc.binary_length(b.column(4))).as_py() for b in held)
         if held:
             yield nodes(pa.Table.from_batches(held), None)
 
