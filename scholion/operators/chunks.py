@@ -60,7 +60,7 @@ def _pack(size: int, overlap: int):
     return run
 
 
-def chunk(docs: DataFrame, size: int = 1200, overlap: int = 150, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def chunk(docs: DataFrame, size: int = 1000, overlap: int = 150, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, chunk_index, content, char_count): chunks of 20 characters or more, numbered from 0 in each text. No
     shuffle: a text's chunks are made where it is read. Null and blank texts have none."""
     if overlap >= size:

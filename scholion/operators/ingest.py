@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from scholion.functions.formats import reflow, xml_attribute, xml_text
 from scholion.functions.text import SPACE, clean_whitespace, first_line_heading
 from scholion.operators.chunks import chunk
-
-#: Folders of an index: a document's chunks are in the one of its hash.
-BUCKETS = 64
+from scholion.operators.keyword_index import keyword_tables
+from scholion.operators.search import embedding_provider
+from scholion.sources.scratch import stored
+from scholion.sources.snapshots import Snapshots
 
 
 def text_files(spark: SparkSession, folder: str, suffixes: str = "{md,markdown,txt}") -> DataFrame:
@@ -55,7 +56,7 @@ def slide_sections(shapes: DataFrame, doc: str, slide: str, order: str, kind: st
     return made.select(doc, slide, "section", clean_whitespace(F.array_join(F.transform("_x", lambda x: x["_l"]), "\n")).alias("content")).filter("content <> ''")
 
 
-def ingest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most_chars: int = 2_000_000, size: int = 1200, overlap: int = 150) -> tuple[DataFrame, DataFrame]:
+def ingest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most_chars: int = 2_000_000, size: int = 1000, overlap: int = 150) -> tuple[DataFrame, DataFrame]:
     """(states, chunks) of documents: ``states`` are (id, status, error, chunks, chars), ready or failed each on its own;
     only the chunks of ready ones are given."""
     length = F.length(_stripped(F.col(text)))
@@ -78,26 +79,41 @@ def to_reindex(states: DataFrame, signature: Column, current: Column) -> DataFra
     return states.filter("status <> 'processing'").withColumn("needs_reindex", (F.col("status") == "ready") & ~signature.eqNullSafe(current))
 
 
-def swap_chunks(chunks: DataFrame, replaced: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Replaces the chunks of the ``replaced`` documents (id) in the index at ``path`` by ``chunks``, each folder as a whole:
-    a folder that holds none of these documents is not touched, and the new state is written in full beside the index first."""
-    spark = chunks.sparkSession
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).cast("int")
-    touched = replaced.select(bucket.alias("bucket")).distinct()
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}{name}")
-    new = chunks.withColumn("bucket", bucket)
-    if files.exists(at("")):
-        held = spark.read.parquet(path)
-        # At most BUCKETS rows.
-        kept = held.join(F.broadcast(touched), "bucket", "left_semi").join(replaced.select(id_col).distinct(), id_col, "left_anti")
-        new = new.unionByName(kept.select(*new.columns))
-    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}.next")
-    ready = spark.read.schema(new.schema).parquet(f"{path}.next")
-    ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for row in touched.join(ready.select("bucket").distinct(), "bucket", "left_anti").collect():  # folders that are empty now
-        files.delete(at(f"/bucket={row['bucket']}"), True)
-    files.delete(at(".next"), True)
+def swap_chunks(chunks: DataFrame, replaced: DataFrame, path: str, id_col: str = "doc_id") -> int:
+    """Replaces the chunks of the ``replaced`` documents (id) in the index at ``path`` by ``chunks``, all at once, and gives the
+    index's new version; buckets that hold none of these documents are not touched."""
+    index = Snapshots(chunks.sparkSession, path)
+    before = index.manifest()
+    return index.commit(before, index.written(before, "chunks", chunks, replaced, id_col))
+
+
+def ingest_batch(docs: DataFrame, path: str, stream: str | None = None, batch: int | None = None, provider: str = "hash", signature: str = "hash:features:384", owned: DataFrame | None = None) -> int:
+    """Takes documents (doc_id, text; scope, which may be left out) into the index at ``path``: states, chunks, their vectors and their postings change in
+    one version, or none of them does. Gives the version; a batch of a stream that went in already changes nothing.
+
+    Of several rows of an id the greatest text counts. Only documents that are still ``owned`` (doc_id) when the work begins are
+    looked at. Chunks are named ``doc_id:chunk_index``; a document that fails loses those it had."""
+    spark = docs.sparkSession
+    index = Snapshots(spark, path)
+    before = index.manifest()
+    if stream is not None and before["batches"].get(stream, -1) >= batch:
+        return before["version"]
+    docs = docs if "scope" in docs.columns else docs.withColumn("scope", F.lit(None).cast("string"))
+    docs = docs if owned is None else docs.join(owned.select("doc_id").distinct(), "doc_id", "left_semi")
+    once = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "scope")).alias("d"))
+    once = stored(once.select("doc_id", "d.scope", "d.text"), "documents")
+    states, chunks = ingest(once)
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    chunks = stored(chunks.join(once.select("doc_id", "scope"), "doc_id").select(name.alias("chunk_id"), "doc_id", "scope", "chunk_index", "content", "char_count"), "chunks")
+    states = states.withColumn("signature", F.when(F.col("status") == "ready", signature))
+    vectors = embedding_provider(provider)(chunks, id_col="chunk_id", text="content").withColumnRenamed("id", "chunk_id").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    ids = once.select("doc_id")
+    gone = chunks.select(F.col("chunk_id").alias("doc_id"))
+    if "chunks" in before["tables"]:
+        gone = gone.unionByName(index.read("chunks", before).join(ids, "doc_id", "left_semi").select(F.col("chunk_id").alias("doc_id")))
+    tables = index.written(before, "states", states, ids, "doc_id") | index.written(before, "chunks", chunks, ids, "doc_id") | index.written(before, "vectors", vectors, ids, "doc_id")
+    tables |= keyword_tables(index, before, chunks.select(F.col("chunk_id").alias("doc_id"), "scope", F.col("content").alias("text")), gone)
+    return index.commit(before, tables, stream, batch)
 
 
 def source_block(index: Column, name: Column, section: Column, content: Column) -> Column:

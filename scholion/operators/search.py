@@ -57,16 +57,16 @@ def _pairs(words: list[str]) -> Iterator[str]:
     return (a + b for a, b in pairwise(words) if a >= KANA and b >= KANA)
 
 
-def _counted(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(doc_id, len, n_terms, terms, tfs): of each text the number of its terms and of its distinct ones, and the counts of
+def _counted(docs: DataFrame, wanted: set[str] | None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, len, n_terms, terms, tfs): of each text the number of its terms and of its distinct ones, and the counts of
     those ``wanted`` (None: all)."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kinds = ", ".join(f"{k} {dict(docs.dtypes)[k]}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for batch in batches:
             sizes, distinct, terms, tfs = [], [], [], []
-            for words in batch.column(1):
+            for words in batch.column(len(keys)):
                 words = _stems(words.as_py(), known)
                 counts = Counter(words)
                 counts.update(_pairs(words))
@@ -75,9 +75,9 @@ def _counted(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
                 kept = counts if wanted is None else {t: counts[t] for t in counts.keys() & wanted}
                 terms.append(list(kept))
                 tfs.append(list(kept.values()))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(distinct, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))], ["doc_id", "len", "n_terms", "terms", "tfs"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(distinct, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))], [*keys, "len", "n_terms", "terms", "tfs"])
 
-    return spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("_t")).mapInArrow(run, f"doc_id {kind}, len long, n_terms long, terms array<string>, tfs array<long>")
+    return spread(docs.select(*keys, "text")).select(*keys, tokens(F.col("text")).alias("_t")).mapInArrow(run, f"{kinds}, len long, n_terms long, terms array<string>, tfs array<long>")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = False, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -278,11 +278,6 @@ def result_rows(hits: DataFrame, docs: DataFrame, scores: DataFrame, limit: int
     return found.join(named, "doc_id").select("query_id", F.col("rank").alias("index"), *named.columns, *rounded)
 
 
-def in_scope(docs: DataFrame, allowed: DataFrame | None, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that a search may look at: all, or those named in ``allowed`` (doc_id)."""
-    return docs if allowed is None else docs.join(allowed.select(doc_id).distinct(), doc_id, "left_semi")
-
-
 def abstention(best: DataFrame, answerable: DataFrame, threshold: float) -> DataFrame:
     """(answerable, n, flagged): how often the best score (0 without any) falls below the threshold, for questions that can
     be answered (false alarms) and those that cannot."""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.functions import text as X
-from scholion.operators import search, study, tables
+from scholion.operators import keyword_index, search, study, tables
 from scholion.sources.readers import deck_line, table
-from scholion.sources.scratch import stored
+from scholion.sources.scratch import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +127,48 @@ def bm25_distinct_len_topk(spark, sf):
     return search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), distinct_len=True)
 
 
+def _scoped_sql(asked: str, looked_at: str) -> str:
+    """BM25 where each query looks at documents of its own: ``looked_at`` (query_id, doc_id)."""
+    return f"""WITH t AS MATERIALIZED (SELECT *, len(t) AS len FROM (SELECT doc_id, source, {_KEYWORDS} AS t FROM (SELECT doc_id, source, {stemmed('text')} AS s FROM documents))),
+    asked AS (SELECT item_id AS query_id, text AS query, scope FROM benchmark JOIN ({asked}) USING (item_id)),
+    looked AS ({looked_at}), u AS (SELECT l.query_id, t.* FROM looked l JOIN t USING (doc_id)),
+    s AS (SELECT query_id, count(*) AS n, avg(len) AS mean FROM u GROUP BY query_id),
+    q AS (SELECT DISTINCT query_id, unnest({_KEYWORDS}) AS term FROM (SELECT query_id, {stemmed('query')} AS s FROM asked)),
+    p AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    h AS (SELECT q.query_id, p.* FROM q JOIN p USING (term) JOIN looked l ON l.query_id = q.query_id AND l.doc_id = p.doc_id), d AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL),
+    r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score FROM h JOIN d USING (query_id, term) JOIN s USING (query_id) GROUP BY ALL)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 5"""
+
+
+def _scoped(spark, sf):
+    """An index of all documents, and queries that each ask in one source, taken in turn."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("scope"), "text")
+    path = scratch_path(spark, "index")
+    keyword_index.index_documents(spark, path, docs)
+    sources = docs.groupBy("scope").agg(F.min("doc_id").alias("_d"))
+    sources = sources.withColumn("_i", F.row_number().over(Window.orderBy("scope")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    items = table(spark, sf, "benchmark")
+    asked = items.join(F.broadcast(sources), F.pmod("item_id", "_n") == F.col("_i"))
+    return path, docs, asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "scope")
+
+
+_ASKED = "SELECT item_id, s.source AS scope FROM benchmark JOIN (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) s ON item_id % s.n = s.i"
+
+
+@query(_scoped_sql(_ASKED, "SELECT query_id, doc_id FROM asked JOIN documents ON source IS NOT DISTINCT FROM scope"))
+def scoped_bm25_topk(spark, sf):
+    path, _, asked = _scoped(spark, sf)
+    return keyword_index.search_index(spark, path, asked)
+
+
+@query(_scoped_sql(_ASKED, "SELECT query_id, doc_id FROM asked JOIN documents ON source IS NOT DISTINCT FROM scope WHERE query_id % 2 = 0 OR (doc_id + query_id) % 3 = 0"))
+def scoped_bm25_allowed(spark, sf):
+    # Every other query names the documents it may look at, some of them of other sources.
+    path, docs, asked = _scoped(spark, sf)
+    allowed = asked.filter("query_id % 2 = 1").select("query_id").join(docs.select("doc_id"), (F.col("doc_id") + F.col("query_id")) % 3 == 0)
+    return keyword_index.search_index(spark, path, asked, allowed=allowed)
+
+
 @query(f"WITH t AS (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM t GROUP BY term")
 def term_stats(spark, sf):
     return search.term_stats(search.postings(table(spark, sf, "documents")))

@@ -1,4 +1,4 @@
-"""Streams that keep state: incremental ingest, review states of cards, and failures since the last success."""
+"""Streams that keep state: incremental ingest, and review states of cards."""
 
 from __future__ import annotations
 
@@ -8,18 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scholion.operators.ingest import ingest, swap_chunks
+from scholion.operators.ingest import ingest_batch
 from scholion.operators.study import FIRST, LEAST_EASE, QUALITY, SECOND
 
 
-def ingested(docs: DataFrame, index: str, states: str, checkpoint: str):
-    """A started stream (doc_id, text) whose documents become chunks in ``index`` and rows of ``states``, a batch at a time;
-    a document that comes again replaces its chunks."""
+def ingested(docs: DataFrame, index: str, checkpoint: str, stream: str = "ingest"):
+    """A started stream (doc_id, text, and scope if there is one) whose documents go into ``index`` a batch at a time, each batch as one version and
+    once, also if it is replayed; a document that comes again replaces its chunks."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        found, chunks = ingest(rows.dropDuplicates(["doc_id"]))
-        found.write.mode("append").parquet(states)
-        swap_chunks(chunks, rows.select("doc_id"), index)
+    def batch(rows: DataFrame, number: int) -> None:
+        ingest_batch(rows, index, stream, number)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,17 +48,3 @@ def card_states(reviews: DataFrame, card: str = "card", late: str = "1 day") ->
     grouped = reviews.withWatermark("ts", late).groupBy(card)
     fields = "ease double, interval_days double, repetitions int, lapses int, reviews int"
     return grouped.applyInPandasWithState(step, f"{card} {kind}, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
-
-
-def failures(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """(key, failures): for each key of a batch of events (key, ts, ok), the failures since its last success."""
-    kind = dict(events.dtypes)[key]
-
-    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        for ok in pd.concat(batches).sort_values("ts")["ok"]:
-            count = 0 if ok else count + 1
-        state.update((count,))
-        yield pd.DataFrame({key: [own[0]], "failures": [count]})
-
-    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, failures long", "failures long", "update", GroupStateTimeout.NoTimeout)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions import formats
 from scholion.operators import ingest, study
+from scholion.sources.snapshots import Snapshots
 from scholion.streaming import ingest as streams
 
 
@@ -45,10 +46,10 @@ def test_index_is_swapped_by_document(spark):
     found = {r["doc_id"]: (r["status"], r["error"]) for r in states.collect()}
     assert found[3] == ("ready", None) and found[90] == found[92] == ("failed", "no_text") and found[91] == ("failed", "no_chunks")
     ingest.swap_chunks(chunks, docs.select("doc_id"), path)
-    before = {tuple(r) for r in spark.read.parquet(path).select("doc_id", "chunk_index", "content").collect()}
+    before = {tuple(r) for r in Snapshots(spark, path).read("chunks").select("doc_id", "chunk_index", "content").collect()}
     again = spark.createDataFrame([(3, words(77, 50)), (4, "")], "doc_id long, text string")
     ingest.swap_chunks(ingest.ingest(again)[1], again.select("doc_id"), path)
-    after = {tuple(r) for r in spark.read.parquet(path).select("doc_id", "chunk_index", "content").collect()}
+    after = {tuple(r) for r in Snapshots(spark, path).read("chunks").select("doc_id", "chunk_index", "content").collect()}
     assert {r for r in after if r[0] not in (3, 4)} == {r for r in before if r[0] not in (3, 4)}
     assert not any(r[0] == 4 for r in after) and {r[2].split()[0] for r in after if r[0] == 3} == {"word77"}
     left = ingest.interrupted(spark.createDataFrame([(1, "processing", None), (2, "ready", None)], "doc_id long, status string, error string"))
@@ -57,16 +58,6 @@ def test_index_is_swapped_by_document(spark):
     assert {(r["doc_id"], r["needs_reindex"]) for r in marked.collect()} == {(1, True), (2, True), (4, False)}
 
 
-def test_streamed_ingest(spark):
-    base = tempfile.mkdtemp(prefix="scholion-test-")
-    for n in range(2):
-        spark.createDataFrame([(i, f"batch{n} " * 40) for i in range(n, n + 3)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema("doc_id long, text string").parquet(f"{base}/in")
-        streams.ingested(stream, f"{base}/index", f"{base}/states", f"{base}/checkpoint").awaitTermination()
-    got = {(r["doc_id"], r["content"].split()[0]) for r in spark.read.parquet(f"{base}/index").collect()}
-    assert got == {(0, "batch0"), (1, "batch1"), (2, "batch1"), (3, "batch1")} and spark.read.parquet(f"{base}/states").count() == 6
-
-
 def test_streamed_states(spark):
     rng, base = random.Random(2), tempfile.mkdtemp(prefix="scholion-test-")
     rows = [(rng.randrange(5), 1_700_000_000 + 60 * k, rng.choice(["again", "hard", "good", "easy", "other"])) for k in range(120)]
@@ -82,9 +73,3 @@ def test_streamed_states(spark):
     whole = spark.createDataFrame(rows, "card long, t long, rating string").withColumn("ts", F.timestamp_seconds("t"))
     want = {r["card"]: (r["ease"], r["interval_days"], r["repetitions"], r["lapses"], r["reviews"]) for r in study.fold_reviews(whole, ["card"]).collect()}
     assert last == want
-    last.clear()
-    streams.failures(stream.select("card", "ts", (F.col("rating") == "good").alias("ok")), "card").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/d").trigger(availableNow=True).start().awaitTermination()
-    count = {}
-    for card, _, rating in rows:
-        count[card] = 0 if rating == "good" else count.get(card, 0) + 1
-    assert {k: v[0] for k, v in last.items()} == count
