@@ -218,19 +218,15 @@ def _dense(dims: pa.Array | pa.ChunkedArray, weights: pa.Array | pa.ChunkedArray
     return out
 
 
-def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k nearest of ``vectors`` to each of ``queries`` by cosine, exactly. A vector
-    is not its own neighbour (by id). Blocks of rows meet in pairs, and k rows a query leave a pair. Vectors are
-    compared where their dimensions are equal; null, zero or not finite ones, and null ids, are left out."""
+def _usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v, dim): vectors that have a direction."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.filter(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
-    def usable(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-        bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        return rows.filter(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
-    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
-        return df.withColumn(names[0], mine).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+def _block_nearest(k: int, own: bool = False):
+    """For each query of a block (id, v) the k nearest of another one, without or with its ``own`` row."""
 
     def nearest(asked: pa.Table, given: pa.Table) -> pa.Table:
         if not (asked.num_rows and given.num_rows):
@@ -243,7 +239,7 @@ def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
             units.append(m / np.sqrt((m * m).sum(1, keepdims=True)))
         out: list[list] = [[], [], []]
         for n, scores in enumerate(np.round(units[0] @ units[1].T, 6)):
-            other = np.flatnonzero(ids[1] != ids[0][n])
+            other = np.arange(len(ids[1])) if own else np.flatnonzero(ids[1] != ids[0][n])
             if len(other) > k:
                 at = np.partition(scores[other], len(other) - k)[len(other) - k]
                 other = other[scores[other] >= at]
@@ -253,11 +249,77 @@ def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
             out[2].append(scores[best] + 0.0)
         return pa.table({name: np.concatenate(c) for name, c in zip(("query_id", "doc_id", "score"), out, strict=True)})
 
-    left, right = usable(queries), usable(vectors)
+    return nearest
+
+
+def dense_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k nearest of ``vectors`` to each of ``queries`` by cosine, exactly. A vector
+    is not its own neighbour (by id). Blocks of rows meet in pairs, and k rows a query leave a pair. Vectors are
+    compared where their dimensions are equal; null, zero or not finite ones, and null ids, are left out."""
+
+    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
+        return df.withColumn(names[0], mine).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    left, right = _usable(queries, id_col, vector), _usable(vectors, id_col, vector)
     a, b = (max(1, -(-df.count() // block_rows)) for df in (left, right))
     keys = ["dim", "qb", "vb"]
     pairs = dealt(left, a, b, ("qb", "vb")).groupBy(*keys).cogroup(dealt(right, b, a, ("vb", "qb")).groupBy(*keys))
-    return top_k(pairs.applyInArrow(nearest, "query_id long, doc_id long, score double"), k)
+    return top_k(pairs.applyInArrow(_block_nearest(k), "query_id long, doc_id long, score double"), k)
+
+
+def lsh_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", bucket: int = BLOCK_ROWS, similarity: float = 0.5, recall: float = 0.98, seed: int = 13) -> DataFrame:
+    """(query_id, rank, doc_id, score): near rows of ``vectors`` to each of ``queries`` by cosine, found approximately and ranked exactly.
+
+    Tables of random hyperplanes: a vector's bucket is which sides it is on, with as many planes as make buckets of ``bucket``
+    rows, and as many tables as find a neighbour of ``similarity`` with the probability ``recall``; nearer ones are found more
+    often. A query meets the vectors of its buckets, block by block, and nothing else. Equal vectors, however many, are one
+    vector here, which stands for the k + 1 smallest of their ids: no ranking can show more. A bucket that is larger than asked is cut into
+    blocks. Vectors are compared where their dimensions are equal; null, zero or not finite ones, and null ids, are left out."""
+    rows = _usable(vectors, id_col, vector)
+    once = rows.groupBy("v", "dim").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    once = stored(once.select(F.col("_first").alias("id"), "v", "dim", "_n"), "distinct-vectors")
+    sizes = once.groupBy("dim").count().collect()  # a row for each dimension
+    planes = {d: max(1, int(np.ceil(np.log2(max(2, n / bucket))))) for d, n in sizes}
+    p = 1 - np.arccos(similarity) / np.pi
+    tables = {d: max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - p**b)))) for d, b in planes.items()}
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, v, dim) once for each table, with the table and the bucket in it."""
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == d))
+                if d not in planes:
+                    continue
+                m = own.column(1).flatten().to_numpy().reshape(own.num_rows, d)
+                rng = np.random.default_rng((seed, d))
+                for t in range(tables[d]):
+                    side = (m @ rng.normal(size=(d, planes[d])) > 0) @ (1 << np.arange(planes[d], dtype=np.int64))
+                    yield pa.record_batch([*own.columns, np.full(own.num_rows, t, np.int32), side], ["id", "v", "dim", "t", "h"])
+
+    kinds = "id long, v array<double>, dim int, t int, h long"
+    given = stored(once.select("id", "v", "dim").mapInArrow(buckets, kinds), "buckets")
+    blocks = given.groupBy("dim", "t", "h").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(2 * bucket))).alias("_blocks"))
+    blocks = blocks.select(F.col("dim").alias("_d"), F.col("t").alias("_t"), F.col("h").alias("_h"), "_blocks")
+    same = (F.col("dim") == F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("h") == F.col("_h"))
+    keys = ["dim", "t", "h", "block"]
+    cut = given.join(blocks, same).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks")).select("id", "v", *keys)
+    asked = _usable(queries, id_col, vector).mapInArrow(buckets, kinds)
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20))  # queries of a bucket are cut, too, with a copy of its blocks
+    ways = asked.groupBy("dim", "t", "h").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(2 * bucket))).alias("_ways")).select(F.col("dim").alias("_d"), F.col("t").alias("_t"), F.col("h").alias("_h"), "_ways")
+    asked = asked.join(blocks, same).drop("_d", "_t", "_h").join(ways, same).withColumn("way", F.pmod(part, "_ways")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    cut = cut.join(ways, same).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ways") - 1)))
+    keys = [*keys, "way"]
+    pairs = asked.select("id", "v", *keys).groupBy(*keys).cogroup(cut.select("id", "v", *keys).groupBy(*keys))
+    # A query's own vector may stand for others, so it is looked at with k more.
+    found = pairs.applyInArrow(_block_nearest(k + 1, own=True), "query_id long, doc_id long, score double").distinct()
+    several = rows.join(once.filter("_n > 1").select(F.col("v").alias("_v"), F.xxhash64("v").alias("_x"), F.col("id").alias("_first")), (F.xxhash64("v") == F.col("_x")) & (F.col("v") == F.col("_v")))
+    place = F.row_number().over(Window.partitionBy("_first", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))
+    some = several.select("_first", "id").distinct().withColumn("_p", place).filter(F.col("_p") <= k + 1)
+    some = some.withColumn("_p", F.row_number().over(Window.partitionBy("_first").orderBy("id"))).filter(F.col("_p") <= k + 1).select("_first", F.col("id").alias("_other"))
+    found = top_k(found, k + 1).join(some, F.col("doc_id") == F.col("_first"), "left").withColumn("doc_id", F.coalesce("_other", "doc_id"))
+    return top_k(found.filter("query_id <> doc_id").select("query_id", "doc_id", "score"), k)
 
 
 def fuse(rankings: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
@@ -278,6 +340,24 @@ def result_rows(hits: DataFrame, docs: DataFrame, scores: DataFrame, limit: int
     return found.join(named, "doc_id").select("query_id", F.col("rank").alias("index"), *named.columns, *rounded)
 
 
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents in which a passage (query_id, query) stands whole. A passage's words but its first and last one
+    stand in such a text as words of their own, so a passage is looked for in the documents that have the rarest of them; one
+    without such words, in all documents. Empty passages are in none."""
+    asked = passages.filter("query <> ''").select("query_id", "query", tokens(F.col("query")).alias("_t"))
+    inner = asked.filter(F.size("_t") > 2).select("query_id", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("term"))
+    terms = stored(inner, "passage-terms")
+    posts = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(sized(terms.select("term").distinct()), "term", "left_semi")
+    posts = stored(posts, "passage-postings")
+    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("b")).select("query_id", "b.term")
+    near = posts.join(sized(rarest), "term").select("query_id", "doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    found = near.join(texts, "doc_id").join(sized(asked.select("query_id", "query")), "query_id").filter(F.contains("text", "query")).select("query_id", "doc_id")
+    short = asked.filter(F.size("_t") <= 2).select("query_id", "query")
+    return found.unionByName(texts.join(sized(short), F.contains("text", "query")).select("query_id", "doc_id")).distinct()
+
+
 def abstention(best: DataFrame, answerable: DataFrame, threshold: float) -> DataFrame:
     """(answerable, n, flagged): how often the best score (0 without any) falls below the threshold, for questions that can
     be answered (false alarms) and those that cannot."""

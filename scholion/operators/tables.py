@@ -49,8 +49,10 @@ def not_in_scope(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFra
 
 def newest(rows: DataFrame, scope: str, order: str, tie: str, limit: int, offset: int = 0) -> DataFrame:
     """(scope, position, ...): rows of each scope from the newest, ``limit`` of them after ``offset``."""
-    place = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc(order), F.desc(tie))).cast("long") - 1
-    return rows.withColumn("position", place).filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
+    place = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc(order), F.desc(tie)))
+    # The bare rank is cut first, so that each task keeps no more rows of a scope than that.
+    first = rows.withColumn("_rank", place).filter(F.col("_rank") <= offset + limit)
+    return first.withColumn("position", F.col("_rank").cast("long") - 1).drop("_rank").filter(F.col("position") >= offset)
 
 
 def last_turns(messages: DataFrame, conv: str, turn: str, role: str, text: str, n: int = 6, chars: int = 2000) -> DataFrame:

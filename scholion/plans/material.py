@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholion.functions import words as W
 from scholion.functions.text import tokens as plain_tokens
 from scholion.operators import chunks as C
-from scholion.operators import gates, index, search, terms
+from scholion.operators import evaluation, gates, index, search, terms
 from scholion.plans import registry
 from scholion.plans.registry import _STEM, query, tok
 from scholion.sources.readers import table
@@ -83,13 +84,16 @@ def good_sentences(spark, sf):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(terms.good_sentence(F.col("line"))).alias("good"))
 
 
-@query(rf"""WITH {_LINES}, d AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '{terms.DEFINED}') THEN regexp_extract(line, '{terms.DEFINED}', 1) WHEN regexp_matches(line, '{terms.LABELLED}') THEN regexp_extract(line, '{terms.LABELLED}', 1) END AS t,
+_DEFINITIONS = rf"""WITH {_LINES}, d AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '{terms.DEFINED}') THEN regexp_extract(line, '{terms.DEFINED}', 1) WHEN regexp_matches(line, '{terms.LABELLED}') THEN regexp_extract(line, '{terms.LABELLED}', 1) END AS t,
         CASE WHEN regexp_matches(line, '{terms.DEFINED}') THEN regexp_extract(line, '{terms.DEFINED}', 2) ELSE regexp_extract(line, '{terms.LABELLED}', 2) END AS d FROM l),
     e AS (SELECT doc_id, pos, regexp_replace(t, '^[ -]+|[ -]+$', '', 'g') AS term, trim(d) AS definition FROM d WHERE t IS NOT NULL)
     SELECT doc_id, term, upper(substr(definition, 1, 1)) || substr(definition, 2) AS definition FROM e
     WHERE len(regexp_extract_all(term, '[^ \t\n\r\f]+')) BETWEEN 1 AND 6 AND lower(split_part(term, ' ', 1)) NOT IN ({_list(terms.BAD_START + terms.STRUCTURAL)}) AND NOT regexp_matches(term, '[0-9]')
         AND lower(regexp_extract(definition, '^[^ \t]+')) NOT LIKE '%ed' AND lower(regexp_extract(definition, '^[^ \t]+')) NOT IN ({_list(terms.HEDGES)}) AND len(regexp_extract_all(definition, '[^ \t\n\r\f]+')) >= 4
-    QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY pos) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY pos) = 1"""
+
+
+@query(_DEFINITIONS)
 def definitions(spark, sf):
     return terms.definitions(table(spark, sf, "documents"))
 
@@ -101,6 +105,18 @@ def key_terms(spark, sf):
     return terms.key_terms(table(spark, sf, "documents"), "source", 40)
 
 
+@query(f"""WITH d AS ({_DEFINITIONS}), dt AS (SELECT source, doc_id, term FROM d JOIN documents USING (doc_id)),
+    w AS (SELECT source, doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z\\-]{{3,}}'), lambda x: lower(x))) AS term FROM documents),
+    t AS (SELECT source, term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w WHERE length(term) >= 5 AND term NOT IN ({registry._STOP}) GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    every AS (SELECT source, 0 AS kind, doc_id::DOUBLE AS at_, term FROM dt UNION ALL SELECT source, 1, -round(tf * ln(1 + n / df), 6), term FROM t JOIN n USING (source)),
+    words AS (SELECT *, list_filter(string_split(lower(term), ' '), lambda x: x <> '') AS ws FROM every),
+    stemmed AS (SELECT source, kind, at_, term, array_to_string(list_transform(ws, lambda w: {_STEM}), ' ') AS stem FROM words),
+    once AS (SELECT * FROM stemmed QUALIFY row_number() OVER (PARTITION BY source, stem ORDER BY kind, at_, term) = 1)
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY kind, at_, term) AS rank, term, kind = 0 AS defined FROM once QUALIFY rank <= 40""")
+def concept_terms(spark, sf):
+    return terms.concept_terms(table(spark, sf, "documents"), "source", 40)
+
+
 _ANSWERS = rf"""WITH {registry._bm25_sql('len', 'avg_len', 5)},
     m AS (SELECT query_id, rank, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？])[ \t\n\r\f]+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)) AS p FROM ranked JOIN documents USING (doc_id)),
     b AS (SELECT query_id, rank, list_filter(list_transform(flatten(list_transform(p, lambda x: string_split(regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), chr(10)))), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[ \t\n\r\f]*([-•*▪●◦]|\d+[.)])[ \t\n\r\f]+', ''), '(?i)^speaker notes:[ \t\n\r\f]*', ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS b FROM m),
@@ -145,3 +161,37 @@ def study_sample(spark, sf):
     docs = table(spark, sf, "documents")
     pieces = C.chunk(docs).join(docs.select("doc_id", F.col("source").alias("scope")), "doc_id")
     return index.study_sample(pieces, "scope", 12)
+
+
+_RANKED_TEXTS = "SELECT query_id, rank, source AS file, doc_id % 5 AS page, lang AS section FROM ranked JOIN documents USING (doc_id)"
+
+
+@query(f"""WITH {registry._bm25_sql('len', 'avg_len', 10)}, hits AS ({_RANKED_TEXTS}),
+    places AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM documents)),
+    targets AS (SELECT item_id AS query_id, source AS file, CASE WHEN item_id % 2 = 0 THEN item_id % 5 END AS page, CASE WHEN item_id % 3 = 0 THEN 'en' END AS section FROM benchmark JOIN places ON i IN (item_id % m, (item_id + 1) % m))
+    SELECT h.query_id, rank, file, page, section, EXISTS (SELECT 1 FROM targets t WHERE t.query_id = h.query_id AND t.file = h.file AND (t.page = h.page OR t.section = h.section)) AS relevant FROM hits h""")
+def relevance_labels(spark, sf):
+    # A question's targets are two sources, with a page (even items), a section (every third), or neither, which nothing meets.
+    docs, asked = table(spark, sf, "documents"), registry._benchmark(spark, sf)
+    hits = search.bm25(docs, asked, 10).join(docs.select("doc_id", F.col("source").alias("file"), (F.col("doc_id") % 5).alias("page"), F.col("lang").alias("section")), "doc_id").select("query_id", "rank", "file", "page", "section")
+    sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_r"))
+    sources = sources.withColumn("_i", F.row_number().over(Window.orderBy("source")) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    item = asked.select("query_id").join(F.broadcast(sources), (F.col("_i") == F.col("query_id") % F.col("_m")) | (F.col("_i") == (F.col("query_id") + 1) % F.col("_m")))
+    targets = item.select("query_id", F.col("source").alias("file"), F.when(F.col("query_id") % 2 == 0, F.col("query_id") % 5).alias("page"), F.when(F.col("query_id") % 3 == 0, "en").alias("section"))
+    return evaluation.relevance(hits, targets)
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id % 5 AS scope, conv_id AS doc_id, turn AS chunk_index, length(text) AS n FROM conversations),
+    u AS (SELECT * FROM (SELECT *, bool_or(n >= 60) OVER (PARTITION BY scope, doc_id) AS any_long FROM c) WHERE n >= 60 OR NOT any_long),
+    k AS (SELECT *, row_number() OVER (PARTITION BY scope, doc_id ORDER BY chunk_index) - 1 AS i, count(*) OVER (PARTITION BY scope, doc_id) AS m FROM u),
+    q AS (SELECT scope, ceil(30 / count(DISTINCT doc_id))::BIGINT AS q FROM c GROUP BY scope),
+    d AS (SELECT DISTINCT scope, doc_id, m, least(q, m) AS q, ('0x' || substr(md5('7:' || scope || ':' || doc_id), 1, 5))::BIGINT AS h FROM k JOIN q USING (scope)),
+    p AS (SELECT scope, doc_id, t, ((h + t * {index.PARTS}) * m) // (q * {index.PARTS}) AS i FROM (SELECT *, unnest(range(q)) AS t FROM d)),
+    o AS (SELECT p.scope, p.doc_id, chunk_index, n, row_number() OVER (PARTITION BY p.scope ORDER BY t, p.doc_id) AS o FROM p JOIN k ON k.scope = p.scope AND k.doc_id = p.doc_id AND k.i = p.i),
+    f AS (SELECT scope, 0::BIGINT AS o, 0::BIGINT AS total, 0::BIGINT AS chosen, false AS taken FROM (SELECT DISTINCT scope FROM o)
+        UNION ALL SELECT scope, o, total + CASE WHEN fits THEN n ELSE 0 END, chosen + fits::INT, fits FROM (SELECT f.scope, o.o, total, chosen, n, chosen < 30 AND (chosen = 0 OR total + n <= 2000) AS fits FROM f JOIN o ON o.scope = f.scope AND o.o = f.o + 1))
+    SELECT scope, chosen AS position, doc_id, chunk_index FROM f JOIN o USING (scope, o) WHERE taken""")
+def study_sample_budget(spark, sf):
+    # Turns as chunks of their conversation.
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") % 5).alias("scope"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.length("text").cast("long").alias("char_count"))
+    return index.study_sample(turns, "scope", 30, 60, 2000, 7)

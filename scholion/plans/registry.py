@@ -214,6 +214,13 @@ def dense_cosine_topk(spark, sf):
     return search.dense_cosine(vectors, vectors)
 
 
+@query()
+def lsh_topk(spark, sf):
+    # Approximate: its recall against dense_cosine is measured in tests and in the README.
+    vectors = table(spark, sf, "embeddings")
+    return search.lsh_cosine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def _rankings(spark, sf, k=30):
     """Both rankings, computed once for what is derived from them."""
     ranked = _vectors(spark, sf, k).withColumn("source", F.lit("vector")).unionByName(search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), k).withColumn("source", F.lit("keyword")))
@@ -245,10 +252,10 @@ def search_output_rows(spark, sf):
 @query(f"""WITH {_QUERIES}, {_sparse_sql(5)}, b AS (SELECT query_id, max(score) AS best FROM vec GROUP BY query_id), held AS (SELECT DISTINCT item_id AS query_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
     SELECT held.query_id IS NOT NULL AS answerable, count(*) AS n, round(avg((coalesce(best, 0.0) < 0.25)::INT), 6) AS flagged FROM queries q LEFT JOIN b USING (query_id) LEFT JOIN held ON held.query_id = q.query_id GROUP BY 1""")
 def abstention(spark, sf):
-    # A question can be answered if its passage stands whole in one of the texts that rank best for its words.
+    # A question can be answered if its passage stands whole in some text.
     best = stored(_vectors(spark, sf, 5), "best")
     docs, bench = table(spark, sf, "documents"), _benchmark(spark, sf)
-    near = search.bm25(docs, bench, 30).join(docs.select("doc_id", "text"), "doc_id").join(bench, "query_id").filter(F.contains("text", "query")).select("query_id").distinct()
+    near = search.containing(docs, bench).select("query_id").distinct()
     answerable = bench.select("query_id").join(near.withColumn("_a", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("_a", F.lit(False)).alias("answerable"))
     return search.abstention(best.groupBy("query_id").agg(F.max("score").alias("best_score")), answerable, 0.25)
 
@@ -417,15 +424,19 @@ def deck_summary(spark, sf):
 
 @query(f"""WITH {_GRADE}, t AS (SELECT conv_id, turn, ['short_answer', 'true_false', 'mcq'][turn % 3 + 1] AS kind, trim(text) AS given, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations),
     m AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(b, lambda x: list_contains(a, x)))) AS matched, len(b) AS size, score FROM gs)
-    SELECT t.conv_id, t.turn, kind, CASE WHEN given = '' THEN 0.0 WHEN kind = 'short_answer' THEN score WHEN kind = 'true_false' THEN 0.0 ELSE (lower(given) = lower(reference))::INT END::DOUBLE AS score,
-        CASE WHEN given = '' THEN 'No answer given.' WHEN kind <> 'short_answer' OR size = 0 THEN '' ELSE 'Matched ' || len(matched) || ' of ' || size || ' key terms' || CASE WHEN len(matched) > 0 THEN ': ' || array_to_string(matched[:8], ', ') ELSE '' END END AS feedback
+    SELECT t.conv_id, t.turn, kind, CASE WHEN given = '' AND kind <> 'true_false' THEN 0.0 WHEN kind = 'short_answer' THEN score WHEN kind = 'true_false' THEN [1.0, 0.0, 1.0, 0.0, 0.0, 1.0][conv_id % 6 + 1] * (turn % 2) + [0.0, 1.0, 0.0, 1.0, 0.0, 0.0][conv_id % 6 + 1] * (1 - turn % 2) ELSE (lower(given) = lower(reference))::INT END::DOUBLE AS score,
+        CASE WHEN given = '' AND kind <> 'true_false' THEN 'No answer given.' WHEN kind <> 'short_answer' OR size = 0 THEN '' ELSE 'Matched ' || len(matched) || ' of ' || size || ' key terms' || CASE WHEN len(matched) > 0 THEN ': ' || array_to_string(matched[:8], ', ') ELSE '' END END AS feedback
     FROM t JOIN m USING (conv_id, turn)""")
 def graded_items(spark, sf):
     from pyspark.sql import Window
 
     said = table(spark, sf, "conversations").withColumn("reference", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("reference is not null")
     kind = F.element_at(F.array(*map(F.lit, ("short_answer", "true_false", "mcq"))), (F.col("turn") % 3 + 1).cast("int"))
-    return said.select("conv_id", "turn", kind.alias("kind"), study.grade(kind, F.col("text"), F.col("reference")).alias("g")).select("conv_id", "turn", "kind", "g.score", "g.feedback")
+    # Statements are right in odd turns; what is said about them goes by the conversation.
+    tried = F.element_at(F.array(*map(F.lit, ("True", "f", " YES.", "no", "maybe", "\u6b63\u786e"))), (F.col("conv_id") % 6 + 1).cast("int"))
+    marked = F.col("kind") == "true_false"
+    said = said.withColumn("kind", kind).withColumn("text", F.when(marked, tried).otherwise(F.col("text"))).withColumn("reference", F.when(marked, F.when(F.col("turn") % 2 == 1, "True").otherwise("False")).otherwise(F.col("reference")))
+    return said.select("conv_id", "turn", "kind", study.grade(F.col("kind"), F.col("text"), F.col("reference")).alias("g")).select("conv_id", "turn", "kind", "g.score", "g.feedback")
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[\t\r\n]+', ' ', 'g')) || chr(9) || trim(regexp_replace(text, '[\t\r\n]+', ' ', 'g')) || chr(9) || source AS line FROM documents""")
