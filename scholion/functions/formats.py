@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,20 +23,24 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(_short(n / 1024), F.lit(" KB"))).otherwise(F.concat(_short(n / (1 << 20), 1), F.lit(" MB")))
 
 
+#: Up to how many seconds, minutes, hours and days an age is told in the unit before, and days an interval.
+MOMENT, HOUR, DAY, MONTH, YEAR = 45, 60, 24, 30, 365
+
+
 def human_age(seconds: Column, day: Column) -> Column:
     """How long ago, up to 30 days; then the day itself."""
     minutes = _nearest(seconds / 60)
-    hours = _nearest(minutes / 60)
-    days = _nearest(hours / 24)
+    hours = _nearest(minutes / HOUR)
+    days = _nearest(hours / DAY)
     said = lambda x, unit: F.concat(x.cast("long").cast("string"), F.lit(f"{unit} ago"))
-    return F.when(seconds < 45, "just now").when(minutes < 60, said(minutes, "m")).when(hours < 24, said(hours, "h")).when(days < 30, said(days, "d")).otherwise(day)
+    return F.when(seconds < MOMENT, "just now").when(minutes < HOUR, said(minutes, "m")).when(hours < DAY, said(hours, "h")).when(days < MONTH, said(days, "d")).otherwise(day)
 
 
 def human_interval(days: Column) -> Column:
     said = lambda x, unit: F.concat(_nearest(x).cast("long").cast("string"), F.lit(unit))
     return (
-        F.when(days < 1 / 24, F.concat(F.greatest(F.lit(1), _nearest(days * 1440).cast("long")).cast("string"), F.lit("m")))
-        .when(days < 1, said(days * 24, "h")).when(days < 30, said(days, "d")).when(days < 365, said(days / 30, "mo")).otherwise(F.concat(_short(days / 365, 1), F.lit("y")))
+        F.when(days < 1 / DAY, F.concat(F.greatest(F.lit(1), _nearest(days * 1440).cast("long")).cast("string"), F.lit("m")))
+        .when(days < 1, said(days * DAY, "h")).when(days < MONTH, said(days, "d")).when(days < YEAR, said(days / MONTH, "mo")).otherwise(F.concat(_short(days / YEAR, 1), F.lit("y")))
     )
 
 
@@ -86,29 +89,22 @@ def document_title(name: Column) -> Column:
     return F.translate(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "_", " ")
 
 
-_ITEM = re.compile(r"(?:[-•*▪●◦]|\d+[.)]|[a-z][.)])\s")
+#: What begins an item of a list, marks that end a clause in the middle and those that end a statement, and from
+#: how many characters on a line without the latter is a broken one.
+ITEM, MIDDLE, END, LONG = r"(?:[-•*▪●◦]|\d+[.)]|[a-z][.)])[^\S\n]", r",;(\-–/", ".!?:。！？：", 61
+_TIED = regex.compile(rf"(?:(?<=[^\n])\n(?=\p{{Lowercase}})|(?<=[{MIDDLE}])\n(?=[^\n]))(?!{ITEM})")
+_BROKEN = regex.compile(rf"(?m)^(?=[^\n]{{{LONG}}})[^\n]*(?:(?<![{END}])\n(?!{ITEM})[^\n]+)+")
 
 
 def _joined(text: str) -> str:
-    out: list[list[str]] = []
-    length, last = 0, ""
-    for line in map(str.strip, text.split("\n")):
-        goes_on = bool(out and last and line) and not _ITEM.match(line) and (
-            line[0].islower() or last.endswith((",", ";", "(", "-", "–", "/")) or (length > 60 and not last.endswith((".", "!", "?", ":", "。", "！", "？", "：")))
-        )
-        if goes_on:
-            out[-1].append(line)
-            length += 1 + len(line)
-        else:
-            out.append([line])
-            length = len(line)
-        last = line
-    return "\n".join(map(" ".join, out))
+    """Two passes of patterns: line ends whose neighbours alone say that the line goes on, then runs of lines that begin with a
+    long one, in which every line end without an end mark goes."""
+    lines = "\n".join(map(str.strip, text.split("\n")))
+    return _BROKEN.sub(lambda run: run[0].replace("\n", " "), _TIED.sub(" ", lines))
 
 
 @F.pandas_udf(StringType())
 def reflow(texts: pd.Series) -> pd.Series:
     """Lines that a page's width broke, joined: a line goes on if the next one starts in lower case, if it ends in the middle
-    of a clause, or if it is long and has no end mark; items of lists start anew. What decides is the line as joined so far,
-    so a fold of columns would copy a text for each of its lines; this is one pass over it."""
+    of a clause, or if it is long, as joined so far, and has no end mark; items of lists start anew."""
     return texts.map(lambda t: None if t is None else _joined(t))
