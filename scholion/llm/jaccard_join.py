@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.llm.common import Scratch, slices, small_batches, written
+from scholion.llm.common import Scratch, shingle_hashes, slices, small_batches, written
 from scholion.llm.components import components
 
 WORDS = 5
@@ -47,73 +48,11 @@ WAITING = 4096
 KNOWN = 50_000
 #: Up to so many rows (56 bytes each) are broadcast to fetch texts; beyond, documents are dealt by id.
 BROADCAST_ROWS = 500_000
-_STEP = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.default_rng(20240601)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-_PLACE = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.full(_STEP + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _word_hashes(text: bytes) -> np.ndarray:
-    """A hash of every word, block by block; a block ends at white space unless it has none."""
-    out, start = [], 0
-    carry: list[bytes] = []
-    while start < len(text):
-        b = _FOLD[np.frombuffer(text, np.uint8, min(_STEP, len(text) - start), start)]
-        space = _SPACE[b]
-        if start + len(b) < len(text):
-            last = np.flatnonzero(space)
-            if not len(last):  # a word longer than a block
-                carry.append(b.tobytes())
-                start += len(b)
-                continue
-            b, space = b[: last[-1] + 1], space[: last[-1] + 1]
-        start += len(b)
-        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * _UP[: len(b)], dtype=np.uint64)])
-        h = _mix((sums[end] - sums[first]) * _DOWN[first] + (end - first).astype(np.uint64))
-        if carry:
-            n = int(end[0]) if len(first) and first[0] == 0 else 0
-            whole = b"".join(carry) + b[:n].tobytes()
-            long = np.frombuffer(hashlib.blake2b(whole, digest_size=8).digest(), np.uint64)
-            h, carry = np.concatenate([long, h[1:] if n else h]), []
-        out.append(h)
-    if carry:
-        out.append(np.frombuffer(hashlib.blake2b(b"".join(carry), digest_size=8).digest(), np.uint64))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct hashes (int64) of a text's shingles; one of all words if there are fewer than five."""
-    words = _word_hashes((text or "").encode())
-    if not len(words):
-        return np.zeros(0, np.int64)
-    n = min(WORDS, len(words))
-    count = len(words) - n + 1
-    total = np.full(count, n, np.uint64)
-    for j in range(n):
-        total += _mix(words[j : j + count] * _PLACE[j])
-    return np.unique(_mix(total).view(np.int64))
+    return shingle_hashes((text or "").encode(), WORDS)
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -362,14 +301,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: list[str] = []
     block: tuple | None = None
     known: tuple[list[str], tuple] | None = None
-    for group, (side, v, _), (text,) in _groups(batches):
+    last: tuple | None = None
+    for group, (side, v, i), (text,) in _groups(batches):
         if group != held:
-            held, texts, block = group, [], None
+            held, texts, block, last = group, [], None, None
             if len(found) >= 10_000:
                 yield _links(found)
                 found = {}
         if side == 0:
-            texts.append(text.as_py())
+            # Rows that repeat an id stand together: a text counts once.
+            if (i, said := text.as_py()) != last:
+                texts.append(said)
+                last = i, said
             continue
         if not texts or (group[0], v) in found:
             continue
@@ -382,6 +325,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _links(found)
 
 
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_ROW, text) without those that a task met before, as far as it remembers them: an id that many rows repeat sends a
+    text once a task."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for row, text in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.column(len(_ROW)), strict=True):
+            row = *row, xxhash.xxh3_128_digest(text.as_buffer())
+            keep.append(row not in seen)
+            seen.add(row)
+        if len(seen) > KNOWN:
+            seen.clear()
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _links(found: dict[tuple[int, int], None]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
@@ -413,7 +371,8 @@ def _linking(wanted: DataFrame, indexed: DataFrame, read: DataFrame, docs: DataF
     small = reach.count() <= BROADCAST_ROWS
     texts = docs.filter("_text is not null").withColumnRenamed("_id", "_x").join(F.broadcast(reach) if small else reach, F.col("_x") == F.col("_id"))
     with small_batches(docs.sparkSession):
-        return scratch.written(met(texts.select(*_ROW, "_text")).mapInArrow(_verify, "u long, v long"), "links")
+        texts = texts.select(*_ROW, "_text").mapInArrow(_fresh, f"{_WANTED}, _text string")
+        return scratch.written(met(texts).mapInArrow(_verify, "u long, v long"), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -155,18 +155,29 @@ def _marked(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.R
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array([np.packbits(r).tobytes() for r in rows], pa.binary())], ["_lang", "_n", "_bits"])
 
 
+def answers(keep: list[str]) -> list[str]:
+    """The names of the new columns beside those that are kept: lang_pred, score and held_out, with underscores after them where
+    a kept column has the name."""
+    out = []
+    for name in ("lang_pred", "score", "held_out"):
+        while name in keep:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(*keep, lang_pred, score) for each row of ``df``; of ``keep``, names that clash with the new ones are refused.
+    """(*keep, lang_pred, score) for each row of ``df``, the new names as ``answers`` gives them.
     ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter, or if there is no model. ``score`` is
     the best ridge score moved from [-1, 1] to [0, 1]. Every row is judged by its own text, so repeated rows get the
     same answer; no row moves."""
-    if {"lang_pred", "score"} & set(keep):
-        raise ValueError("keep must not name lang_pred or score")
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    lang_name, score_name, _ = answers(keep)
+    has_letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return df.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return df.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias(lang_name), F.lit(0.0).alias(score_name))
     named = keep if text_col in keep else [*keep, text_col]
     at, kinds = named.index(text_col), dict(df.dtypes)
+    own = [f"c{n}" for n in range(len(keep))]  # names of the rows on their way, whatever the columns are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(model.keys)
@@ -180,15 +191,17 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
             best = scores.argmax(1)
             top = np.clip((scores[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(np.float64)
             lang = pa.array([model.langs[b] if fine else "und" for b, fine in zip(best, told, strict=True)], pa.string())
-            yield pa.record_batch([*part.columns[: len(keep)], lang, pa.array(np.where(told, top, 0.0))], [*keep, "lang_pred", "score"])
+            yield pa.record_batch([*part.columns[: len(keep)], lang, pa.array(np.where(told, top, 0.0))], [*own, "lang", "score"])
 
-    rows = df.select(*named, has_letter.alias("_letter"))
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(named)], has_letter.alias("letter"))
+    out = rows.mapInArrow(run, ", ".join([*(f"{o} {kinds[c]}" for o, c in zip(own, keep, strict=True)), "lang string", "score double"]))
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, keep, strict=True)], F.col("lang").alias(lang_name), F.col("score").alias(score_name))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """``predict`` on all of ``df`` with the model of its rows that are not held out, and ``held_out``. ``keep`` names
     the columns to carry besides the answers, by default the id alone; the id must be among them."""
     learn = df.filter(~F.coalesce(held_out(F.col(id_col)), F.lit(True)))
-    out = predict(df, fit(learn, id_col, text_col, lang_col), keep or [id_col], text_col)
-    return out.withColumn("held_out", F.coalesce(held_out(F.col(id_col)), F.lit(False)))
+    keep = keep or [id_col]
+    out = predict(df, fit(learn, id_col, text_col, lang_col), keep, text_col)
+    return out.withColumn(answers(keep)[2], F.coalesce(held_out(F.col(id_col)), F.lit(False)))

@@ -55,16 +55,21 @@ def mix(df: DataFrame, seed: int = 17, source_col: str = "source", id_col: str =
     Rows with a null source are a source of their own; a null id hashes as the empty string, and rows
     that repeat an id all get the same count. An empty table gives no rows.
     """
-    rate_col, copy_col = (c + "_" * (c in df.columns) for c in ("rate", "copy"))
+    names = ["rate", "copy"]
+    for n, name in enumerate(names):
+        while name in df.columns:
+            name += "_"
+        names[n] = name
     by_source = written(rates(df, source_col, weights, power, total), "rates")
     if (by_source.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= BROADCAST_ENTRIES:
         by_source = F.broadcast(by_source)
-    u = uniform(seed, F.col(id_col))
-    counted = df.join(by_source.withColumnRenamed("rate", "_rate"), F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_u", u)
+    # A row travels as one column, so that no name of its columns meets those used here.
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(source_col).alias("_key"), F.col(id_col).alias("_id"), uniform(seed, F.col(id_col)).alias("_u"))
+    counted = packed.join(by_source, F.col("_key").eqNullSafe(F.col("_source")))
     # How many values of the distribution are not above u, by its last place among them: a lambda over columns of both sides
     # of the join is pushed to one of them.
     above = F.array_position(F.reverse(F.sort_array(F.array_append("_cdf", F.col("_u")))), F.col("_u")) - 1
-    counted = counted.withColumn("_k", (F.size("_cdf") - above).cast("int"))
-    copies = counted.filter("_k > 0").select(*[df[c] for c in df.columns], F.col("_rate").alias(rate_col), F.explode(F.sequence(F.lit(1), F.col("_k"))).alias(copy_col))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col))
-    return copies.withColumn("_order", key).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    counted = counted.withColumn("_n", (F.size("_cdf") - above).cast("int")).filter("_n > 0")
+    copies = counted.select("_row", "_id", "rate", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    dealt = copies.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy"))).repartition("_order").sortWithinPartitions("_order")
+    return dealt.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], F.col("rate").alias(names[0]), F.col("_copy").alias(names[1]))

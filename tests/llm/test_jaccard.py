@@ -153,3 +153,22 @@ def test_shared_entries_across_batches():
         parts = [whole.slice(i, size) for i in range(0, 11, size)]
         got = [(r["_h"], r["_key"]) for b in J._shared(iter(parts)) for r in b.to_pylist()]
         assert got == want, size
+
+
+def test_words_of_two_letters_in_turn(spark):
+    """Polynomial hashes modulo a power of two confuse these words."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    assert not set(J.shingle_set(word)) & set(J.shingle_set(other))
+    df = spark.createDataFrame([(1, word), (2, other), (3, f"x y z u {word}"), (4, f"x y z u {other}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in J.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_an_id_of_many_rows(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(["first", *words[1:]]), " ".join([*words[:-1], "last"])]
+    df = spark.createDataFrame([(5, texts[k % 2]) for k in range(10_000)] + [(3, texts[2]), (9, "something else that is not like it")], "doc_id long, text string").repartition(8)
+    got = {(r["doc_id"], r["component_id"]) for r in J.near_duplicates(df).collect()}
+    assert got == {(5, 3), (3, 3), (9, 9)}
