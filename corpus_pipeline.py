@@ -33,12 +33,12 @@ def _by_row(docs: DataFrame, kept: DataFrame, sha: Column, once: bool) -> DataFr
     """``docs`` whose id and text digest ``sha`` are among ``kept`` (columns _keep, _sha). With ``once``, of the rows
     that have an id and a digest in common the one with the smallest text and other columns stays."""
     kept = kept.distinct()
-    marked = docs.withColumn("_s", sha)
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep"]) & (marked["_s"] == kept["_sha"]), "left_semi")
+    # A row travels as one column, so that no name of its columns meets those used here.
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"), sha.alias("_s"))
+    found = marked.join(kept, F.col("_i").eqNullSafe(F.col("_keep")) & (F.col("_s") == F.col("_sha")), "left_semi")
     if once:
-        order = Window.partitionBy("doc_id", "_s").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        found = found.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    return found.select(*docs.columns)
+        found = found.withColumn("_r", F.row_number().over(Window.partitionBy("_i", "_s").orderBy("_t", "_row"))).filter("_r = 1")
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _split(docs: DataFrame, ids: DataFrame, repeated: DataFrame, kept: DataFrame, sha: Column, once: bool) -> DataFrame:
@@ -55,7 +55,8 @@ def _digest(text: Column) -> Column:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without any letter, or without text, go. Each row goes by its own text,
     where it is read: nothing is joined."""
-    return langid.identify(docs, keep=docs.columns).filter("lang_pred <> 'und'").select(*docs.columns)
+    told = langid.identify(docs, keep=docs.columns)
+    return told.filter(F.col(langid.answers(docs.columns)[0]) != "und").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
