@@ -226,14 +226,15 @@ def merged_classes(shards: list[np.ndarray], depth: int) -> np.ndarray:
 def repeated_windows(items: list[tuple[tuple[int, int], int, int, bytes]], length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
     """Rows (document, ordinal, start) of the windows that also start earlier, of items ((document, ordinal), start,
     windows after the first, bytes)."""
-    shards, at, size = [[]], [], 0
-    for key, s, e, b in items:
-        if size > shard:
-            shards.append([])
-            size = 0
-        shards[-1].append(b)
-        size += len(b) + 1
+    # Documents are dealt to shards, so that what documents have in common meets where transforms are merged.
+    count = -(-sum(len(b) + 1 for *_, b in items) // shard)
+    dealt = [hash(key) % count for key, *_ in items]
+    shards, at = [[] for _ in range(count)], []
+    for n in sorted(range(len(items)), key=dealt.__getitem__):
+        key, s, e, b = items[n]
+        shards[dealt[n]].append(b)
         at.append((*key, s, e, len(b) + 1))
+    shards = [parts for parts in shards if parts]
     joined = [np.frombuffer(bytes([SEPARATOR]).join([*parts, b""]), np.uint8) for parts in shards]
     label = merged_classes(joined, length)
     doc, ordinal, s, e, sizes = np.array(at, np.int64).T
