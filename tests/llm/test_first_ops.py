@@ -200,8 +200,9 @@ def test_language_id_odd_tables(spark):
     assert all((r["lang_pred"] == "und") == (r["text"] == "") for r in got)
     sample = langid.sample_of(df).collect()
     assert {r["_lang"] for r in sample} == {r[2] for r in rows if r[2]} and sum(r["_lang"] == "en" for r in sample) == 3
-    with pytest.raises(ValueError):
-        langid.identify(df.withColumnRenamed("lang_pred_", "score"), keep=["doc_id", "score"])
+    # A kept column keeps its name, and the answer gets another one.
+    clash = langid.identify(df.withColumnRenamed("lang_pred_", "score"), keep=["doc_id", "score"])
+    assert clash.columns == ["doc_id", "score", "lang_pred", "score_", "held_out"]
 
 
 def test_grams_find_what_occurs():
