@@ -80,9 +80,10 @@ def _counted(docs: DataFrame, wanted: set[str] | None, keys: tuple[str, ...] = (
     return spread(docs.select(*keys, "text")).select(*keys, tokens(F.col("text")).alias("_t")).mapInArrow(run, f"{kinds}, len long, n_terms long, terms array<string>, tfs array<long>")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = False, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = False, k1: float = 1.5, b: float = 0.75, pool: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) for ``queries`` (query_id, query), over stems and pairs of CJK characters. Query
-    terms count once; the length is the terms of a text, or its distinct ones.
+    terms count once; the length is the terms of a text, or its distinct ones. With a ``pool``, only the so many texts that hold a query's
+    terms most often (ties to the smaller id) are ranked for it; statistics are those of all texts.
 
     Texts are read once: what is kept of each is a row with its lengths and its counts of query terms, made where the text
     is read; document frequencies, means and scores come from there."""
@@ -98,7 +99,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, distinct_len: bool = F
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col(length) / F.col(mean)))
     # The statistics are one row.
-    scored = hits.join(df, "term").join(sized(terms), "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hits.join(df, "term").join(sized(terms), "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.sum("tf").alias("_held"))
+    if pool is not None:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_held"), "doc_id"))
+        scored = scored.withColumn("_place", place).filter(F.col("_place") <= pool)
     return top_k(scored.filter("score > 0"), k)
 
 

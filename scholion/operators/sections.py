@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.functions.text import SPACE, truncate
@@ -11,32 +15,49 @@ from scholion.operators.terms import candidates, good_sentence
 HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t#]*$"
 
 
+_HEADING, _FENCE, _BLANK = re.compile(HEADING), re.compile(r"[ \t]*(```|~~~)"), " \t\n\r\f"
+
+
+def cut(text: str) -> Iterator[tuple[int, str | None, str]]:
+    """(seq, section, content) of a text cut before its headings, outside code fences; parts without content are left out."""
+    seq, fenced, section, body = 0, False, None, []
+    open_: dict[int, str] = {}
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if _FENCE.match(line):
+            fenced = not fenced
+        found = None if fenced else _HEADING.match(line)
+        if found:
+            if content := "\n".join(body).strip(_BLANK):
+                yield seq, section, content
+            level, body = len(found[1]), []
+            # A heading closes those of its level and below.
+            open_ = {k: name for k, name in open_.items() if k < level} | {level: found[2]}
+            below = [name for k, name in open_.items() if k > 1 and name]
+            section = " › ".join(below[-2:]) if below else open_.get(1) or None
+            section, seq = section and section[:300], seq + 1
+        body.append(line)
+    if content := "\n".join(body).strip(_BLANK):
+        yield seq, section, content
+
+
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, section_seq, section, content): a text cut before its headings, outside code fences.
 
     ``section`` joins the last two headings below the top level that are open, or is the top one; null before any
-    heading. ``content`` holds the heading's line too and is trimmed; sections without content are left out.
+    heading. ``content`` holds the heading's line too and is trimmed; sections without content are left out. A text is cut where it
+    is read, in one pass over its lines; a null text has no sections, and rows that repeat an id are cut each.
     """
-    at = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = docs.select(id_col, F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n"), "\n")).alias("_pos", "_line"))
-    lines = lines.withColumn("_fenced", F.sum(F.col("_line").rlike("^[ \t]*(```|~~~)").cast("int")).over(at) % 2 == 1)
-    lines = lines.withColumn("_level", F.when(~F.col("_fenced") & F.col("_line").rlike(HEADING), F.length(F.regexp_extract("_line", HEADING, 1))))
-    lines = lines.withColumn("section_seq", F.count("_level").over(at)).withColumn("_name", F.nullif(F.regexp_extract("_line", HEADING, 2), F.lit("")))
-    body = lines.groupBy(id_col, "section_seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"]), "\n").alias("content"))
-
-    # The open heading of a level is its last one, unless a higher one came later.
-    heads = lines.filter("_level is not null")
-    for k in range(1, 7):
-        heads = heads.withColumn(f"_h{k}", F.last(F.when(F.col("_level") == k, F.struct("_pos", "_name")), ignorenulls=True).over(at))
-    higher, below = F.coalesce(F.col("_h1._pos"), F.lit(-1)), []
-    for k in range(2, 7):
-        below.append(F.when(F.col(f"_h{k}._pos") > higher, F.col(f"_h{k}._name")))
-        higher = F.greatest(higher, F.coalesce(F.col(f"_h{k}._pos"), F.lit(-1)))
-    opened = F.filter(F.array(*below), lambda x: x.isNotNull())
-    last = F.slice(opened, F.greatest(F.size(opened) - 1, F.lit(1)), 2)
-    heads = heads.select(id_col, "section_seq", F.left(F.when(F.size(opened) > 0, F.array_join(last, " › ")).otherwise(F.col("_h1._name")), F.lit(300)).alias("section"))
-    out = body.join(heads, [id_col, "section_seq"], "left").withColumn("content", F.regexp_replace("content", rf"^{SPACE}+|{SPACE}+$", ""))
-    return out.filter("content <> ''").select(id_col, "section_seq", "section", "content")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                rows = list(cut(batch.column(1)[n].as_py() or ""))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                    yield pa.record_batch([pa.repeat(batch.column(0)[n], len(rows)), *columns], [id_col, "section_seq", "section", "content"])
+
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, section_seq bigint, section string, content string")
 
 
 def content_limits(pages: DataFrame, doc: str, text: str, most_pages: int, most_chars: int) -> DataFrame:

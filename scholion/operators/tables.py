@@ -78,3 +78,9 @@ def failures_since_success(events: DataFrame, key: str, ts: str, failed: Column,
     epoch = events.withColumn("_e", F.sum(succeeded.cast("int")).over(order))
     run = Window.partitionBy(key, "_e").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return epoch.withColumn("failures", F.sum(failed.cast("long")).over(run)).select("event_id", key, "failures")
+
+
+def totals(rows: DataFrame, count: str) -> DataFrame:
+    """One row: how many ``rows`` there are, as ``count``, and the sum of each of their numbers, zero without rows."""
+    numbers = [c for c, kind in rows.dtypes if kind in ("int", "bigint", "double", "float") or kind.startswith("decimal")]
+    return rows.agg(F.count(F.lit(1)).alias(count), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers])

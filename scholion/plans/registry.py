@@ -127,6 +127,16 @@ def bm25_distinct_len_topk(spark, sf):
     return search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), distinct_len=True)
 
 
+_POOL_SQL = _bm25_sql("n_terms", "avg_terms", 5).replace("round(sum(ln(", "sum(tf) AS held, round(sum(ln(")
+_POOL_SQL = _POOL_SQL.replace("FROM r WHERE score > 0", "FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY held DESC, doc_id) <= 200) WHERE score > 0")
+
+
+@query(f"WITH {_POOL_SQL} SELECT * FROM ranked")
+def bm25_pool_topk(spark, sf):
+    # The pool of a search for 5: the greater of 5 * 5 and 200.
+    return search.bm25(table(spark, sf, "documents"), _benchmark(spark, sf), distinct_len=True, pool=200)
+
+
 def _scoped_sql(asked: str, looked_at: str) -> str:
     """BM25 where each query looks at documents of its own: ``looked_at`` (query_id, doc_id)."""
     return f"""WITH t AS MATERIALIZED (SELECT *, len(t) AS len FROM (SELECT doc_id, source, {_KEYWORDS} AS t FROM (SELECT doc_id, source, {stemmed('text')} AS s FROM documents))),
@@ -302,6 +312,11 @@ def scope_stats(spark, sf):
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("ready"), F.coalesce(F.sum("_c"), F.lit(0)).alias("total_chars"))
 
 
+@query(f"SELECT count(*) AS scopes, sum(documents)::BIGINT AS documents, sum(labelled)::BIGINT AS labelled, sum(ready)::BIGINT AS ready, sum(total_chars)::BIGINT AS total_chars FROM ({SQL['scope_stats']})")
+def dashboard_totals(spark, sf):
+    return tables.totals(scope_stats(spark, sf), "scopes")
+
+
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0.0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def user_counts(spark, sf):
     orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("t"))
