@@ -118,7 +118,7 @@ def word_position(text: Column, term: Column) -> Column:
     """Where ``term`` first stands in ``text`` with no letter, digit or underscore beside it, ASCII case aside, counted from 1; null if
     it does not, or if either is null or the term empty."""
     literal = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    before = F.regexp_substr(text, F.concat(F.lit(r"(?is)^.*?(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])")))
+    before = F.regexp_substr(text, F.concat(F.lit(r"(?is)^.*?(?="), literal, F.lit(r")(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])")))
     return F.when(term != "", F.length(before) - F.length(term) + 1)
 
 
