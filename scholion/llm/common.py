@@ -9,12 +9,12 @@ from contextlib import contextmanager
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholion.functions.batches import slices  # noqa: F401 (operators take it from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,20 +71,6 @@ class Scratch:
         self.paths = []
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, in order, with at most ``most`` bytes (or list entries) of a column and ``rows`` rows each (a
-    row at least), so that memory stays bounded however uneven the texts are."""
-    values = batch.column(column)
-    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
-    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
-    ends, start = np.cumsum(sizes, dtype=np.int64), 0
-    while start < batch.num_rows:
-        before = int(ends[start - 1]) if start else 0
-        end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = 1 << 20
 

@@ -9,9 +9,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.functions.batches import slices
 from scholion.functions.text import tokens, truncate
 from scholion.functions.words import KANA, keyword_tokens, stem_word
 from scholion.sources.scratch import spread, stored
@@ -24,8 +26,8 @@ LOOKED_UP = 20_000
 QUERY_ROWS, CELLS = 10_000, 1 << 22
 #: Rows of a block of dense vectors.
 BLOCK_ROWS = 2_000
-#: Features whose place a task remembers.
-KNOWN = 200_000
+#: Words of texts that a task has in Python at once, a text at least, and rows of vectors that it makes dense.
+WORDS, DENSE_ROWS = 1 << 17, 512
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -46,15 +48,20 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def _stems(words: list[str], known: dict[str, str]) -> list[str]:
-    """Stems of words, by a table of those met before."""
-    if len(known) > KNOWN:
-        known.clear()
-    return [known.get(w) or known.setdefault(w, stem_word(w)) for w in words]
+def _stemmed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Pieces of batches with a bounded number of words, and the stems of each of their texts; a word is stemmed once in a
+    piece, and its stem is one string there."""
+    for part in (part for batch in batches for part in slices(batch, column, WORDS)):
+        lists = part.column(column)
+        codes = lists.flatten().dictionary_encode()
+        stems = [stem_word(w) for w in codes.dictionary.to_pylist()]
+        words = list(map(stems.__getitem__, codes.indices.to_numpy().tolist()))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+        yield part, [words[start:end] for start, end in pairwise([0, *ends])]
 
 
-def _pairs(words: list[str]) -> Iterator[str]:
-    return (a + b for a, b in pairwise(words) if a >= KANA and b >= KANA)
+def _pairs(words: list[str]) -> list[str]:
+    return [a + b for a, b in pairwise(words) if a >= KANA and b >= KANA] if words and max(words) >= KANA else []
 
 
 def _counted(docs: DataFrame, wanted: set[str] | None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -63,11 +70,9 @@ def _counted(docs: DataFrame, wanted: set[str] | None, keys: tuple[str, ...] = (
     kinds = ", ".join(f"{k} {dict(docs.dtypes)[k]}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
-        for batch in batches:
+        for batch, texts in _stemmed(batches, len(keys)):
             sizes, distinct, terms, tfs = [], [], [], []
-            for words in batch.column(len(keys)):
-                words = _stems(words.as_py(), known)
+            for words in texts:
                 counts = Counter(words)
                 counts.update(_pairs(words))
                 sizes.append(sum(counts.values()))
@@ -115,35 +120,29 @@ def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "
     """(id, dims, weights): signed feature hashing of stems, their pairs and the pairs of CJK characters, weight
     1 + ln(tf), unit length; a text without features has no row. All of a text's features are counted where it is read."""
     kind = dict(docs.dtypes)[id_col]
+    return _words(docs, id_col, text).mapInArrow(lambda batches: _embedded(batches, dim), f"id {kind}, dims array<int>, weights array<double>")
+
+
+def _words(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))).select("id", tokens(F.col("_text")).alias("_t"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
-        stemmed: dict[str, str] = {}
-
-        def place(f: str) -> tuple[int, float]:
-            digest = hashlib.md5(f.encode()).hexdigest()
-            if len(known) >= KNOWN:
-                known.clear()
-            known[f] = at = int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0
-            return at
-
-        for batch in batches:
-            ids, dims, weights = [], [], []
-            for n, words in enumerate(batch.column(1)):
-                words = _stems(words.as_py(), stemmed)
-                w, used = np.zeros(dim), set()
-                for f, tf in Counter([*words, *_pairs(words), *(f"{a}_{b}" for a, b in pairwise(words))]).items():
-                    at, sign = known.get(f) or place(f)
-                    used.add(at)
-                    w[at] += sign * (1 + np.log(tf)) if tf > 1 else sign
-                length = np.sqrt((w * w).sum())
-                if length > 0:
-                    ids.append(n)
-                    dims.append(sorted(used))
-                    weights.append(w[dims[-1]] / length)
-            yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(dims, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "dims", "weights"])
-
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))).select("id", tokens(F.col("_text")).alias("_t")).mapInArrow(run, f"id {kind}, dims array<int>, weights array<double>")
+
+def _embedded(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for batch, texts in _stemmed(batches, 1):
+        ids, dims, weights = [], [], []
+        for n, words in enumerate(texts):
+            counts = Counter([*words, *_pairs(words), *(f"{a}_{b}" for a, b in pairwise(words))])
+            # Of a feature's digest the first four bytes give its place, the next half byte its sign.
+            digests = np.frombuffer(b"".join([hashlib.md5(f.encode()).digest() for f in counts]), np.uint8).reshape(-1, 16)
+            at = digests[:, :4].copy().view(">u4").ravel() % dim
+            tfs = np.fromiter(counts.values(), float, len(counts))
+            w = np.bincount(at, np.where(digests[:, 4] < 128, 1.0, -1.0) * (1 + np.log(tfs)), dim)
+            length = np.sqrt((w * w).sum())
+            if length > 0:
+                ids.append(n)
+                dims.append(np.unique(at).astype(np.int32))
+                weights.append(w[dims[-1]] / length)
+        yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(dims, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "dims", "weights"])
 
 
 def hash_embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,38 +179,57 @@ def sparse_cosine(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int =
     """(query_id, rank, doc_id, score): the k nearest rows of ``chunks`` to each of ``queries``, both as ``embed`` gives
     them. Query vectors are packed into matrices of a bounded number of rows, each of which meets all texts in one pass; a
     task keeps the k best for each of them, so that nothing else is shuffled."""
+    queries, blocks = _query_blocks(queries)
+    chunks = stored(chunks, "vectors") if len(blocks) > 1 else chunks
+    return _best_of([_nearest(chunks, block, k, dim) for block in blocks], k)
+
+
+def text_cosine(docs: DataFrame, queries: DataFrame, k: int = 5, dim: int = 384, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``sparse_cosine`` of the texts of ``docs``: a text becomes a vector and meets the queries in the same Python worker, so that
+    vectors are not kept. Beyond one matrix of queries they are, and computed once."""
+    queries, blocks = _query_blocks(queries)
+    if len(blocks) > 1:
+        return sparse_cosine(embed(docs, dim, id_col, text), queries, k, dim)
+    return _best_of([_nearest(_words(docs, id_col, text), blocks[0], k, dim, lambda batches: _embedded(batches, dim))], k)
+
+
+def _query_blocks(queries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Query vectors, computed once, and in parts of some ``QUERY_ROWS``."""
     queries = stored(queries, "query-vectors")
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    chunks = stored(chunks, "vectors") if blocks > 1 else chunks
-    parts = [_nearest(chunks, queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), k, dim) for n in range(blocks)]
+    return queries, [queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n) for n in range(blocks)]
+
+
+def _best_of(parts: list[DataFrame], k: int) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     return top_k(found, k)
 
 
-def _nearest(chunks: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+def _nearest(chunks: DataFrame, queries: DataFrame, k: int, dim: int, embedded=None) -> DataFrame:
     asked = queries.select("id", "dims", "weights").toArrow()
     ids = asked.column("id").to_numpy()
     matrix = _dense(asked.column("dims"), asked.column("weights"), dim).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        rows = max(64, CELLS // max(1, len(ids)))
-        for part in (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows)):
+        rows = max(64, min(DENSE_ROWS, CELLS // max(1, len(ids))))
+        given = embedded(batches) if embedded else batches
+        for part in (batch.slice(at, rows) for batch in given for at in range(0, batch.num_rows, rows)):
             own = part.column(0).to_numpy()
             scores = np.round(_dense(part.column(1), part.column(2), dim) @ matrix, 6) + 0.0
-            for n in range(len(ids)):
-                s, i = np.concatenate([best[n][0], scores[:, n]]), np.concatenate([best[n][1], own])
-                if len(s) > k:
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, i = s[keep], i[keep]
+            # Only what is as good as the last of a query's k can be among them.
+            least = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best])
+            for n in np.flatnonzero((scores >= least).any(0)).tolist():
+                new = np.flatnonzero(scores[:, n] >= least[n])
+                s, i = np.concatenate([best[n][0], scores[new, n]]), np.concatenate([best[n][1], own[new]])
                 order = np.lexsort((i, -s))[:k]
                 best[n] = s[order], i[order]
         if len(ids):
             yield pa.record_batch({"query_id": np.repeat(ids, [len(s) for s, _ in best]), "doc_id": np.concatenate([i for _, i in best]), "score": np.concatenate([s for s, _ in best])})
 
-    return chunks.select(F.col("id").cast("long").alias("id"), "dims", "weights").mapInArrow(run, "query_id long, doc_id long, score double")
+    return chunks.withColumn("id", F.col("id").cast("long")).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _dense(dims: pa.Array | pa.ChunkedArray, weights: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:

@@ -206,7 +206,7 @@ def _sparse_sql(k: int) -> str:
 
 
 def _vectors(spark, sf, k):
-    return search.sparse_cosine(search.embed(table(spark, sf, "documents")), search.embed(_benchmark(spark, sf), id_col="query_id", text="query"), k)
+    return search.text_cosine(table(spark, sf, "documents"), search.embed(_benchmark(spark, sf), id_col="query_id", text="query"), k)
 
 
 @query(f"WITH {_QUERIES}, {_sparse_sql(5)} SELECT * FROM vec")
