@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from scholion.functions.text import SPACE, first_line_heading
 from scholion.functions.words import clean_option, stem, truth
+from scholion.operators.search import sized
 from scholion.operators.sections import summary
 from scholion.operators.terms import candidates, good_sentence
 
 #: A sentence in pieces: words that can be terms, and single characters.
-PIECE = r"[A-Za-z][A-Za-z\-]{3,}|(?s)."
+WORD = r"[A-Za-z][A-Za-z\-]{3,}"
+PIECE = rf"{WORD}|(?s)."
 BLANK = "_____"
 
 
@@ -30,14 +32,27 @@ def _digest(*parts: Column | str) -> Column:
 
 def term_sentences(docs: DataFrame, terms: DataFrame, scope: str, id_col: str = "doc_id", text: str = "text", ranks: int = 60) -> DataFrame:
     """(scope, id, pos, term, at, pieces, line): good sentences with the term of theirs, each term of a scope once.
-    ``terms`` are (scope, rank, term), few for a scope; sentences meet them by word."""
+    ``terms`` are (scope, rank, term), few for a scope, which sentences meet as one array; only the sentences that are
+    left are cut into pieces."""
     lines = docs.select(scope, id_col, F.posexplode(candidates(F.col(text))).alias("pos", "line")).filter(good_sentence(F.col("line")))
-    words = lines.withColumn("pieces", F.regexp_extract_all("line", F.lit(PIECE), F.lit(0))).select(scope, id_col, "pos", "line", "pieces", F.posexplode("pieces").alias("at", "_w")).filter(F.length("_w") >= 4)
-    known = terms.filter(F.col("rank") <= ranks).select(F.col(scope).alias("_scope"), F.col("term"), F.col("rank").alias("_rank"))
-    met = words.join(known, F.col(scope).eqNullSafe(F.col("_scope")) & (F.lower("_w") == F.col("term")))
-    best = met.groupBy(scope, id_col, "pos").agg(F.min(F.struct("_rank", "at", "term", "line", "pieces")).alias("b")).select(scope, id_col, "pos", "b.*")
-    own = best.groupBy(scope, "term").agg(F.min(F.struct(_digest(id_col, "pos").alias("_d"), F.col(id_col), F.col("pos"), F.col("at"), F.col("line"), F.col("pieces"))).alias("b"))
-    return own.select(scope, "term", *[F.col(f"b.{c}").alias(c) for c in (id_col, "pos", "at", "line", "pieces")])
+    ranked = F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("term"))))
+    known = terms.filter(F.col("rank") <= ranks).groupBy(F.col(scope).alias("_scope")).agg(ranked.alias("_k")).select("_scope", "_k.term", F.col("_k.rank").alias("_ranks")).withColumnRenamed("term", "_terms")
+    words = F.transform(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), F.lower)
+    met = lines.join(sized(known), F.col(scope).eqNullSafe(F.col("_scope")))
+    # The intersection keeps the order of the terms, so the first of it has the best rank; a generator computes it once.
+    met = met.select(scope, id_col, "pos", "line", "_terms", "_ranks", F.explode(F.slice(F.array_intersect("_terms", words), 1, 1)).alias("term"))
+    met = met.withColumn("_rank", F.get("_ranks", (F.array_position("_terms", F.col("term")) - 1).cast("int")))
+    best = met.groupBy(scope, id_col, "pos").agg(F.min(F.struct("_rank", "term", "line")).alias("b")).select(scope, id_col, "pos", "b.term", "b.line")
+    own = best.groupBy(scope, "term").agg(F.min(F.struct(_digest(id_col, "pos").alias("_d"), F.col(id_col), F.col("pos"), F.col("line"))).alias("b"))
+    own = own.select(scope, "term", *[F.col(f"b.{c}").alias(c) for c in (id_col, "pos", "line")]).withColumn("pieces", F.regexp_extract_all("line", F.lit(PIECE), F.lit(0)))
+    return own.withColumn("at", (F.array_position(F.transform("pieces", F.lower), F.col("term")) - 1).cast("int")).select(scope, "term", id_col, "pos", "at", "line", "pieces")
+
+
+def key_ideas(docs: DataFrame, scope: str) -> DataFrame:
+    """(scope, doc_id, head, idea): the first line and the summary of the texts that have both. A generator gives the summary, so
+    that it is computed once, and only where there is a heading."""
+    heads = docs.select(scope, "doc_id", first_line_heading(F.col("text")).alias("head"), "text").filter("head is not null")
+    return heads.select(scope, "doc_id", "head", F.explode(F.filter(F.array(summary(F.col("text"))), lambda s: s != "")).alias("idea"))
 
 
 def with_piece(pieces: Column, at: Column, by: Column) -> Column:
@@ -82,8 +97,7 @@ def short_answers(defined: DataFrame, docs: DataFrame, scope: str) -> DataFrame:
     """(scope, doc_id, prompt, options, answer): what a defined term is, or the key idea of a text with a heading."""
     none = F.array().cast("array<string>").alias("options")
     terms = defined.select(scope, "doc_id", F.concat(F.lit("In your own words, what is "), "term", F.lit("?")).alias("prompt"), none, F.col("definition").alias("answer"))
-    heads = docs.select(scope, "doc_id", first_line_heading(F.col("text")).alias("_h"), summary(F.col("text")).alias("answer")).filter("_h is not null and answer <> ''")
-    return terms.unionByName(heads.select(scope, "doc_id", F.concat(F.lit("Summarize the key idea of “"), "_h", F.lit("”.")).alias("prompt"), none, "answer"))
+    return terms.unionByName(key_ideas(docs, scope).select(scope, "doc_id", F.concat(F.lit("Summarize the key idea of “"), "head", F.lit("”.")).alias("prompt"), none, F.col("idea").alias("answer")))
 
 
 def mixed(kinds: list[tuple[str, DataFrame]], scope: str, most: int) -> DataFrame:
@@ -105,7 +119,7 @@ def cards(defined: DataFrame, sentences: DataFrame, docs: DataFrame, scope: str,
     made = [
         defined.select(scope, F.lit(0).alias("_p"), "doc_id", F.concat(F.lit("What is "), "term", F.lit("?")).alias("front"), F.col("definition").alias("back")),
         sentences.select(scope, F.lit(1).alias("_p"), "doc_id", F.concat(F.lit("Fill in the blank: "), with_piece(F.col("pieces"), F.col("at"), F.lit(BLANK))).alias("front"), F.col("term").alias("back")),
-        docs.select(scope, F.lit(2).alias("_p"), "doc_id", F.concat(F.lit("Key idea: "), first_line_heading(F.col("text"))).alias("front"), summary(F.col("text")).alias("back")).filter("front is not null and back <> ''"),
+        key_ideas(docs, scope).select(scope, F.lit(2).alias("_p"), "doc_id", F.concat(F.lit("Key idea: "), "head").alias("front"), F.col("idea").alias("back")),
     ]
     once = made[0].unionByName(made[1]).unionByName(made[2]).groupBy(scope, F.lower("front").alias("_f")).agg(F.min(F.struct("_p", "doc_id", "front", "back")).alias("b")).select(scope, "b.*")
     place = F.row_number().over(Window.partitionBy(scope).orderBy("_p", "doc_id", "front"))

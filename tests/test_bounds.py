@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from scholion.operators import search
+from scholion.operators import quiz, search, terms
 
 
 def plan_of(df):
@@ -28,3 +28,22 @@ def test_texts_meet_queries_in_one_worker(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_ROWS", 1)
     monkeypatch.setattr(search, "DENSE_ROWS", 7)
     assert {tuple(r) for r in search.text_cosine(docs, asked, 4).collect()} == want
+
+
+def test_sentences_are_cut_and_patterns_tried_once(spark):
+    docs = spark.createDataFrame([(1, "s", "Heaps are trees that keep the least of their keys on top of all. A heap is a tree for queues of urgent work.")], "doc_id long, source string, text string")
+    ranked = spark.createDataFrame([("s", 1, "queues"), ("s", 2, "trees"), ("s", 3, "heaps")], "source string, rank long, term string")
+    found = quiz.term_sentences(docs, ranked, "source")
+    assert "posexplode(pieces" not in plan_of(found)
+    assert {(r["pos"], r["term"], r["pieces"][r["at"]]) for r in found.collect()} == {(0, "trees", "trees"), (1, "queues", "queues")}
+    defined = terms.definitions(docs)
+    assert plan_of(defined).count("is defined as") <= 3
+    assert sorted((r["term"], r["definition"]) for r in defined.collect()) == [("Heaps", "Trees that keep the least of their keys on top of all"), ("heap", "A tree for queues of urgent work")]
+
+
+def test_only_hit_texts_are_joined(spark):
+    docs = spark.createDataFrame([(n, f"text {n}") for n in range(50)], "doc_id long, text string")
+    hits = spark.createDataFrame([(1, 3), (2, 3), (2, 44), (2, 99)], "query_id long, doc_id long")
+    found = search.hit_texts(docs, hits)
+    assert "BroadcastHashJoin" in plan_of(found) and "LeftSemi" in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == [(3, "text 3"), (44, "text 44")]
