@@ -352,12 +352,17 @@ def fuse(rankings: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
     return top_k(by, k, [F.desc("score"), F.asc_nulls_last("_v"), F.asc_nulls_last("_k"), F.asc("doc_id")])
 
 
+def hit_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``hits`` name by doc_id; the texts of others stay where they are read."""
+    return docs.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def result_rows(hits: DataFrame, docs: DataFrame, scores: DataFrame, limit: int = 320, decimals: int = 4) -> DataFrame:
     """(query_id, index, doc_id, attributes of ``docs``, snippet, score, vector_score, keyword_score): ranked ids as rows
     to show. Only documents that were hit are looked at; ``scores`` are the rankings (query_id, source, doc_id, score)."""
     raw = scores.groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("source") == s, F.col("score"))).alias(f"{s}_score") for s in ("vector", "keyword")])
     found = hits.join(raw, ["query_id", "doc_id"], "left")
-    named = docs.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("snippet", truncate(F.col("text"), limit)).drop("text")
+    named = hit_texts(docs, hits).withColumn("snippet", truncate(F.col("text"), limit)).drop("text")
     rounded = [(F.floor(F.col(c) * 10**decimals + 0.5) / 10**decimals).alias(c) for c in ("score", "vector_score", "keyword_score")]
     return found.join(named, "doc_id").select("query_id", F.col("rank").alias("index"), *named.columns, *rounded)
 
@@ -373,9 +378,9 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     posts = stored(posts, "passage-postings")
     counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("b")).select("query_id", "b.term")
-    near = posts.join(sized(rarest), "term").select("query_id", "doc_id").distinct()
+    near = stored(posts.join(sized(rarest), "term").select("query_id", "doc_id").distinct(), "passage-candidates")
     texts = docs.select("doc_id", "text")
-    found = near.join(texts, "doc_id").join(sized(asked.select("query_id", "query")), "query_id").filter(F.contains("text", "query")).select("query_id", "doc_id")
+    found = near.join(hit_texts(texts, near), "doc_id").join(sized(asked.select("query_id", "query")), "query_id").filter(F.contains("text", "query")).select("query_id", "doc_id")
     short = asked.filter(F.size("_t") <= 2).select("query_id", "query")
     return found.unionByName(texts.join(sized(short), F.contains("text", "query")).select("query_id", "doc_id")).distinct()
 

@@ -119,7 +119,7 @@ def report_rows(spark, sf):
     bench, docs, ranks = registry._benchmark(spark, sf), table(spark, sf, "documents"), registry._rankings(spark, sf)
     fused = stored(search.fuse(ranks), "fused")
     modes = ranks.select(F.col("source").alias("mode"), "query_id", "doc_id", "rank").unionByName(fused.select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rank"))
-    hits = modes.join(docs.select("doc_id", "text"), "doc_id").join(bench, "query_id").filter(F.contains("text", "query")).groupBy("query_id").agg(*[F.min(F.when(F.col("mode") == m, F.col("rank"))).alias(f"{m}_rank") for m in ("vector", "keyword", "hybrid")])
+    hits = modes.join(search.hit_texts(docs.select("doc_id", "text"), ranks), "doc_id").join(bench, "query_id").filter(F.contains("text", "query")).groupBy("query_id").agg(*[F.min(F.when(F.col("mode") == m, F.col("rank"))).alias(f"{m}_rank") for m in ("vector", "keyword", "hybrid")])
     return bench.select("query_id").join(hits, "query_id", "left").join(fused.filter("rank = 1").select("query_id", F.col("doc_id").alias("top_hit")), "query_id", "left")
 
 

@@ -287,7 +287,8 @@ def eval_metrics(spark, sf):
     bench, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     ranks = _rankings(spark, sf)
     modes = ranks.select(F.col("source").alias("mode"), "query_id", "doc_id", "rank").unionByName(search.fuse(ranks).select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rank"))
-    hits = modes.join(docs.select("doc_id", F.col("text").alias("_d")), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("_q")), "query_id").filter(F.contains("_d", "_q"))
+    # Documents of the fused ranking are among those of the others.
+    hits = modes.join(search.hit_texts(docs.select("doc_id", F.col("text").alias("_d")), ranks), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("_q")), "query_id").filter(F.contains("_d", "_q"))
     first = hits.groupBy("mode", "query_id").agg(F.min("rank").alias("rank"))
     every = bench.select(F.col("item_id").alias("query_id"), F.explode(F.array(*map(F.lit, ("vector", "keyword", "hybrid")))).alias("mode")).join(first, ["mode", "query_id"], "left")
     return search.metrics(every.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")))
