@@ -28,6 +28,8 @@ QUERY_ROWS, CELLS = 10_000, 1 << 22
 BLOCK_ROWS, BLOCK_CELLS, SCORES = 2_000, 1 << 21, 1 << 21
 #: The most hyperplanes of a table: with more, tables and so the copies of a vector would grow with the number of vectors.
 PLANES = 3
+#: Texts whose words a task counts, when they are dealt by word.
+DEALT_TEXTS = 10_000
 #: Words of texts that a task has in Python at once, a text at least, and rows of vectors that it makes dense.
 WORDS, DENSE_ROWS = 1 << 17, 512
 
@@ -50,6 +52,13 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def occurrences(found: DataFrame, key: str, texts: int) -> DataFrame:
+    """(key, n): how often each value stands in ``found``, which comes from so many ``texts``. Where most values are rare, counting in the task
+    that reads them saves little and its table grows with the file, so they are dealt first, to more tasks the more texts there are."""
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts // DEALT_TEXTS))
+    return found.repartition(parts, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stemmed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
     """Pieces of batches with a bounded number of words, and the stems of each of their texts; a word is stemmed once in a
     piece, and its stem is one string there."""

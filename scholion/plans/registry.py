@@ -58,7 +58,8 @@ def tokens(spark, sf):
 
 @query(f"WITH t AS (SELECT doc_id, {tok('text')} AS t FROM documents), b AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS bigram FROM t) SELECT bigram, count(*)::BIGINT AS n FROM b GROUP BY bigram")
 def token_bigrams(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(X.bigrams(X.tokens(F.col("text")))).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf, "documents")
+    return search.occurrences(docs.select(F.explode(X.bigrams(X.tokens(F.col("text")))).alias("bigram")), "bigram", docs.count())
 
 
 @query(r"""
