@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from pyspark.sql.types import StringType
 from scholion.functions.text import SPACE
 
 
+#: Texts that are re-flowed at once.
+TEXTS = 128
+
+
 def _nearest(x: Column, digits: int = 0) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
@@ -103,8 +107,10 @@ def _joined(text: str) -> str:
     return _BROKEN.sub(lambda run: run[0].replace("\n", " "), _TIED.sub(" ", lines))
 
 
-@F.pandas_udf(StringType())
-def reflow(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def reflow(texts: pa.Array) -> pa.Array:
     """Lines that a page's width broke, joined: a line goes on if the next one starts in lower case, if it ends in the middle
     of a clause, or if it is long, as joined so far, and has no end mark; items of lists start anew."""
-    return texts.map(lambda t: None if t is None else _joined(t))
+    # A few texts at a time are Python's; the others stay in the batch.
+    parts = [pa.array([None if t is None else _joined(t) for t in texts.slice(at, TEXTS).to_pylist()], pa.string()) for at in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else texts

@@ -30,6 +30,8 @@ def decoded(content: Column) -> Column:
 def page_sections(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """(doc, page, section, content): pages cleaned and re-flowed, with their first line as heading; empty ones are left out."""
     made = pages.select(doc, page, reflow(clean_whitespace(F.coalesce(F.col(text), F.lit("")))).alias("content"))
+    # Behind a generator, the filter does not run the re-flow a second time.
+    made = made.select(doc, page, F.explode(F.array("content")).alias("content"))
     return made.filter("content <> ''").select(doc, page, first_line_heading(F.col("content")).alias("section"), "content")
 
 
