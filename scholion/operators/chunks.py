@@ -12,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholion.functions.batches import slices
 from scholion.functions.text import SPACE, sentences
 
 LEAST_CHARS = 20
+#: Units of texts that a task packs at once, a text at least.
+UNITS = 4096
 
 
 def _trimmed(parts: Column) -> Column:
@@ -53,7 +56,7 @@ def pack(parts: list[str], size: int, overlap: int) -> list[str]:
 
 def _pack(size: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 1, UNITS)):
             chunks = [[c for c in pack(p, size, overlap) if len(c) >= LEAST_CHARS] for p in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(chunks, pa.list_(pa.string()))], ["_id", "_chunks"])
 
