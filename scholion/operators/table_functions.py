@@ -5,7 +5,8 @@
     SELECT doc_id, c.* FROM documents, LATERAL text_chunks(text, 1000, 150) AS c
 
 Tokens, sentences and the units of chunks are SQL functions, which Catalyst puts in place, so they stay in the JVM and need no shuffle.
-Sections and the packing of units are Arrow table functions, a text at a time. A null text has no rows in any of them.
+Sections and the packing of units are Python table functions, a text at a time; units go there a hundred texts at a time, as an Arrow
+batch of them would hold thousands of lists. A null text has no rows in any of them.
 """
 
 from __future__ import annotations
@@ -80,5 +81,5 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"{define} text_sentences(text STRING) RETURNS TABLE (pos INT, sentence STRING) RETURN SELECT pos, col FROM posexplode({_sentences('text')})")
     chunk = "chunk_index BIGINT, content STRING, char_count BIGINT"
     spark.udtf.register("text_sections", udtf(_Sections, returnType="section_seq bigint, section string, content string", useArrow=True))
-    spark.udtf.register("packed_units", udtf(_Chunks, returnType=chunk, useArrow=True))
+    spark.udtf.register("packed_units", udtf(_Chunks, returnType=chunk, useArrow=False))
     spark.sql(f"{define} text_chunks(text STRING, size INT, overlap INT) RETURNS TABLE ({chunk}) RETURN SELECT * FROM packed_units({_units('text')}, size, overlap)")
