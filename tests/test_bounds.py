@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from scholion.operators import quiz, search, terms
+from scholion.operators import ingest, quiz, search, terms
 
 
 def plan_of(df):
@@ -47,3 +47,13 @@ def test_only_hit_texts_are_joined(spark):
     found = search.hit_texts(docs, hits)
     assert "BroadcastHashJoin" in plan_of(found) and "LeftSemi" in plan_of(found)
     assert sorted(map(tuple, found.collect())) == [(3, "text 3"), (44, "text 44")]
+
+
+def test_reflow_runs_once_and_bigrams_are_dealt_first(spark):
+    pages = spark.createDataFrame([(1, 1, "one line that\ngoes on"), (2, 1, "")], "doc_id long, page long, text string")
+    found = ingest.page_sections(pages, "doc_id", "page", "text")
+    assert plan_of(found).count("ArrowEvalPython") == 1
+    assert [r["content"] for r in found.collect()] == ["one line that goes on"]
+    counted = search.occurrences(spark.createDataFrame([("a",), ("b",), ("a",)], "w string"), "w", 3)
+    assert plan_of(counted).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan_of(counted)
+    assert {tuple(r) for r in counted.collect()} == {("a", 2), ("b", 1)}
