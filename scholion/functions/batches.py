@@ -18,8 +18,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Sets the session's Arrow batches to ``BATCH_BYTES`` unless they are smaller already, so that neither the JVM nor a Python worker holds
     thousands of whole texts at once. It is set for good, as the plan runs when its rows are asked for."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
-    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 

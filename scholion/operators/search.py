@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.functions.batches import slices
+from scholion.functions.batches import bounded_batches, slices
 from scholion.functions.text import tokens, truncate
 from scholion.functions.words import KANA, keyword_tokens, stem_word
 from scholion.sources.scratch import spread, stored
@@ -78,6 +78,7 @@ def _pairs(words: list[str]) -> list[str]:
 def _counted(docs: DataFrame, wanted: set[str] | None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, len, n_terms, terms, tfs): of each text the number of its terms and of its distinct ones, and the counts of
     those ``wanted`` (None: all)."""
+    bounded_batches(docs.sparkSession)
     kinds = ", ".join(f"{k} {dict(docs.dtypes)[k]}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +136,7 @@ def embed(docs: DataFrame, dim: int = 384, id_col: str = "doc_id", text: str = "
 
 
 def _words(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))).select("id", tokens(F.col("_text")).alias("_t"))
 
 
@@ -219,6 +221,7 @@ def _best_of(parts: list[DataFrame], k: int) -> DataFrame:
 
 
 def _nearest(chunks: DataFrame, queries: DataFrame, k: int, dim: int, embedded=None) -> DataFrame:
+    bounded_batches(chunks.sparkSession)
     asked = queries.select("id", "dims", "weights").toArrow()
     ids = asked.column("id").to_numpy()
     matrix = _dense(asked.column("dims"), asked.column("weights"), dim).T

@@ -2,6 +2,8 @@
 
 import pyarrow as pa
 
+from scholion.functions import batches
+from scholion.llm import langid
 from scholion.operators import ingest, quiz, search, terms
 
 
@@ -57,3 +59,22 @@ def test_reflow_runs_once_and_bigrams_are_dealt_first(spark):
     counted = search.occurrences(spark.createDataFrame([("a",), ("b",), ("a",)], "w string"), "w", 3)
     assert plan_of(counted).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan_of(counted)
     assert {tuple(r) for r in counted.collect()} == {("a", 2), ("b", 1)}
+
+
+def test_batches_are_small_for_whole_texts(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("64m", f"{batches.BATCH_BYTES}b"), ("1g", f"{batches.BATCH_BYTES}b"), ("1m", "1m"), ("2048b", "2048b")):
+            spark.conf.set(key, given)
+            batches.bounded_batches(spark)
+            assert spark.conf.get(key) == kept
+        docs = spark.createDataFrame([(n, "a long text " * 10_000, "en") for n in range(200)], "doc_id long, text string, lang string").coalesce(1)
+        model = langid.fit(docs)
+        for made in (lambda: search._counted(docs, None), lambda: search.embed(docs), lambda: langid.predict(docs, model, ["doc_id"])):
+            spark.conf.set(key, "64m")
+            made()
+            size = lambda found: (pa.record_batch({"n": [b.nbytes]}) for b in found)
+            assert max(r["n"] for r in docs.mapInArrow(size, "n long").collect()) < 2 * batches.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
